@@ -1,6 +1,6 @@
 """Registered queries over the given tables, each with an equivalent SQL statement where possible."""
 
-from . import elementwise, rolling
+from . import coarse, cross, elementwise, prepare, rolling, scores
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

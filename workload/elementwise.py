@@ -63,7 +63,7 @@ def ew_arithmetic(spark, sf):
             "log1p_": "CASE WHEN d > -1 THEN ln(1 + d) END",
             "sqrt_": "CASE WHEN d >= 0 THEN sqrt(d) END",
             "exp_": "exp(d)",
-            "exp_overflow": "CASE WHEN d IS NOT NULL THEN CASE WHEN d * 1000 < 709 THEN 0 ELSE 1 END END",
+            "exp_overflow": "CASE WHEN d IS NOT NULL THEN CASE WHEN d * 1000 < 709.782712893384 THEN 0 ELSE 1 END END",
         }
     ),
 )
