@@ -15,7 +15,7 @@ from ..functions.feature import OPERATORS, Feature
 from ..functions.guards import finite, flag
 from ..functions.kernels import sliding
 from ..functions.rolling import Frames
-from .blocks import group_limit, oversized, positions, with_halo
+from .blocks import frozen, group_limit, join_stats, oversized, positions, with_halo
 from .portfolio import lagged_portfolio
 
 # Features planned together; bounds the size of one query plan.
@@ -264,8 +264,13 @@ class _Stages:
         spec, split = self.spec, self.panel.wide_times
         for nodes in self._by_level(members):
             plain = {}
+            lagged = [n for n in nodes if n.op in OPERATORS and OPERATORS[n.op].scope == "lagged"]
+            if lagged:
+                df = self._lagged(df, lagged, split)
             for node in nodes:
                 scope = OPERATORS[node.op].scope if node.op in OPERATORS else "leaf"
+                if scope == "lagged":
+                    continue
                 if scope == "cs":
                     x = self._column(node.args[0])
                     if spec.eligible:
@@ -283,20 +288,6 @@ class _Stages:
                         )
                     else:
                         plain[self.nodes[node]] = cross.windowed(node.op, x, node.params, spec.time)
-                elif scope == "lagged":
-                    df = lagged_portfolio(
-                        df,
-                        node.op,
-                        [self.nodes[a] for a in node.args],
-                        node.params,
-                        spec.identity,
-                        spec.time,
-                        spec.eligible,
-                        self.nodes[node],
-                        split,
-                        self.panel.rows,
-                        self.panel.time_count if split else None,
-                    )
                 elif scope == "cs_kernel":
                     df = self._cross_kernel(df, node, split)
                 else:
@@ -305,6 +296,28 @@ class _Stages:
                 df = df.withColumns(plain)
         return df
 
+    def _lagged(self, df: DataFrame, nodes: list[Feature], split: bool) -> DataFrame:
+        """Portfolio returns per time.  Each reads the panel several times, so it is materialised."""
+        source, spec = frozen(df), self.spec
+        times = self.panel.time_count if split else None
+        df = source
+        for node in nodes:
+            returns = lagged_portfolio(
+                source,
+                node.op,
+                [self.nodes[a] for a in node.args],
+                node.params,
+                spec.identity,
+                spec.time,
+                spec.eligible,
+                self.nodes[node],
+                split,
+                self.panel.rows,
+                times,
+            )
+            df = join_stats(df, returns, [spec.time], times)
+        return df
+
     def _cross_kernel(self, df: DataFrame, node: Feature, split: bool) -> DataFrame:
         """A custom kernel needs its whole cross-section, so an oversized one is refused."""
         if split:

@@ -43,7 +43,7 @@ def lagged_portfolio(
     bound: int | None = None,
     times: int | None = None,
 ) -> DataFrame:
-    """Append the equal-weight return at t of members held at the previous time.
+    """One row per time with the equal-weight return of the members held at the previous time.
 
     `cs_lagged_mean` holds every member; `cs_lagged_spread` holds the top tail of the signal and
     shorts the bottom tail, ties broken by identity.  A holding that disappears counts as missing
@@ -101,5 +101,4 @@ def lagged_portfolio(
         return value
 
     value = average(True) if op == "cs_lagged_mean" else average(True) - average(False)
-    result = matched.groupBy(F.col("__next").alias(time)).agg(value.alias(out))
-    return join_stats(df, result, [time], times)
+    return matched.groupBy(F.col("__next").alias(time)).agg(value.alias(out))

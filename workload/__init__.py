@@ -1,6 +1,6 @@
 """Registered queries over the given tables, each with an equivalent SQL statement where possible."""
 
-from . import coarse, combination, cross, elementwise, prepare, rolling, scores, selection
+from . import catalogs, coarse, combination, cross, elementwise, prepare, rolling, scores, selection
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -192,7 +192,7 @@ _Q = "status = 'success' AND val IS NOT NULL AND coverage >= 0.3"
     "region_evidence",
     f"""WITH {TRIALS} SELECT region, count(*) AS attempts, count(*) FILTER (WHERE status = 'success') AS successful, count(*) FILTER (WHERE {_Q}) AS qualified,
   count(*) FILTER (WHERE accepted) AS admitted,
-  {", ".join(q6(f"quantile_cont({e}, {p}) FILTER (WHERE {_Q})", f"{n}_{q}", 5) for n, e in {"train": "abs(train)", "val": "val", "gap": "abs(train) - val"}.items() for q, p in {"q1": 0.25, "median": 0.5, "q3": 0.75}.items())},
+  {", ".join(q6(f"quantile_cont({e}, {p}) FILTER (WHERE {_Q})", f"{n}_{q}", 8) for n, e in {"train": "abs(train)", "val": "val", "gap": "abs(train) - val"}.items() for q, p in {"q1": 0.25, "median": 0.5, "q3": 0.75}.items())},
   {q6(f"count(*) FILTER (WHERE {_Q} AND val > 0) / count(*) FILTER (WHERE {_Q})", "positive_ratio")},
   CASE WHEN count(*) FILTER (WHERE {_Q}) = 0 THEN 'insufficient samples'
     WHEN (bool_or({_Q} AND val > 0) AND bool_or({_Q} AND val < 0)) OR bool_or({_Q} AND val = 0) THEN 'mixed evidence'
@@ -204,7 +204,7 @@ def region_evidence(spark, sf):
     values = [f"{n}_{q}" for n in ("train", "val", "gap") for q in ("q1", "median", "q3")]
     counts = ["attempts", "successful", "qualified", "admitted"]
     return evidence.select(
-        "region", *counts, *[r6(v, 5).alias(v) for v in values], r6("positive_ratio").alias("positive_ratio"), "evidence"
+        "region", *counts, *[r6(v, 8).alias(v) for v in values], r6("positive_ratio").alias("positive_ratio"), "evidence"
     )
 
 
