@@ -10,7 +10,7 @@ import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field as _field
 
-from . import cross, kernels, rolling, scalar
+from . import rolling, scalar
 from .guards import MIN_WINDOW
 
 
@@ -217,15 +217,14 @@ ts_corr, ts_cov = _ts("ts_corr", 2), _ts("ts_cov", 2)
 ts_count, ts_rate = (_ts(n, takes_condition=(0,)) for n in ("ts_count", "ts_rate"))
 ts_any, ts_all = (_ts(n, takes_condition=(0,), condition=True) for n in ("ts_any", "ts_all"))
 
-ts_rankcorr = _register(
-    Operator("ts_rankcorr", "kernel", 2, ("n",), function=kernels.rank_correlation, history="window")
-)
-ts_resid_std3 = _register(
-    Operator("ts_resid_std3", "kernel", 4, ("n",), function=kernels.residual_std, history="window")
-)
-robust_trend = _register(
-    Operator("robust_trend", "kernel", 2, ("n",), function=kernels.robust_trend, history="window")
-)
+
+
+def _kernel(name: str, series: int):
+    return _register(Operator(name, "kernel", series, ("n",), history="window"))
+
+
+ts_rankcorr, ts_resid_std3 = _kernel("ts_rankcorr", 2), _kernel("ts_resid_std3", 4)
+robust_trend = _kernel("robust_trend", 2)
 
 
 def _cs(name, params=(), defaults=()):

@@ -1,4 +1,4 @@
-"""Trailing-window operators as Column functions over a `Frames` handle.
+"""Trailing-window operators as Column functions over a `Frames` handle, for short windows.
 
 Every operator needs all n rows of its window to be non-null and returns null otherwise.
 """
@@ -11,16 +11,17 @@ from pyspark.sql import Column, Window, WindowSpec, functions as F
 
 from .guards import EPS, finite, guarded_corr, ratio
 
-# Beyond this many rows a sliding frame is replaced by differenced running sums where possible.
-LONG_WINDOW = 512
-
 
 @dataclass(frozen=True)
 class Frames:
-    """Partition and order of one panel; hands out the frames an operator needs."""
+    """Partition and order of one panel; hands out the frames an operator needs.
+
+    `row` names the materialised row number inside the partition.
+    """
 
     keys: tuple[str, ...]
     order: tuple[str, ...]
+    row: str = "__row"
 
     @property
     def ordered(self) -> WindowSpec:
@@ -30,30 +31,17 @@ class Frames:
         return self.ordered.rowsBetween(-(n - 1), 0)
 
     @property
-    def running(self) -> WindowSpec:
-        return self.ordered.rowsBetween(Window.unboundedPreceding, 0)
-
-    @property
-    def row(self) -> Column:
+    def number(self) -> Column:
         return F.row_number().over(self.ordered).cast("long")
 
-    def total(self, x: Column, n: int) -> Column:
-        """Sum over the last n rows."""
-        if n <= LONG_WINDOW:
-            return F.sum(x).over(self.last(n))
-        upto = F.coalesce(F.sum(x).over(self.running), F.lit(0.0))
-        before = F.coalesce(F.sum(x).over(self.ordered.rowsBetween(Window.unboundedPreceding, -n)), F.lit(0.0))
-        return upto - before
-
-    def observed(self, x: Column, n: int) -> Column:
-        if n <= LONG_WINDOW:
-            return F.count(x).over(self.last(n))
-        return F.count(x).over(self.running) - F.count(x).over(
-            self.ordered.rowsBetween(Window.unboundedPreceding, -n)
-        )
-
     def full(self, x: Column, n: int, value: Column) -> Column:
-        return F.when(self.observed(x, n) == n, value)
+        """`value` where the last n rows exist and are non-null.
+
+        The newest missing row is a running maximum, so the test costs the same for any n.
+        """
+        upto = self.ordered.rowsBetween(Window.unboundedPreceding, 0)
+        missing = F.max(F.when(x.isNull(), F.col(self.row))).over(upto)
+        return F.when(F.col(self.row) - F.coalesce(missing, F.lit(0)) >= n, value)
 
 
 def obs_lag(x: Column, n: int, f: Frames) -> Column:
@@ -74,11 +62,11 @@ def change(x: Column, n: int, f: Frames) -> Column:
 
 
 def ts_sum(x: Column, n: int, f: Frames) -> Column:
-    return finite(f.full(x, n, f.total(x, n)))
+    return finite(f.full(x, n, F.sum(x).over(f.last(n))))
 
 
 def ts_mean(x: Column, n: int, f: Frames) -> Column:
-    return finite(f.full(x, n, f.total(x, n) / n if n > LONG_WINDOW else F.avg(x).over(f.last(n))))
+    return finite(f.full(x, n, F.avg(x).over(f.last(n))))
 
 
 def ts_min(x: Column, n: int, f: Frames) -> Column:
@@ -151,8 +139,8 @@ def ts_kurt(x: Column, n: int, f: Frames) -> Column:
 
 def ts_linear_decay(x: Column, n: int, f: Frames) -> Column:
     """Weights 1..n from oldest to newest, from two window sums and a row index."""
-    r = f.row.cast("double")
-    weighted = f.total(r * x, n) - (r - n) * f.total(x, n)
+    r = F.col(f.row).cast("double")
+    weighted = F.sum(r * x).over(f.last(n)) - (r - n) * F.sum(x).over(f.last(n))
     return finite(f.full(x, n, weighted / (n * (n + 1) / 2)))
 
 
@@ -184,7 +172,7 @@ def ts_cov(x: Column, y: Column, n: int, f: Frames) -> Column:
 
 def ts_count(c: Column, n: int, f: Frames) -> Column:
     hits = c.cast("double")
-    return f.full(hits, n, f.total(hits, n))
+    return f.full(hits, n, F.sum(hits).over(f.last(n)))
 
 
 def ts_rate(c: Column, n: int, f: Frames) -> Column:
@@ -204,8 +192,8 @@ def ts_prod(x: Column, n: int, f: Frames) -> Column:
 
 
 def _bars_since(score: Column, x: Column, n: int, f: Frames) -> Column:
-    best = F.max(F.struct(score.alias("v"), f.row.alias("r"))).over(f.last(n))
-    return f.full(x, n, (f.row - best["r"]).cast("double"))
+    best = F.max(F.struct(score.alias("v"), F.col(f.row).alias("r"))).over(f.last(n))
+    return f.full(x, n, (F.col(f.row) - best["r"]).cast("double"))
 
 
 def ts_argmin(x: Column, n: int, f: Frames) -> Column:

@@ -10,6 +10,7 @@ summaries across the block borders.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -49,18 +50,28 @@ def oversized(df: DataFrame, keys: Sequence[str], bound: int | None = None) -> b
     return (largest or 0) > limit
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors can read: `spark.checkpoint.dir`, or a local one in local mode."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        shared = tempfile.mkdtemp(prefix="factorloom-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared
+
+
 def frozen(df: DataFrame) -> DataFrame:
-    """Materialise reliably, so that block borders cannot move when a task is recomputed."""
+    """Write the rows once and read them back.
+
+    Cuts the lineage, so that block borders cannot move when a task is recomputed and a lost
+    executor costs a re-read instead of the whole history.  Unlike an RDD checkpoint the rows are
+    computed once, and later reads prune columns.
+    """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-            shared = tempfile.mkdtemp(prefix="factorloom-")
-        sc.setCheckpointDir(shared)
-    return df.checkpoint()
+    path = f"{shared_folder(spark).rstrip('/')}/factorloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def range_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

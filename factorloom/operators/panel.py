@@ -7,19 +7,29 @@ from dataclasses import dataclass, field as _field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from ..functions import cross
 from ..functions.feature import OPERATORS, Feature
 from ..functions.guards import finite, flag
-from ..functions.kernels import sliding
+from ..functions.kernels import KERNELS, Job, custom, rolling_pass
 from ..functions.rolling import Frames
 from .blocks import frozen, group_limit, join_stats, oversized, positions, with_halo
 from .portfolio import lagged_portfolio
 
 # Features planned together; bounds the size of one query plan.
 CHUNK = 32
+# Longest window evaluated as a Spark frame; longer ones run as Arrow passes.  Higher moments and
+# two-series statistics cost several times more per frame row, so they switch earlier.
+FRAME_CONF = "spark.factorloom.frameRows"
+DEFAULT_FRAME = 16
+COSTLY = {"ts_skew", "ts_kurt", "ts_skew_pop", "ts_kurt_pop", "ts_corr", "ts_cov"}
+COSTLY_SHARE = 4
+
+
+def frame_rows(spark: SparkSession) -> int:
+    return int(spark.conf.get(FRAME_CONF, str(DEFAULT_FRAME)))
 
 
 def _in_utc(table: pa.Table) -> pa.Table:
@@ -150,7 +160,7 @@ class _Stages:
             self._visit(child)
         children = node.args
         phase = max((self.phase[c] for c in children), default=0)
-        scope = OPERATORS[node.op].scope if node.op in OPERATORS else "leaf"
+        scope = self._scope(node)
         if scope in {"ts", "kernel"}:
             phase += phase % 2
         elif scope in {"cs", "lagged", "cs_kernel"}:
@@ -172,7 +182,7 @@ class _Stages:
                 continue
             inner = max((reach.get(c, 0) for c in node.args), default=0)
             spec = OPERATORS.get(node.op)
-            own = spec.rows_back(node.params) if spec and spec.scope in {"ts", "kernel"} else 0
+            own = spec.rows_back(node.params) if self._scope(node) in {"ts", "kernel"} else 0
             reach[node] = inner + own
         return max(reach.values(), default=0)
 
@@ -208,67 +218,79 @@ class _Stages:
         return OPERATORS[node.op].function(*map(self._column, node.args), *node.params)
 
     def _history(self, df: DataFrame, frames: Frames, members: list[Feature]) -> DataFrame:
+        """One phase of rolling operators.
+
+        Short windows become Spark window expressions.  A phase with a long window or an array
+        kernel runs all its rolling operators as Arrow passes instead: the rows are shuffled and
+        sorted once for their row numbers, and every pass keeps that order.
+        """
+        rolling = [n for n in members if self._scope(n) in {"ts", "kernel"}]
+        limit = frame_rows(df.sparkSession)
+
+        def long(node: Feature) -> bool:
+            if OPERATORS[node.op].history == "lag":
+                return False  # reads one earlier row, however far back
+            share = COSTLY_SHARE if node.op in COSTLY else 1
+            return self._scope(node) == "kernel" or self._reach_of(node) * share > limit
+
+        arrow = any(map(long, rolling))
+        own = {n: self._frames(frames, n) for n in rolling}
+        numbers = {f.row: f.number for f in own.values()}
+        if numbers:
+            df = df.withColumns(numbers)
         for nodes in self._by_level(members):
-            plain, kernels = {}, []
+            plain, passes = {}, {}
             for node in nodes:
-                scope = OPERATORS[node.op].scope if node.op in OPERATORS else "leaf"
-                if scope == "kernel":
-                    kernels.append(node)
-                elif scope == "ts":
-                    own = self._frames(frames, node)
+                if node not in own:
+                    plain[self.nodes[node]] = self._scalar(node)
+                elif arrow:
+                    passes.setdefault(own[node].row, []).append(self._job(node))
+                else:
                     plain[self.nodes[node]] = OPERATORS[node.op].function(
-                        *map(self._column, node.args), *node.params, own
+                        *map(self._column, node.args), *node.params, own[node]
                     )
-                else:
-                    plain[self.nodes[node]] = self._scalar(node)
             if plain:
                 df = df.withColumns(plain)
-            for keys in dict.fromkeys(self._frames(frames, n).keys for n in kernels):
-                group = [n for n in kernels if self._frames(frames, n).keys == keys]
-                df = self._kernels(df, Frames(keys, frames.order), group)
-        return df
+            for row, jobs in passes.items():
+                types = [BooleanType() if j.condition else DoubleType() for j in jobs]
+                added = [StructField(j.out, t) for j, t in zip(jobs, types)]
+                df = df.mapInArrow(rolling_pass(jobs, row), StructType(df.schema.fields + added))
+        return df.drop(*numbers)
 
-    def _frames(self, frames: Frames, node: Feature) -> Frames:
-        extra = tuple(self.spec.legs[leg] for leg in sorted(self.legs[node]))
-        return replace(frames, keys=frames.keys + extra)
-
-    def _kernels(self, df: DataFrame, frames: Frames, nodes: list[Feature]) -> DataFrame:
-        """Arrow tasks over one (bounded) block of history each."""
-        jobs = [
-            (
-                self.nodes[n],
-                n.kernel or OPERATORS[n.op].function,
-                [self.nodes[a] for a in n.args],
-                int(n.params[0]),
-            )
-            for n in nodes
-        ]
-        order = [(c, "ascending") for c in frames.order]
+    def _scope(self, node: Feature) -> str:
+        return OPERATORS[node.op].scope if node.op in OPERATORS else "leaf"
 
-        def apply(table: pa.Table) -> pa.Table:
-            table = _in_utc(table).sort_by(order)
-            for out, kernel, columns, n in jobs:
-                arrays = [
-                    table[c].cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float)
-                    for c in columns
-                ]
-                values = sliding(kernel, arrays, n)
-                table = table.append_column(out, pa.array(values, mask=np.isnan(values)))
-            return table
-
-        added = [StructField(j[0], DoubleType()) for j in jobs]
-        schema = StructType(df.schema.fields + added)
-        return df.groupBy(*frames.keys).applyInArrow(apply, schema)
+    def _reach_of(self, node: Feature) -> int:
+        return OPERATORS[node.op].rows_back(node.params) + 1
+
+    def _frames(self, frames: Frames, node: Feature) -> Frames:
+        legs = sorted(self.legs[node])
+        extra = tuple(self.spec.legs[leg] for leg in legs)
+        return replace(frames, keys=frames.keys + extra, row="_".join(["__row", *legs]))
+
+    def _job(self, node: Feature) -> Job:
+        spec = OPERATORS[node.op]
+        kernel = custom(node.kernel) if node.kernel else KERNELS[node.op]
+        at = spec.params.index("n")
+        return Job(
+            self.nodes[node],
+            tuple(self.nodes[a] for a in node.args),
+            kernel,
+            int(node.params[at]),
+            0 if node.op == "obs_lag" else self._reach_of(node),
+            tuple(p for i, p in enumerate(node.params) if i != at),
+            spec.condition,
+        )
 
     def _cross_section(self, df: DataFrame, members: list[Feature]) -> DataFrame:
         spec, split = self.spec, self.panel.wide_times
         for nodes in self._by_level(members):
             plain = {}
-            lagged = [n for n in nodes if n.op in OPERATORS and OPERATORS[n.op].scope == "lagged"]
+            lagged = [n for n in nodes if self._scope(n) == "lagged"]
             if lagged:
                 df = self._lagged(df, lagged, split)
             for node in nodes:
-                scope = OPERATORS[node.op].scope if node.op in OPERATORS else "leaf"
+                scope = self._scope(node)
                 if scope == "lagged":
                     continue
                 if scope == "cs":
