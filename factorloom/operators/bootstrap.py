@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.guards import is_finite
-from .blocks import group_limit, join_stats
+from .blocks import frozen, group_limit, join_stats
 from .ranks import cumulative_counts
 
 # Replicates handled by one rank task, so that a product is shuffled repeats / CHUNK times.
@@ -250,6 +250,7 @@ def paired_block_bootstrap(
     """
     if correlation not in {"pearson", "spearman"}:
         raise ValueError("correlation must be pearson or spearman")
+    df = frozen(df.select("trading_day", "product", "target", "baseline", "prediction"))
     draws = draw_days(df, days, repeats, seed)
     replicates = pearson_replicates(df, weights, draws)
     reduction = replicates.select("replicate", "reduction")

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.guards import EPS, corr_agg, finite, flag, is_finite, ratio
-from .blocks import DAY_ROWS, join_stats, oversized
+from .blocks import DAY_ROWS, frozen, join_stats, oversized
 from .panel import Panel
 from .portfolio import clock
 from .ranks import attach_ranks
@@ -223,7 +223,8 @@ def evaluate_factors(
     group = metric_group(metric)
     weights = split_weights(df, fold, ("train", "val")) if metric in TIME_SERIES else None
     keep = list(dict.fromkeys(["split", "target", "trading_day", group]))
-    labelled = label_splits(df, fold).select(*keep, *factors)
+    # Bounds, coverage and ranks read the scoring rows in turn, so they are written once.
+    labelled = frozen(label_splits(df, fold).select(*keep, *factors))
     train = labelled.where(F.col("split") == "train")
     long = long_scores(labelled, factors, keep)
     raw = long.where(F.col("split") == "val").groupBy("factor").agg(
@@ -321,6 +322,13 @@ def information_ratio(daily: DataFrame, by: Sequence[str], direction: DataFrame
     )
 
 
+def _every_factor(found: DataFrame, factors: Sequence[str], count: str) -> DataFrame:
+    """One row per factor; those without an observation have a null value and a zero count."""
+    names = found.sparkSession.createDataFrame([(f,) for f in factors], "factor string")
+    joined = join_stats(names, found, ["factor"])
+    return joined.withColumn(count, F.coalesce(count, F.lit(0).cast("long")))
+
+
 def signed_turnover(
     panel: Panel,
     factors: Sequence[str],
@@ -360,9 +368,10 @@ def signed_turnover(
     else:
         per_product = per_product.join(weights, "product")
         value = F.sum(F.col("change") * F.col("weight")) / F.sum("weight")
-    return per_product.groupBy("factor").agg(
+    found = per_product.groupBy("factor").agg(
         value.alias("turnover"), F.sum("n").alias("turnover_observations")
     )
+    return _every_factor(found, factors, "turnover_observations")
 
 
 def rank_turnover(
@@ -385,7 +394,7 @@ def rank_turnover(
     day = ["factor", "step"]
     split = oversized(long, day, rows)
     long = long.withColumn("value", finite(F.col("value")))
-    ranked = attach_ranks(long, day, "value", "__rank", split=split)
+    ranked = frozen(attach_ranks(long, day, "value", "__rank", split=split))
     summary = ranked.groupBy(*day).agg(
         F.count(F.lit(1)).alias("__n"),
         F.count("value").alias("__finite"),
@@ -410,9 +419,10 @@ def rank_turnover(
     moved = positions.join(previous, [*day, *identity], "full").join(both, day)
     size = F.abs(F.coalesce("position", F.lit(0.0)) - F.coalesce("previous", F.lit(0.0))) / 2
     changes = moved.groupBy(*day).agg(F.sum(size).alias("change"))
-    return changes.groupBy("factor").agg(
+    found = changes.groupBy("factor").agg(
         F.avg("change").alias("turnover"), F.count(F.lit(1)).alias("turnover_observations")
     )
+    return _every_factor(found, factors, "turnover_observations")
 
 
 def delayed_values(
@@ -460,7 +470,7 @@ def lag_diagnostics(
     for name, frame in (("now", current), ("lag", delayed)):
         rows = split_rows(frame, period).select(*keep, *factors)
         tagged.append(long_scores(rows, factors, keep).withColumn("which", F.lit(name)))
-    long = clip_scores(tagged[0].unionByName(tagged[1]), bounds, target_bounds)
+    long = frozen(clip_scores(tagged[0].unionByName(tagged[1]), bounds, target_bounds))
     groups = group_ic(long, ["factor", "which"], group, ("spearman",), panel.rows)
     if weights is not None and "_weighted_" in metric:
         groups = groups.join(weights, "product")
@@ -594,7 +604,7 @@ def score_frozen(
     if by_year:
         by, keep = ["factor", "year"], [*keep, "year"]
         scored = scored.withColumn("year", F.year("trading_day"))
-    long = join_stats(long_scores(scored, factors, keep), library, ["factor"], len(factors))
+    long = join_stats(long_scores(frozen(scored), factors, keep), library, ["factor"], len(factors))
     value = F.col("value")
     coverage = long.groupBy(*by).agg(F.avg(is_finite(value).cast("double")).alias("coverage"))
     if "lower" in library.columns:

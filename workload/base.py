@@ -71,20 +71,12 @@ def trade(spark: SparkSession, sf: str, unit: str = "day") -> DataFrame:
     Money is summed in whole cents, so the result does not depend on the order of addition.
     """
     unit_price = F.col("l_extendedprice") / F.col("l_quantity")
-    at = F.struct("l_orderkey", "l_linenumber", "__unit")
-    lines = (
-        table(spark, sf, "lineitem")
-        .select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
-        .withColumn("__unit", unit_price)
-    )
-    bars = lines.groupBy(
+    bars = table(spark, sf, "lineitem").groupBy(
         F.col("l_suppkey").alias("instrument_id"),
         F.date_trunc(unit, "l_shipdate").cast("date").alias("trading_day"),
     ).agg(
-        F.min_by("__unit", at).alias("open"),
-        F.max("__unit").alias("high"),
-        F.min("__unit").alias("low"),
-        F.max_by("__unit", at).alias("close"),
+        F.max(unit_price).alias("high"),
+        F.min(unit_price).alias("low"),
         F.sum("l_quantity").alias("volume"),
         (F.sum(cents("l_extendedprice")) / F.lit(100.0)).alias("amount"),
         F.count(F.lit(1)).alias("trades"),
@@ -113,18 +105,17 @@ def trade(spark: SparkSession, sf: str, unit: str = "day") -> DataFrame:
 def trade_sql(unit: str = "day", name: str = "trade") -> str:
     return f"""{name} AS (
   SELECT r_name AS exchange, instrument_id, n_name AS product, trading_day,
-         open, high, low, close, volume, amount, trades, amount / volume AS price,
+         high, low, volume, amount, trades, amount / volume AS price,
          CAST(volume AS BIGINT) % 11 <> 0 AS eligible,
          CASE WHEN CAST(volume AS BIGINT) % 13 <> 0 THEN ln(amount / volume) - 5.5 END AS x,
          sqrt(volume) / 2 AS y
   FROM (
     SELECT l_suppkey AS instrument_id, CAST(date_trunc('{unit}', l_shipdate) AS DATE) AS trading_day,
-           first(u ORDER BY l_orderkey, l_linenumber, u) AS open, max(u) AS high, min(u) AS low,
-           last(u ORDER BY l_orderkey, l_linenumber, u) AS close,
+           max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low,
            sum(l_quantity) AS volume,
            CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100 AS amount,
            count(*) AS trades
-    FROM (SELECT *, l_extendedprice / l_quantity AS u FROM lineitem)
+    FROM lineitem
     GROUP BY ALL
   ) JOIN supplier ON s_suppkey = instrument_id
     JOIN nation ON s_nationkey = n_nationkey

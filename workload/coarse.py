@@ -175,11 +175,13 @@ MONTH_NAMES = [r.name for r in MONTH_RULES]
 
 def product_days(spark, sf) -> DataFrame:
     """One observation per product and day: the first supplier that traded."""
-    first = F.struct("instrument_id")
     return (
         trade(spark, sf)
         .groupBy("exchange", "product", "trading_day")
-        .agg(F.min_by("x", first).alias("x"), (F.min_by("y", first) / 100).alias("z"))
+        .agg(
+            F.min_by("x", "instrument_id").alias("x"),
+            (F.min_by("y", "instrument_id") / 100).alias("z"),
+        )
     )
 
 

@@ -539,15 +539,15 @@ def adjustments(spark, sf) -> DataFrame:
     f"""WITH {trade_sql()},
 a AS (SELECT l_suppkey AS instrument_id, CAST(l_shipdate AS DATE) AS ex_date, max(l_discount) + 1 AS f FROM lineitem
   WHERE l_quantity = 50 AND l_tax >= 0.06 GROUP BY 1, 2)
-SELECT t.instrument_id, t.trading_day, {q6("coalesce(a.f, 1)", "adjfactor")}, {q6("ln(t.close * coalesce(a.f, 1))", "log_close")},
+SELECT t.instrument_id, t.trading_day, {q6("coalesce(a.f, 1)", "adjfactor")}, {q6("ln(t.low * coalesce(a.f, 1))", "log_low")},
   {q6("ln(t.high * coalesce(a.f, 1))", "log_high")}
 FROM trade t ASOF LEFT JOIN a ON t.instrument_id = a.instrument_id AND t.trading_day >= a.ex_date""",
 )
 def adjusted_prices(spark, sf):
     bars = trade(spark, sf)
-    priced = equities.adjust_prices(bars, adjustments(spark, sf), rows=2 * rows_of(spark, sf, "lineitem"))
-    logged = priced.withColumns({"log_close": F.ln("adj_close"), "log_high": F.ln("adj_high")})
-    return rounded(logged, ["instrument_id", "trading_day"], ["adjfactor", "log_close", "log_high"])
+    priced = equities.adjust_prices(bars, adjustments(spark, sf), ("low", "high"), 2 * rows_of(spark, sf, "lineitem"))
+    logged = priced.withColumns({"log_low": F.ln("adj_low"), "log_high": F.ln("adj_high")})
+    return rounded(logged, ["instrument_id", "trading_day"], ["adjfactor", "log_low", "log_high"])
 
 
 @query(

@@ -262,7 +262,7 @@ def _residual_sql(n: int) -> str:
     + svc * (saa * (sbb * svc - svb * sbc) - sab * (sab * svc - svb * sac) + sva * (sab * sbc - sbb * sac))
     ) / {det}"""
     return f"""WITH {trade_sql()},
-p AS (SELECT *, x AS v, y AS a, close / 1000 AS b, (high - low) / 1000 AS c FROM trade),
+p AS (SELECT *, x AS v, y AS a, low / 1000 AS b, (high - low) / 1000 AS c FROM trade),
 s AS (SELECT instrument_id, trading_day, count(x) OVER w AS n, {cov} FROM p WINDOW w AS {_window(n)})
 SELECT instrument_id, trading_day,
   {q6(f"CASE WHEN n = {n} AND {det} > 1e-4 THEN sqrt(greatest(svv - {explained}, 0) * {n} / {n - 1}) END", "resid_", 5)}
@@ -272,8 +272,8 @@ FROM s"""
 @query("ts_residual_std", _residual_sql(12))
 def ts_residual_std(spark, sf):
     spread = (fx.field("high") - fx.field("low")) / 1000
-    close = fx.field("close") / 1000
-    feature = fx.ts_resid_std3(X, Y, close, spread, 12)
+    low = fx.field("low") / 1000
+    feature = fx.ts_resid_std3(X, Y, low, spread, 12)
     # Nearly collinear regressors lose digits in the closed form, so both engines skip them.
     wide = trade_panel(spark, sf).with_features({"resid_": feature, **_determinant(12)})
     safe = wide.withColumn("resid_", F.when(F.col("det") > 1e-4, F.col("resid_")))
@@ -282,7 +282,7 @@ def ts_residual_std(spark, sf):
 
 def _determinant(n: int):
     """Determinant of the regressors' population covariance over the window."""
-    a, b = Y, fx.field("close") / 1000
+    a, b = Y, fx.field("low") / 1000
     c = (fx.field("high") - fx.field("low")) / 1000
     k = (n - 1) / n
 

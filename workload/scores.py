@@ -298,7 +298,8 @@ adj AS (SELECT a.factor, a.step FROM ok a JOIN ok b ON a.factor = b.factor AND a
 m AS (SELECT coalesce(a.factor, b.factor) AS factor, coalesce(a.step, b.step + 1) AS step, abs(coalesce(a.pos, 0) - coalesce(b.pos, 0)) / 2 AS change
   FROM p a FULL JOIN p b ON a.factor = b.factor AND a.step = b.step + 1 AND a.instrument_id = b.instrument_id),
 t AS (SELECT factor, step, sum(change) AS change FROM m JOIN adj USING (factor, step) GROUP BY 1, 2)
-SELECT factor, {q6("avg(change)", "turnover")}, count(*) AS turnover_observations FROM t GROUP BY 1""",
+SELECT n.factor, {q6("avg(change)", "turnover")}, count(change) AS turnover_observations
+FROM (VALUES {", ".join(f"('{n}')" for n in NAMES)}) n(factor) LEFT JOIN t ON t.factor = n.factor GROUP BY 1""",
 )
 def rank_turnover(spark, sf):
     panel = scored_panel(spark, sf)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from factorloom.operators import library, scoring, targets, triallog
+from factorloom.operators.blocks import frozen
 from factorloom.operators.portfolio import following
 
 from .base import FOLD, q6, query, r6, rows_of, table
@@ -118,6 +119,7 @@ def admission(spark, sf):
     rows = targets.split_rows(twin, FOLD.val).withColumn(
         "row_id", F.xxhash64("exchange", "instrument_id", "trading_day")
     )
+    rows = frozen(rows.select("row_id", "trading_day", "target", *names))
     pairs = library.pairwise_spearman(rows, names, rows=panel.rows)
 
     def residual(name, direction, members):
