@@ -45,6 +45,9 @@ def attach_ranks(
         if count:
             columns[count] = F.count(x).over(Window.partitionBy(*keys))
         return df.withColumns(columns)
+    if not keys:
+        pooled = df.withColumn("__pool", F.lit(0))
+        return attach_ranks(pooled, ["__pool"], value, out, count, True, 1).drop("__pool")
     counts = cumulative_counts(df, keys, value)
     table = counts.select(
         *keys, value, (F.col("__upto") - (F.col("__n") - 1) / 2).alias(out)
