@@ -1,0 +1 @@
+"""Panel factor research on Spark: operators, preparation, scoring, selection and combination."""

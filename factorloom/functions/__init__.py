@@ -1,0 +1 @@
+"""Factor expressions, Column functions and array kernels."""

@@ -1,0 +1 @@
+"""Distributed operators over panels."""

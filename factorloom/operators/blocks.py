@@ -39,9 +39,14 @@ def footer_rows(df: DataFrame) -> int:
     return df.count()
 
 
-def oversized(df: DataFrame, keys: Sequence[str], bound: int | None = None) -> bool:
-    """Whether some key holds more rows than a task should sort."""
-    limit = group_limit(df.sparkSession)
+def oversized(
+    df: DataFrame, keys: Sequence[str], bound: int | None = None, share: int = 1
+) -> bool:
+    """Whether some key holds more rows than a task should sort.
+
+    `share` divides the limit for operations that keep several copies or heavier state per row.
+    """
+    limit = group_limit(df.sparkSession) // share
     if bound is not None and bound <= limit:
         return False
     if not keys:

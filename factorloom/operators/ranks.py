@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .blocks import join_stats, oversized, running
 
 
+# A `percentile` buffer entry costs several times a sorted row.
+HEAVY = 4
+
+
 def cumulative_counts(
     df: DataFrame, keys: Sequence[str], value: str, weight: Column | None = None
 ) -> DataFrame:
@@ -96,7 +100,7 @@ def quantiles(
     cumulative counts instead.  Without keys the result has a single row.
     """
     if split is None:
-        split = oversized(df, keys, None if bound is None else bound * len(values))
+        split = oversized(df, keys, bound, share=HEAVY * len(values))
     if not split:
         points = F.array(*[F.lit(float(p)) for p in probabilities])
         aggregates = [F.percentile(v, points).alias(f"{v}_q") for v in values]

@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.guards import is_finite
-from .blocks import oversized, running
+from .blocks import join_stats, oversized, running
+from .ranks import quantiles
 
 OUTCOMES = ("probing", "seabed", "saturated", "land")
 
@@ -20,7 +21,9 @@ def reason_counts(trials: DataFrame, keys: Sequence[str]) -> DataFrame:
     return trials.groupBy(*keys, "reason").agg(F.count(F.lit(1)).alias("trials"))
 
 
-def region_evidence(trials: DataFrame, min_coverage: float = 0.0) -> DataFrame:
+def region_evidence(
+    trials: DataFrame, min_coverage: float = 0.0, rows: int | None = None
+) -> DataFrame:
     """Per region: attempts, qualified evaluations, quartiles of train / val / gap and a label."""
     success = F.col("status") == "success"
     qualified = (
@@ -32,30 +35,40 @@ def region_evidence(trials: DataFrame, min_coverage: float = 0.0) -> DataFrame:
     )
     train, val = F.abs("train"), F.col("val")
     values = {"train": train, "val": val, "gap": train - val}
-    columns = []
-    for name, c in values.items():
-        x = F.when(qualified, c)
-        ends = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        columns += [ends[i].alias(f"{name}_{q}") for i, q in enumerate(("q1", "median", "q3"))]
-    positive = F.count_if(qualified & (val > 0))
-    negative = F.count_if(qualified & (val < 0))
-    neutral = F.count_if(qualified & (val == 0))
-    n = F.count_if(qualified)
+    marked = trials.select(
+        "region",
+        "accepted",
+        success.alias("__success"),
+        qualified.alias("__qualified"),
+        *[F.when(qualified, c).alias(f"__{n}") for n, c in values.items()],
+    )
+    ok, signed = F.col("__qualified"), F.col("__val")
+    positive, negative = F.count_if(ok & (signed > 0)), F.count_if(ok & (signed < 0))
+    neutral, n = F.count_if(ok & (signed == 0)), F.count_if(ok)
     label = (
         F.when(n == 0, "insufficient samples")
         .when(((positive > 0) & (negative > 0)) | (neutral > 0), "mixed evidence")
         .when(positive > 0, "preliminary support")
         .otherwise("weak validation this round")
     )
-    return trials.groupBy("region").agg(
+    counts = marked.groupBy("region").agg(
         F.count(F.lit(1)).alias("attempts"),
-        F.count_if(success).alias("successful"),
+        F.count_if("__success").alias("successful"),
         n.alias("qualified"),
-        F.count_if(F.col("accepted")).alias("admitted"),
-        *columns,
+        F.count_if("accepted").alias("admitted"),
         F.try_divide(positive, n).alias("positive_ratio"),
         label.alias("evidence"),
     )
+    ends = quantiles(marked, ["region"], [f"__{c}" for c in values], (0.25, 0.5, 0.75), bound=rows)
+    spread = ends.select(
+        "region",
+        *[
+            F.col(f"__{c}_q")[i].alias(f"{c}_{q}")
+            for c in values
+            for i, q in enumerate(("q1", "median", "q3"))
+        ],
+    )
+    return join_stats(counts, spread, ["region"])
 
 
 def supporting_trials(trials: DataFrame, min_coverage: float = 0.0) -> DataFrame:

@@ -1,0 +1 @@
+"""Factor catalogues and the research cycle."""

@@ -1,0 +1 @@
+"""Reading, checking and preparing panels."""

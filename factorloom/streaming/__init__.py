@@ -1,0 +1 @@
+"""Empty on purpose: publication rules are batch rules, there is no streaming operator to offer."""

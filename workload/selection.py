@@ -202,7 +202,7 @@ _Q = "status = 'success' AND val IS NOT NULL AND coverage >= 0.3"
 FROM t GROUP BY 1""",
 )
 def region_evidence(spark, sf):
-    evidence = triallog.region_evidence(trials(spark, sf), 0.3)
+    evidence = triallog.region_evidence(trials(spark, sf), 0.3, rows_of(spark, sf, "orders"))
     values = [f"{n}_{q}" for n in ("train", "val", "gap") for q in ("q1", "median", "q3")]
     counts = ["attempts", "successful", "qualified", "admitted"]
     return evidence.select(
