@@ -46,18 +46,34 @@ def _other(kind: str) -> str:
     return "spearman" if kind == "pearson" else "pearson"
 
 
-def product_weights(df: DataFrame, period: DateRange, day: str = "trading_day") -> DataFrame:
-    """Square root of each product's eligible amount in the period; positive ones only."""
+def _weights(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     amount = F.col("amount").cast("double")
     usable = F.when(is_finite(amount) & (amount >= 0), amount)
     return (
-        df.where(period.holds(day) & flag(F.col("eligible")))
-        .groupBy("product")
+        df.where(flag(F.col("eligible")))
+        .groupBy(*keys)
         .agg(F.sqrt(F.sum(usable)).alias("weight"))
         .where(is_finite(F.col("weight")) & (F.col("weight") > 0))
     )
 
 
+def product_weights(df: DataFrame, period: DateRange, day: str = "trading_day") -> DataFrame:
+    """Square root of each product's eligible amount in the period; positive ones only."""
+    return _weights(df.where(period.holds(day)), ["product"])
+
+
+def split_weights(
+    df: DataFrame, fold: Fold, splits: Sequence[str], day: str = "trading_day"
+) -> DataFrame:
+    """The weights of several (disjoint) periods in one pass, with the `split` they belong to."""
+    label = None
+    for s in splits:
+        rule = getattr(fold, s).holds(day)
+        label = F.when(rule, s) if label is None else label.when(rule, s)
+    marked = df.withColumn("split", label).where(F.col("split").isNotNull())
+    return _weights(marked, ["split", "product"])
+
+
 def long_scores(df: DataFrame, factors: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """Rows of (keep..., factor, value); a single projection, no shuffle."""
     return df.unpivot(list(keep), list(factors), "factor", "value")
@@ -174,16 +190,6 @@ def label_splits(df: DataFrame, fold: Fold, splits: Sequence[str] = ("train", "v
     return df.withColumn("split", F.when(usable, chain)).where(F.col("split").isNotNull())
 
 
-def split_weights(df: DataFrame, fold: Fold, splits: Sequence[str]) -> DataFrame:
-    parts = [
-        product_weights(df, getattr(fold, s)).withColumn("split", F.lit(s)) for s in splits
-    ]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    return union
-
-
 def clip_scores(
     long: DataFrame, bounds: DataFrame | None, target_bounds: DataFrame | None
 ) -> DataFrame:
@@ -227,24 +233,26 @@ def evaluate_factors(
     labelled = frozen(label_splits(df, fold).select(*keep, *factors))
     train = labelled.where(F.col("split") == "train")
     long = long_scores(labelled, factors, keep)
-    raw = long.where(F.col("split") == "val").groupBy("factor").agg(
-        F.avg(is_finite(F.col("value")).cast("double")).alias("coverage")
-    )
+    long = long.withColumn("__raw", F.col("value"))
     if probabilities is not None:
-        bounds = fit_bounds(train, factors, probabilities, rows)
-        long = clip_scores(long, bounds, clip_bounds(train, ["target"], probabilities, rows=rows))
-    spread = (
-        long.where(is_finite(F.col("value")))
-        .groupBy("factor")
-        .agg((F.min("value") == F.max("value")).alias("__constant"))
+        # The target rides along as one more column, so all bounds come from one pass.
+        ends = fit_bounds(train, [*factors, "target"], probabilities, rows)
+        target = ends.where(F.col("factor") == "target").select(
+            F.col("lower").alias("target_lower"), F.col("upper").alias("target_upper")
+        )
+        long = clip_scores(long, ends, target)
+    seen = F.when(F.col("split") == "val", is_finite(F.col("__raw")).cast("double"))
+    clean = finite(F.col("value"))
+    shares = long.groupBy("factor").agg(
+        F.avg(seen).alias("coverage"), (F.min(clean) == F.max(clean)).alias("__constant")
     )
     groups = group_ic(long, ["factor", "split"], group, rows=rows)
     measured = aggregate_ic(groups, ["factor", "split"], metric, weights)
-    return directed_metrics(measured, raw, spread, metric, factors)
+    return directed_metrics(measured, shares, metric, factors)
 
 
 def directed_metrics(
-    measured: DataFrame, coverage: DataFrame, spread: DataFrame, metric: str, factors: Sequence[str]
+    measured: DataFrame, shares: DataFrame, metric: str, factors: Sequence[str]
 ) -> DataFrame:
     """Pivot train / val, fix the direction on train and derive the status."""
     columns = []
@@ -259,15 +267,14 @@ def directed_metrics(
     names = [(f, n) for f in factors for n, _, _ in metric_names(metric)]
     # One row per factor and metric name: the size of the catalogue, not of the data.
     grid = spark.createDataFrame(names, "factor string, metric string")
-    wide = join_stats(grid, wide, ["factor", "metric"])
+    wide = join_stats(grid, wide, ["factor", "metric"], FACTOR_ROWS)
     first = wide.where(F.col("metric") == metric_names(metric)[0][0])
     direction = F.when(F.col("train") < 0, -1).when(F.col("train").isNotNull(), 1)
     primary = first.select(
         "factor", direction.alias("direction"), F.col("val_raw").alias("__val")
     )
-    joined = join_stats(wide, primary, ["factor"])
-    joined = join_stats(joined, coverage, ["factor"])
-    joined = join_stats(joined, spread, ["factor"])
+    joined = join_stats(wide, primary, ["factor"], FACTOR_ROWS)
+    joined = join_stats(joined, shares, ["factor"], FACTOR_ROWS)
     status = (
         F.when(F.col("__constant"), "constant_factor")
         .when(F.col("direction").isNull(), "undefined_train_metric")
