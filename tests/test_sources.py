@@ -205,6 +205,18 @@ def test_daily_bars_wait_for_the_next_day(spark):
     assert out[0]["close"] == 3.5 and out[0]["volume"] == 4.0
 
 
+def test_coarse_inputs_are_checked(spark):
+    df = five_minutes(spark, 6)
+    spec = market.panel_spec(df.columns)
+    coarse.check_base(df, spec)
+    moved = df.withColumn("trading_day", F.when(F.col("open") != 3, F.col("trading_day")).otherwise(F.lit(date(2020, 1, 1))))
+    with pytest.raises(ValueError, match="backward"):
+        coarse.check_base(moved, spec)
+    hourly = df.withColumn("bar_interval_minutes", F.lit(60))
+    with pytest.raises(ValueError, match="5-minute"):
+        coarse.with_mixed_features(Panel(hourly, spec), {"c": coarse.at("30m", fx.field("close"))})
+
+
 def test_bucket_ends_follow_the_session_zone(spark, configured):
     df = spark.createDataFrame([(datetime(2020, 1, 1, 0, 40),)], "t timestamp")
     end = df.select(F.unix_micros(coarse.bucket_end("t", 60)).alias("e")).first()["e"]

@@ -7,6 +7,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from factorloom.operators.blocks import join_stats
 from factorloom.operators.panel import Panel, PanelSpec
 from factorloom.operators.targets import DateRange, Fold
 
@@ -62,7 +63,8 @@ SUPPLIER = PanelSpec(
 
 
 def cents(name: str) -> Column:
-    return F.round(F.col(name) * 100).cast("long")
+    """Whole cents of a two-digit amount (a decimal rounding per row would cost more)."""
+    return F.floor(F.col(name) * 100 + 0.5)
 
 
 def trade(spark: SparkSession, sf: str, unit: str = "day") -> DataFrame:
@@ -71,9 +73,10 @@ def trade(spark: SparkSession, sf: str, unit: str = "day") -> DataFrame:
     Money is summed in whole cents, so the result does not depend on the order of addition.
     """
     unit_price = F.col("l_extendedprice") / F.col("l_quantity")
+    day = F.col("l_shipdate").cast("date")
     bars = table(spark, sf, "lineitem").groupBy(
         F.col("l_suppkey").alias("instrument_id"),
-        F.date_trunc(unit, "l_shipdate").cast("date").alias("trading_day"),
+        (day if unit == "day" else F.trunc(day, unit)).alias("trading_day"),
     ).agg(
         F.max(unit_price).alias("high"),
         F.min(unit_price).alias("low"),
@@ -91,7 +94,9 @@ def trade(spark: SparkSession, sf: str, unit: str = "day") -> DataFrame:
             F.col("r_name").alias("exchange"),
         )
     )
-    priced = bars.join(places, "instrument_id").withColumn("price", F.col("amount") / F.col("volume"))
+    # Every line has a supplier; the footer count bounds the lookup's size.
+    placed = join_stats(bars, places, ["instrument_id"], rows_of(spark, sf, "supplier"))
+    priced = placed.withColumn("price", F.col("amount") / F.col("volume"))
     whole = F.col("volume").cast("long")
     return priced.withColumns(
         {

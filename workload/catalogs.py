@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from factorloom.operators.blocks import join_stats
 from factorloom.operators.panel import Panel, PanelSpec
 from factorloom.operators.scoring import CROSS_SECTIONAL, metric_names
 from factorloom.plans import characteristics, cta, sweep
@@ -42,7 +43,8 @@ def region_days(spark, sf) -> DataFrame:
         .select(F.col("s_suppkey").alias("l_suppkey"), F.col("r_name").alias("product"))
     )
     totals = ["n", "c", "q", "disc", "tax", "cA", "qA", "cN", "qN", "cR", "qR"]
-    days = per_supplier.join(places, "l_suppkey").groupBy("product", "trading_day").agg(
+    placed = join_stats(per_supplier, places, ["l_suppkey"], rows_of(spark, sf, "supplier"))
+    days = placed.groupBy("product", "trading_day").agg(
         F.max("high").alias("high"), F.min("low").alias("low"), *[F.sum(t).alias(t) for t in totals]
     )
 
