@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import feature as fx
 from ..functions.feature import Feature
-from ..operators.blocks import join_stats
+from ..operators.blocks import frozen, join_stats
 from ..operators.monthly import PRODUCT, Reduction, calendar_months, observed_segments
 from ..operators.panel import Panel, PanelSpec
 
@@ -127,7 +127,11 @@ NAMES = (*monthly_features(), "ivolaBGR")
 
 
 def monthly_base(base: DataFrame, curve: DataFrame, rows: int | None = None) -> DataFrame:
-    """Monthly reductions of both daily panels on the base panel's month grid."""
+    """Monthly reductions of both daily panels on the base panel's month grid.
+
+    The daily panels feed the calendar, the segments and the reductions, so they are written once.
+    """
+    base, curve = frozen(base), frozen(curve)
     calendar = base.select("trading_day").union(curve.select("trading_day")).distinct()
     spec = daily_spec()
     daily = Panel(observed_segments(base, calendar, rows=rows), spec, rows)
