@@ -75,10 +75,11 @@ class Texts:
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, end and text number of every word, in order."""
+    def words(self, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and text number of every word, in order; `inside` may mark other runs of bytes."""
         b = self.buf
-        inside = ~((b == 32) | ((b >= 9) & (b <= 13)))
+        if inside is None:
+            inside = ~((b == 32) | ((b >= 9) & (b <= 13)))
         first = np.zeros(len(b) + 1, bool)
         first[self.offsets] = True
         before = np.concatenate(([False], inside[:-1])) if len(b) else inside
@@ -119,19 +120,34 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        size = max(n, BATCH_BYTES + (1 << 18))
+        size = max(n + n // 4, BATCH_BYTES + (1 << 18))
         _powers["up"] = np.cumprod(np.full(size, _BASE, np.uint64))
         _powers["down"] = np.cumprod(np.full(size, inverse, np.uint64))
     return _powers["up"], _powers["down"]
 
 
+class SpanHashes:
+    """64-bit hashes of any spans of a buffer, from one prefix sum of a polynomial."""
+
+    def __init__(self, buf: np.ndarray):
+        up, self.down = _powers_to(len(buf) + 1)
+        self.total = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=self.total[1:])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = (self.total[ends] - self.total[starts]) * self.down[starts]
+        return mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of buf[start:end] for each span, from one prefix sum of a polynomial."""
-    up, down = _powers_to(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    """Hash of buf[start:end] for each span."""
+    return SpanHashes(buf).of(starts, ends)
+
+
+def letters(buf: np.ndarray) -> np.ndarray:
+    """Which bytes are ASCII letters or belong to characters beyond ASCII."""
+    folded = buf | 32
+    return ((folded >= 97) & (folded <= 122)) | (buf >= 128)
 
 
 def lowered(buf: np.ndarray) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, separator_scan, token_files
+from . import dart_minhash, kneser_ney, mixing, packing, quality, separator_scan, token_files, toxicity
 from .tokenizer import vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,47 @@ def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf, "labels"))
+    return toxicity.with_scores(docs, model).select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Base counts and the log-likelihood verdict of every document."""
+    docs = table(spark, sf, "documents")
+    ratios = quality.bucket_ratios(docs, quality.trusted(table(spark, sf, "labels")))
+    return quality.judge(docs.select("doc_id", "text"), ratios).select("doc_id", "__quality.*")
+
+
+@query
+def op6_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Kneser-Ney log probability of every document, next to an add-one unigram score."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = kneser_ney.train(docs, kneser_ney.ORDER)
+    return kneser_ney.score(docs, model).withColumn("held_out", kneser_ney.held_out())
+
+
+@query
+def op7_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return dart_minhash.duplicate_classes(table(spark, sf, "documents"))
+
+
+@query
+def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mix(table(spark, sf, "documents"))
+
+
 @query
 def op9_token_files(spark: SparkSession, sf: str) -> DataFrame:
     """All documents written to token files and read back."""
