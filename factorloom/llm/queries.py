@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import dart_minhash, kneser_ney, mixing, packing, quality, separator_scan, token_files, toxicity
+from . import dart_minhash, html_extract, kneser_ney, mixing, nn_descent, packing, quality, separator_scan, token_files, toxicity
 from .tokenizer import vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op1_html_extract(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(table(spark, sf, "pages"))
+
+
 @query
 def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
     """All documents cut into windows of 1024 ids."""
@@ -53,6 +59,12 @@ def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge(docs.select("doc_id", "text"), ratios).select("doc_id", "__quality.*")
 
 
+@query
+def op5_nn_descent(spark: SparkSession, sf: str) -> DataFrame:
+    """Links and components of all embeddings."""
+    return nn_descent.near_duplicates(table(spark, sf, "embeddings"))
+
+
 @query
 def op6_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Kneser-Ney log probability of every document, next to an add-one unigram score."""
