@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import frozen, text_batches
+from .common import frozen, spread, text_batches
 from .tokenizer import encoder
 
 WINDOW = 1024
@@ -27,9 +27,11 @@ TOKENS = "part int, doc_id {id}, part_start long, doc_tokens long, ids binary"
 PIECES = "doc_id {id}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def _binaries(ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> pa.Array:
-    raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
-    return pa.array([bytes(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist())], pa.binary())
+def _binaries(ids: np.ndarray, borders: np.ndarray) -> pa.Array:
+    """Binary array of the stretches of uint32 ids between neighbouring borders, without a copy."""
+    offsets = pa.py_buffer((4 * borders).astype("<i4"))
+    data = pa.py_buffer(np.ascontiguousarray(ids, "<u4"))
+    return pa.Array.from_buffers(pa.binary(), len(borders) - 1, [None, offsets, data])
 
 
 def tokenized(
@@ -48,7 +50,7 @@ def tokenized(
                     batch.column(0),
                     pa.array(done + borders[:-1]),
                     pa.array(np.diff(borders)),
-                    _binaries(ids, borders[:-1], borders[1:]),
+                    _binaries(ids, borders),
                 ],
                 names=["part", "doc_id", "part_start", "doc_tokens", "ids"],
             )
@@ -73,25 +75,29 @@ def pack(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                begin, ids = batch.column(1)[row].as_py(), batch.column(2)[row].as_buffer()
-                n = len(ids) // 4
-                first = begin // window
-                k = np.arange(first, (begin + n - 1) // window + 1)
-                start = np.maximum(k * window - begin, 0)
-                stop = np.minimum((k + 1) * window - begin, n)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(np.full(len(k), row))),
-                        pa.array(start),
-                        pa.array(stop - start),
-                        pa.array(np.full(len(k), n)),
-                        pa.array(k),
-                        pa.array(begin + start - k * window),
-                        _binaries(np.frombuffer(ids, "<u4"), start, stop),
-                    ],
-                    names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
-                )
+            rows, column = batch.num_rows, batch.column(2)
+            begin = batch.column(1).to_numpy()
+            at = np.frombuffer(column.buffers()[1], "<i4")[column.offset : column.offset + rows + 1] // 4
+            ids = np.frombuffer(column.buffers()[2], "<u4", count=int(at[-1]))[at[0] :]
+            n = np.diff(at).astype(np.int64)
+            first = begin // window
+            pieces = (begin + n - 1) // window - first + 1
+            row = np.repeat(np.arange(rows), pieces)
+            k = spread(first, pieces)
+            start = np.maximum(k * window - begin[row], 0)
+            length = np.minimum((k + 1) * window - begin[row], n[row]) - start
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(row)),
+                    pa.array(start),
+                    pa.array(length),
+                    pa.array(n[row]),
+                    pa.array(k),
+                    pa.array(begin[row] + start - k * window),
+                    _binaries(ids, np.concatenate(([0], np.cumsum(length)))),
+                ],
+                names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
+            )
 
     return placed.mapInArrow(cut, PIECES.format(id=tokens.schema["doc_id"].dataType.simpleString()))
 
