@@ -44,7 +44,7 @@ BLOCKS = frozenset(
     "figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol optgroup option p pre section "
     "summary table tbody td tfoot th thead tr ul".split()
 )
-CONTAINERS = (BLOCKS | SKIPPED | frozenset("span a".split())) - frozenset("hr p".split())
+CONTAINERS = (BLOCKS | SKIPPED) - {"hr"}
 #: Words of class, id and role that mark parts around the article.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr "
@@ -53,6 +53,9 @@ MARKS = frozenset(
     "disqus respond reply replies subscribe newsletter signup login search form dialog pagination pager toolbar "
     "widget skip".split()
 )
+#: Those of them that may also name a layout around the article or, in a main part, its own head.
+LAYOUT = frozenset("nav navbar navigation menu header masthead topbar sidebar banner toolbar".split())
+HEADS = frozenset("header masthead topbar banner".split())
 #: A new article ends these where their end tag is missing.
 LEFT_OPEN = frozenset("nav header".split())
 
@@ -65,19 +68,21 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 
-def _marked(tag: str, rest: str) -> tuple[bool, bool]:
-    """Whether attributes mark the element as a part around the article, and as the main part."""
+def _marks(tag: str, rest: str) -> tuple[frozenset[str], bool]:
+    """Which marks an element's attributes carry, and whether they declare it the main part."""
     if not rest or tag in ("body", "html"):
-        return False, False
+        return frozenset(), False
     names = {}
     for m in _ATTRIBUTE.finditer(rest):
         names.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
     if names.get("role") == "main":
-        return False, True
-    words = set(re.split(r"[^a-z]+", " ".join(names.get(k, "") for k in ("class", "id", "role"))))
-    return bool(words & MARKS) or bool(_HIDDEN.search(rest)), False
+        return frozenset(), True
+    words = re.split(r"[^a-z]+", " ".join(names.get(k, "") for k in ("class", "id", "role")))
+    return MARKS.intersection(words) | ({"hidden"} if _HIDDEN.search(rest) else frozenset()), False
 
 
+#: How far an element's text is from the article's: it may be, only in an article inside, never.
+OPEN, LAID_OUT, AWAY = 0, 1, 2
 AROUND, BODY, MAIN = 0, 1, 2
 
 
@@ -85,8 +90,8 @@ def blocks(html: str) -> list[tuple[int, str]]:
     """(kind, text) of every block in page order: AROUND the article, in the BODY, in a declared MAIN part."""
     out: list[tuple[int, str]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, skipped, main
-    skipped = main = False
+    stack: list[tuple[str, int, bool]] = []  # tag, distance, main
+    skipped, main = OPEN, False
 
     def close() -> None:
         if parts:
@@ -95,8 +100,8 @@ def blocks(html: str) -> list[tuple[int, str]]:
                 out.append((AROUND if skipped else MAIN if main else BODY, text))
             parts.clear()
 
-    def state() -> tuple[bool, bool]:
-        return stack[-1][1:] if stack else (False, False)
+    def state() -> tuple[int, bool]:
+        return stack[-1][1:] if stack else (OPEN, False)
 
     at = 0
     for m in _TOKEN.finditer(html):
@@ -119,6 +124,8 @@ def blocks(html: str) -> list[tuple[int, str]]:
                     del stack[depth:]
                     break
         elif not m["rest"].endswith("/") or tag in BLOCKS:
+            if stack and stack[-1][0] == "p":
+                stack.pop()  # a block ends an open paragraph
             if tag in ("article", "main"):
                 for depth, (name, _, _) in enumerate(stack):
                     if name in LEFT_OPEN:
@@ -127,11 +134,16 @@ def blocks(html: str) -> list[tuple[int, str]]:
             elif tag in ("li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == tag:
                 stack.pop()  # its end tag may be left out
             skipped, main = state()
-            away, declared = _marked(tag, m["rest"])
-            away = away or tag in SKIPPED or (tag == "header" and not main)
-            if tag in ("article", "main") and not skipped:
-                declared = not away
-            stack.append((tag, skipped or away, main or declared))
+            marks, declared = _marks(tag, m["rest"])
+            if main:
+                marks -= HEADS
+            if tag in ("article", "main") and skipped <= (AWAY if tag == "main" else LAID_OUT) and not marks:
+                skipped, declared = OPEN, True
+            if tag in SKIPPED or (tag == "header" and not main) or marks - LAYOUT:
+                skipped = AWAY
+            elif marks:
+                skipped = max(skipped, LAID_OUT if tag in ("div", "section") else AWAY)
+            stack.append((tag, skipped, main or declared))
         skipped, main = state()
     if at < len(html):
         parts.append(html[at:])
