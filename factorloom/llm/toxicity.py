@@ -50,7 +50,8 @@ class Model:
     def scores(self, texts: Texts) -> np.ndarray:
         doc, word = matches(texts, self.words)
         logits = np.stack([np.bincount(doc, weights=w[word], minlength=len(texts)) for w in self.weights])
-        return (1 / (1 + np.exp(-np.clip(logits + self.intercepts[:, None], -40, 40)))).mean(0)
+        with np.errstate(over="ignore"):
+            return (1 / (1 + np.exp(-logits - self.intercepts[:, None]))).mean(0)
 
     def score(self, text: Column) -> Column:
         """Score column of a text column; works in any projection."""
