@@ -12,7 +12,7 @@ import corpus_pipeline
 from factorloom.llm import QUERIES, dart_minhash, quality, toxicity
 from factorloom.llm.tokenizer import encoder, vocabulary
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
 needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="tables are not available")
@@ -20,7 +20,7 @@ needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="tables are
 
 @needs_tables
 def test_stages_take_effect(spark, tmp_path):
-    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
     odd = spark.createDataFrame(
         [(None, "null id " * 30, None, None, None), (70001, None, "en", "src1", 0), (70002, "", None, None, 0)],
         docs.schema,
@@ -28,19 +28,19 @@ def test_stages_take_effect(spark, tmp_path):
     rows = docs.unionByName(odd).withColumn("kept", F.lit("clash"))
     names = []
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        before, after = rows, stage(spark, rows, FOLDER)
+        before, after = rows, stage(spark, rows, LARGER)
         assert after.columns == before.columns and after.schema["doc_id"] == before.schema["doc_id"]
         path = str(tmp_path / name)
         after.write.parquet(path)
         rows = spark.read.parquet(path)
         names.append(name)
         if name == "toxicity":
-            model = toxicity.train(before, spark.read.parquet(f"{FOLDER}/labels.parquet"))
+            model = toxicity.train(before, spark.read.parquet(f"{LARGER}/labels.parquet"))
             toxic = before.filter(model.score(F.col("text")) >= toxicity.THRESHOLD).count()
             assert toxic > 0 and rows.count() == before.count() - toxic
         elif name == "quality_rules":
             assert rows.filter("text IS NULL OR text = ''").count() == 0
-            labels = spark.read.parquet(f"{FOLDER}/labels.parquet").filter("quality = 1")
+            labels = spark.read.parquet(f"{LARGER}/labels.parquet").filter("quality = 1")
             good = before.join(labels, "doc_id", "left_semi")
             lost = good.join(rows, "doc_id", "left_anti").count()
             assert lost <= 0.03 * good.count()
@@ -50,7 +50,7 @@ def test_stages_take_effect(spark, tmp_path):
         else:
             words = lambda df: sum(len(WORD.findall(r.text)) for r in df.select("text").collect())
             assert words(rows) == pytest.approx(1.5 * words(before), rel=0.02)
-    pieces = corpus_pipeline.STAGES[-1][1](spark, rows, FOLDER).collect()
+    pieces = corpus_pipeline.STAGES[-1][1](spark, rows, LARGER).collect()
     own = encoder(vocabulary("byte_bpe_50k.json")).tokenizer
     texts = [r.text for r in rows.collect()]
     lengths = sorted(len(own.encode(t, add_special_tokens=False).ids) + 1 for t in texts)
