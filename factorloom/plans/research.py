@@ -119,13 +119,9 @@ def build_library(study: Study, measured: DataFrame, order: Sequence[str]) -> Da
         rows = targets.apply_clipping(rows, {c: known.get(c) for c in fitted})
     rows = frozen(rows)
     pairs = library.pairwise_spearman(rows, study.factors, rows=study.rows)
-    weights = study.weights("val")
-
-    def residual(name: str, direction: int, members: list[str]):
-        row = library.residual_ic(rows, {name: direction}, members, p.metric, weights, study.rows).first()
-        return row["residual_ic"], row["library_r2"]
-
-    wanted = residual if p.rules.min_residual_ic is not None else None
+    wanted = None
+    if p.rules.min_residual_ic is not None:
+        wanted = library.ResidualStudy(rows, study.factors, p.metric, study.weights("val"), study.rows)
     return library.admission_frame(measured, pairs, order, p.metric, p.rules, wanted)
 
 

@@ -100,15 +100,13 @@ def rows_by_year(bars: DataFrame) -> DataFrame:
     return bars.groupBy(F.year("trading_day").alias("year")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def anomalies(bars: DataFrame, samples: int = 20) -> DataFrame:
-    """The first few rows that violate the OHLC ordering, for inspection."""
+def anomalies(bars: DataFrame, samples: int | None = None) -> DataFrame:
+    """All rows that violate the OHLC ordering; the first `samples` of them if a number is given."""
     names = quality_fields(bars.columns)
-    return (
-        bars.where(_invalid(names))
-        .select("timestamp", "exchange", "instrument_id", *names)
-        .orderBy("timestamp", "exchange", "instrument_id")
-        .limit(samples)
-    )
+    broken = bars.where(_invalid(names)).select("timestamp", "exchange", "instrument_id", *names)
+    if samples is None:
+        return broken
+    return broken.orderBy("timestamp", "exchange", "instrument_id").limit(samples)
 
 
 def parity(

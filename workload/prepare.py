@@ -251,7 +251,7 @@ def audit_rows_by_year(spark, sf):
 @query(
     "audit_anomalies",
     f"""WITH {LINES} SELECT timestamp, exchange, instrument_id, {q6("open", "open")} FROM b
-WHERE {_BROKEN} ORDER BY b.timestamp, exchange, instrument_id LIMIT 20""",
+WHERE {_BROKEN}""",
 )
 def audit_anomalies(spark, sf):
     return rounded(audits.anomalies(line_bars(spark, sf)), ["timestamp", "exchange", "instrument_id"], ["open"])

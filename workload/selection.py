@@ -122,20 +122,17 @@ def admission(spark, sf):
     rows = frozen(rows.select("row_id", "trading_day", "target", *names))
     pairs = library.pairwise_spearman(rows, names, rows=panel.rows)
 
-    def residual(name, direction, members):
-        row = library.residual_ic(rows, {name: direction}, members, STOCKS, rows=panel.rows).first()
-        return row["residual_ic"], row["library_r2"]
-
-    rules = library.AdmissionRules(min_corr_overlap=20, min_abs_val_ic=-1.0)
-    return library.admission_frame(metrics, pairs, names, STOCKS, rules, residual)
+    study = library.ResidualStudy(rows, names, STOCKS, rows=panel.rows)
+    rules = library.AdmissionRules(min_corr_overlap=20, min_abs_val_ic=-1.0, min_residual_ic=0.0)
+    return library.admission_frame(metrics, pairs, names, STOCKS, rules, study)
 
 
 @query("effective_dimensions")
 def effective_dimensions(spark, sf):
     rows, bound = val_rows(spark, sf)
     wide = rows.withColumns({"drift": F.col("momentum") - F.col("stretch") / 5, "range": F.col("high") - F.col("low")})
-    factors = [*NAMES, "price", "volume", "drift", "range"]
-    return library.effective_dimensions(wide, factors, size=4, rows=bound)
+    factors = [*NAMES, "price", "volume", "drift", "range", "high", "low"]
+    return library.effective_dimensions(wide, factors, size=7, rows=bound)
 
 
 # --- trial logs -----------------------------------------------------------------------------------
