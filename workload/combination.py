@@ -252,22 +252,32 @@ def transformed_target(spark, sf):
     return rounded(combine.transformed_target(rows, train, ends), KEY, ["target"])
 
 
+_ARM = f"""sc AS (WITH {_prep_sql(TWO)}, {_normal_equations(False)},
+  off AS (SELECT avg(yc) - b1 * avg(z_momentum) - b2 * avg(z_stretch) AS c FROM us, co GROUP BY b1, b2)
+  SELECT l.instrument_id, l.trading_day, c + b1 * (least(greatest(momentum, lo_momentum), hi_momentum) - m_momentum) / s_momentum
+    + b2 * coalesce((CASE WHEN stretch IS NOT NULL THEN least(greatest(stretch, lo_stretch), hi_stretch) END - m_stretch) / s_stretch, 0) AS arm
+  FROM l, ends, mo, co, off WHERE split = 'test')"""
+
+
 @query(
     "arm_predictions",
-    f"""WITH {SCORED}, {_prep_sql(["momentum"])},
-one AS (SELECT covar_pop(z_momentum, yc) / var_pop(z_momentum) AS b, avg(yc) AS my, avg(z_momentum) AS mz FROM us)
-SELECT instrument_id, trading_day,
-  {q6("(least(greatest(momentum, lo_momentum), hi_momentum) - m_momentum) / s_momentum * b + my - b * mz", "baseline", 7)}
-FROM l, ends, mo, one WHERE split = 'test' AND momentum IS NOT NULL""",
+    f"""WITH {SCORED}, known AS (SELECT * FROM l WHERE momentum IS NOT NULL), {_prep_sql(["momentum"])},
+one AS (SELECT covar_pop(z_momentum, yc) / var_pop(z_momentum) AS b, avg(yc) AS my, avg(z_momentum) AS mz FROM us),
+{_ARM.replace("FROM l", "FROM known AS l")}
+SELECT sc.instrument_id, sc.trading_day,
+  {q6("(least(greatest(momentum, lo_momentum), hi_momentum) - m_momentum) / s_momentum * b + my - b * mz", "baseline")},
+  {q6("arm", "search_5")}, {q6("arm", "union_5")}
+FROM l JOIN sc ON sc.instrument_id = l.instrument_id AND sc.trading_day = l.trading_day, ends, mo, one WHERE l.split = 'test'""",
 )
 def arm_predictions(spark, sf):
-    """Three arms fitted and scored on the baseline's rows; the baseline column is checked."""
+    """All arms fitted on the baseline's rows and scored; every arm's column is returned."""
     train, panel = _train(spark, sf)
-    arms = combine.assemble_arms(["momentum"], {"search": [(3, "stretch"), (9, "size")]}, [5, 10])
+    log = [("search", 3, "stretch", True, "accepted"), ("search", 9, "size", True, "accepted")]
+    trials = spark.createDataFrame(log, "method string, attempt int, factor string, accepted boolean, reason string")
+    arms = combine.assemble_arms(["momentum"], trials, [5, 10])
     anchor, models = combine.fit_arms(train, arms, rows=panel.rows)
     scored = combine.prediction_panel(targets.split_rows(panel.df, FOLD.test), anchor, models)
-    checked = scored.where(F.col("search_5").isNotNull() & F.col("union_10").isNotNull())
-    return rounded(checked, KEY, ["baseline"], 7)
+    return rounded(scored, KEY, ["baseline", "search_5", "union_5"], 6)
 
 
 _WHOLE = f"""WITH {PAIRED}, {_paired_sql("product")}"""
