@@ -243,6 +243,21 @@ cs_lagged_spread = _register(
 )
 OPERATORS["ts_apply"] = Operator("ts_apply", "kernel", 0, ("n",), history="window")
 OPERATORS["cs_apply"] = Operator("cs_apply", "cs_kernel", 0)
+OPERATORS["cs_reduce"] = Operator("cs_reduce", "cs_reduction", 0)
+
+
+@dataclass(frozen=True)
+class Reduction:
+    """A cross-section kernel in parts, so that no task needs a whole cross-section.
+
+    `partial(*arrays)` sums some members up in a short 1-D array, `merge(states)` combines such
+    arrays (one per row of a matrix) into one, and `finish(state, *arrays)` gives some members their
+    values.  The result may not depend on how members are split.
+    """
+
+    partial: Callable
+    merge: Callable
+    finish: Callable
 
 
 def ts_apply(kernel: Callable, series: Iterable, n: int) -> Feature:
@@ -255,10 +270,18 @@ def ts_apply(kernel: Callable, series: Iterable, n: int) -> Feature:
 
 
 def cs_apply(kernel: Callable, series: Iterable) -> Feature:
-    """Custom cross-section kernel over the eligible finite members of one time."""
+    """Custom cross-section kernel over the eligible finite members of one time.
+
+    The members of a time meet in one task; a kernel that can be split should be a `cs_reduce`.
+    """
     return Feature("cs_apply", tuple(_wrap(s) for s in series), (), kernel)
 
 
+def cs_reduce(reduction: Reduction, series: Iterable) -> Feature:
+    """Custom cross-section kernel given as partial sums, at any width of a time."""
+    return Feature("cs_reduce", tuple(_wrap(s) for s in series), (), reduction)
+
+
 # Short names for the same operators.
 sub, mul, div, lag, mean, std, zscore = subtract, multiply, divide, delay, ts_mean, ts_std, ts_zscore
 csrank = rank = cs_rank

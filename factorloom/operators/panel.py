@@ -8,7 +8,7 @@ from dataclasses import dataclass, field as _field, replace
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructField, StructType
 
 from ..functions import cross
 from ..functions.feature import OPERATORS, Feature
@@ -163,7 +163,7 @@ class _Stages:
         scope = self._scope(node)
         if scope in {"ts", "kernel"}:
             phase += phase % 2
-        elif scope in {"cs", "lagged", "cs_kernel"}:
+        elif scope in {"cs", "lagged", "cs_kernel", "cs_reduction"}:
             phase += 1 - phase % 2
         self.phase[node] = phase
         inside = [self.level[c] for c in children if self.phase[c] == phase]
@@ -311,7 +311,9 @@ class _Stages:
                     else:
                         plain[self.nodes[node]] = cross.windowed(node.op, x, node.params, spec.time)
                 elif scope == "cs_kernel":
-                    df = self._cross_kernel(df, node, split)
+                    df = self._cross_kernel(df, node)
+                elif scope == "cs_reduction":
+                    df = self._cross_reduction(df, node)
                 else:
                     plain[self.nodes[node]] = self._scalar(node)
             if plain:
@@ -340,16 +342,15 @@ class _Stages:
             df = join_stats(df, returns, [spec.time], times)
         return df
 
-    def _cross_kernel(self, df: DataFrame, node: Feature, split: bool) -> DataFrame:
-        """A custom kernel needs its whole cross-section, so an oversized one is refused."""
-        if split:
-            raise ValueError("cs_apply: a cross-section exceeds the rows one task may hold")
-        columns, out, kernel = [self.nodes[a] for a in node.args], self.nodes[node], node.kernel
-        usable = F.lit(True)
-        if self.spec.eligible:
-            usable = flag(F.col(self.spec.eligible))
+    def _usable(self, columns: Sequence[str]) -> Column:
+        usable = flag(F.col(self.spec.eligible)) if self.spec.eligible else F.lit(True)
         for c in columns:
             usable = usable & F.col(c).isNotNull()
+        return usable
+
+    def _cross_kernel(self, df: DataFrame, node: Feature) -> DataFrame:
+        """A custom kernel gets the members of a time in one task, whatever their number."""
+        columns, out, kernel = [self.nodes[a] for a in node.args], self.nodes[node], node.kernel
         ordered = [(c, "ascending") for c in (*self.spec.identity, *self.spec.ties)]
 
         def apply(table: pa.Table) -> pa.Table:
@@ -362,10 +363,61 @@ class _Stages:
             good = np.isfinite(values)
             return table.append_column(out, pa.array(values, mask=~good))
 
-        marked = df.withColumn("__usable", usable)
+        marked = df.withColumn("__usable", self._usable(columns))
         schema = StructType(marked.schema.fields + [StructField(out, DoubleType())])
         return marked.groupBy(self.spec.time).applyInArrow(apply, schema).drop("__usable")
 
+    def _cross_reduction(self, df: DataFrame, node: Feature) -> DataFrame:
+        """Partial states per batch and time, merged per time, finished where the rows are."""
+        columns, out, parts, time = [self.nodes[a] for a in node.args], self.nodes[node], node.kernel, self.spec.time
+
+        def by_time(batch: pa.RecordBatch):
+            """Rows of each time, and the columns as arrays."""
+            code = batch.column(batch.schema.get_field_index(time)).dictionary_encode().indices
+            code = code.to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            cuts = np.flatnonzero(np.diff(code[order])) + 1
+            arrays = [batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in columns]
+            return np.split(order, cuts), arrays
+
+        def partial(batches):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                groups, arrays = by_time(batch)
+                states = [np.asarray(parts.partial(*[a[g] for a in arrays]), float).tolist() for g in groups]
+                first = batch.column(time).take(pa.array([int(g[0]) for g in groups]))
+                table = _in_utc(pa.table({time: first, "__state": pa.array(states, pa.list_(pa.float64()))}))
+                yield from table.to_batches()
+
+        def merge(table: pa.Table) -> pa.Table:
+            state = np.asarray(parts.merge(np.array(table["__state"].to_pylist(), float)), float)
+            one = pa.table({time: table[time].slice(0, 1), "__state": pa.array([state.tolist()], pa.list_(pa.float64()))})
+            return _in_utc(one)
+
+        def finish(batches):
+            for batch in batches:
+                values = np.full(batch.num_rows, np.nan)
+                if batch.num_rows:
+                    usable = batch.column("__usable").to_numpy(zero_copy_only=False).astype(bool)
+                    groups, arrays = by_time(batch)
+                    states = batch.column("__state")
+                    for g in groups:
+                        g = g[usable[g]]
+                        if len(g):
+                            state = np.array(states[int(g[0])].as_py(), float)
+                            values[g] = parts.finish(state, *[a[g] for a in arrays])
+                table = pa.Table.from_batches([batch]).append_column(out, pa.array(values, mask=~np.isfinite(values)))
+                yield from _in_utc(table).to_batches()
+
+        marked = df.withColumn("__usable", self._usable(columns))
+        kind = StructType([df.schema[time], StructField("__state", ArrayType(DoubleType()))])
+        states = marked.where("__usable").select(time, *columns).mapInArrow(partial, kind)
+        merged = states.groupBy(time).applyInArrow(merge, kind)
+        joined = marked.join(merged, time, "left")
+        schema = StructType(joined.schema.fields + [StructField(out, DoubleType())])
+        return joined.mapInArrow(finish, schema).drop("__usable", "__state")
+
 
 def product_panel(spec: PanelSpec, product: Sequence[str], segment: str | None, legs=None) -> PanelSpec:
     """The product view of a contract panel: same rows, history grouped by product."""

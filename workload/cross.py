@@ -128,3 +128,18 @@ SELECT instrument_id, trading_day, {q6("p / sum(abs(p)) OVER (PARTITION BY tradi
 )
 def custom_cross_kernel(spark, sf):
     return _run(spark, sf, {"share": fx.cs_apply(_share_of_gross, [X, fx.field("y")])}, "month")
+
+
+@query(
+    "custom_cross_reduction",
+    f"""WITH {trade_sql("month")}, w AS (SELECT *, CASE WHEN eligible THEN x * y END AS p FROM trade)
+SELECT instrument_id, trading_day, {q6("p / sum(abs(p)) OVER (PARTITION BY trading_day)", "share")} FROM w""",
+)
+def custom_cross_reduction(spark, sf):
+    """The same kernel in parts: no task needs a whole cross-section."""
+    share = fx.Reduction(
+        partial=lambda x, y: np.array([np.abs(x * y).sum()]),
+        merge=lambda states: states.sum(axis=0),
+        finish=lambda state, x, y: x * y / state[0],
+    )
+    return _run(spark, sf, {"share": fx.cs_reduce(share, [X, fx.field("y")])}, "month")
