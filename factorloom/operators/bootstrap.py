@@ -2,66 +2,81 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.guards import is_finite
-from .blocks import frozen, group_limit, join_stats
-from .ranks import cumulative_counts
+from .blocks import frozen
 
-# Replicates handled by one rank task, so that a product is shuffled repeats / CHUNK times.
-CHUNK = 100
+# Replicates that one task handles; a product's rows are shuffled repeats / CHUNK times.
+CHUNK = 250
 SUMS = ("n", "y", "yy", "b", "bb", "by", "p", "pp", "py", "be", "pe")
-
-
-def day_multiplicities(days: Sequence, block: int, repeats: int, seed: int) -> np.ndarray:
-    """How often each day is drawn per replicate: moving blocks of days, stratified by year.
-
-    Draws run year by year and replicate by replicate from one generator, so a seed fixes them.
-    """
-    if block < 1 or repeats < 1:
-        raise ValueError("block length and repeats must be positive")
-    rng = np.random.default_rng(seed)
-    years = np.array([d.year for d in days])
-    drawn = np.zeros((repeats, len(days)))
-    for year in np.unique(years):
-        own = np.flatnonzero(years == year)
-        length = min(block, own.size)
-        blocks = -(-own.size // length)
-        for replicate in range(repeats):
-            first = rng.integers(0, own.size - length + 1, size=blocks)
-            picks = np.add.outer(first, np.arange(length)).reshape(-1)[: own.size]
-            drawn[replicate, own] = np.bincount(picks, minlength=own.size)
-    return drawn
+# Fixed values of the hashed rule: two multiplicative congruences modulo a Mersenne prime.
+PRIME, FIRST, SECOND = 2_147_483_647, 48_271, 69_621
 
 
 @dataclass(frozen=True)
 class Draws:
-    """Days in order and how often each is drawn per replicate: calendar days x replicates."""
-
-    days: list
-    times: np.ndarray
-
-    def frame(self, spark: SparkSession, day: str = "trading_day") -> DataFrame:
-        """(day, replicate, times) for the positive counts."""
-        replicate, index = np.nonzero(self.times)
-        table = pa.table(
-            {
-                day: pa.array([self.days[i] for i in index], pa.date32()),
-                "replicate": pa.array(replicate.astype("int32")),
-                "times": pa.array(self.times[replicate, index]),
-            }
-        )
-        return spark.createDataFrame(table)
+    """Moving blocks of days, stratified by year, as a rule that any task can follow.
 
+    A replicate draws for every year ceil(days / length) block starts; the blocks' days, cut to the
+    year's number of days, are its resample.  The "random" rule seeds a generator per year and
+    replicate.  The "hashed" rule takes starts from a multiplicative hash of (seed, year, replicate,
+    block), which SQL can repeat.
+    """
 
-def draw_days(df: DataFrame, block: int, repeats: int, seed: int, day: str = "trading_day") -> Draws:
-    days = [r[0] for r in df.select(day).distinct().orderBy(day).collect()]
-    return Draws(days, day_multiplicities(days, block, repeats, seed))
+    days: tuple
+    block: int
+    repeats: int
+    seed: int
+    rule: str = "random"
+
+    def __post_init__(self):
+        if self.block < 1 or self.repeats < 1:
+            raise ValueError("block length and repeats must be positive")
+        if self.rule not in ("random", "hashed"):
+            raise ValueError("the rule is random or hashed")
+
+    def _starts(self, year: int, replicate: int, blocks: int, choices: int) -> np.ndarray:
+        if self.rule == "random":
+            rng = np.random.default_rng([self.seed, year, replicate])
+            return rng.integers(0, choices, size=blocks)
+        key = np.arange(blocks, dtype=np.int64) * 7_919 + replicate * 104_729 + year * 1_299_709 + self.seed
+        return (key % PRIME * FIRST % PRIME * SECOND % PRIME) % choices
+
+    def times(self, first: int, count: int) -> np.ndarray:
+        """How often each day is drawn, for `count` replicates from `first` on: replicates x days."""
+        years = np.array([d.year for d in self.days])
+        replicates = range(first, min(first + count, self.repeats))
+        drawn = np.zeros((len(replicates), len(self.days)))
+        for year in np.unique(years).tolist():
+            own = np.flatnonzero(years == year)
+            length = min(self.block, own.size)
+            for row, replicate in enumerate(replicates):
+                starts = self._starts(year, replicate, -(-own.size // length), own.size - length + 1)
+                picks = np.add.outer(starts, np.arange(length)).reshape(-1)[: own.size]
+                drawn[row, own] = np.bincount(picks, minlength=own.size)
+        return drawn
+
+    def places(self, days: pa.ChunkedArray) -> np.ndarray:
+        """Place of each date in `days`."""
+        known = np.array(self.days, "datetime64[D]")
+        return np.searchsorted(known, days.cast(pa.date32()).to_numpy().astype("datetime64[D]"))
+
+
+def draw_days(
+    df: DataFrame, block: int, repeats: int, seed: int, day: str = "trading_day", rule: str = "random"
+) -> Draws:
+    """The observed days, a calendar's length at most, and the rule."""
+    days = tuple(r[0] for r in df.select(day).distinct().orderBy(day).collect())
+    return Draws(days, block, repeats, seed, rule)
+
+
+def _chunked(df: DataFrame, draws: Draws) -> DataFrame:
+    return df.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((draws.repeats - 1) // CHUNK))))
 
 
 def _interval(values: DataFrame, column: str, prefix: str) -> list[Column]:
@@ -97,10 +112,21 @@ def pearson_replicates(df: DataFrame, weights: DataFrame, draws: Draws) -> DataF
         F.sum(_squared(y, b)).alias("be"),
         F.sum(_squared(y, p)).alias("pe"),
     )
+
+    def resample(table: pa.Table) -> pa.Table:
+        """Sums of one product in a run of replicates: one matrix product over its days."""
+        first = table["chunk"][0].as_py() * CHUNK
+        times = draws.times(first, CHUNK)[:, draws.places(table["trading_day"])]
+        sums = times @ np.column_stack([table[c].to_numpy() for c in SUMS])
+        out = {"product": pa.array([table["product"][0].as_py()] * len(sums), table["product"].type)}
+        out["replicate"] = pa.array(first + np.arange(len(sums)), pa.int32())
+        return pa.table(out | {c: pa.array(sums[:, i]) for i, c in enumerate(SUMS)})
+
+    kind = df.schema["product"].dataType.simpleString()
     resampled = (
-        daily.join(draws.frame(df.sparkSession), "trading_day")
-        .groupBy("replicate", "product")
-        .agg(*[F.sum(F.col(s) * F.col("times")).alias(s) for s in SUMS])
+        _chunked(daily, draws)
+        .groupBy("product", "chunk")
+        .applyInArrow(resample, f"product {kind}, replicate int, " + ", ".join(f"{c} double" for c in SUMS))
         .join(weights, "product")
     )
     n = F.col("n")
@@ -137,99 +163,54 @@ def pearson_replicates(df: DataFrame, weights: DataFrame, draws: Draws) -> DataF
     )
 
 
-def _rank_task(shared, chunk: int):
-    """Arrow task: exact Spearman differences of one product for a run of replicates."""
-
-    def task(table: pa.Table) -> pa.Table:
-        first = table["chunk"][0].as_py() * chunk
-        columns = [table[c].to_numpy().astype(float) for c in ("target", "baseline", "prediction")]
-        codes = [np.unique(c, return_inverse=True)[1] for c in columns]
-        days, times = shared.value
-        counts = times[first : first + chunk, [days[d] for d in table["trading_day"].to_pylist()]].T
-        out_replicate, out_delta = [], []
-        for r in range(counts.shape[1]):
-            times = counts[:, r]
-            total = times.sum()
-            if total < 5:
+def _centred_ranks(code: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Average ranks in a resample less their mean, for values given by their order `code`."""
+    copies = np.bincount(code, weights=times)
+    return (np.cumsum(copies) - (copies + times.sum()) / 2)[code]
+
+
+def spearman_replicates(df: DataFrame, weights: DataFrame, draws: Draws) -> DataFrame:
+    """Per replicate the weighted rank-IC difference, ranked again inside each resample.
+
+    A task holds one product's rows as order codes, 16 bytes a row, and works through a run of
+    replicates one by one; only a product's moments per replicate leave it.
+    """
+
+    def resample(table: pa.Table) -> pa.Table:
+        first = table["chunk"][0].as_py() * CHUNK
+        codes = [
+            np.unique(table[c].to_numpy().astype(float), return_inverse=True)[1].astype(np.int32)
+            for c in ("target", "baseline", "prediction")
+        ]
+        place = draws.places(table["trading_day"]).astype(np.int32)
+        replicates, deltas = [], []
+        for row, by_day in enumerate(draws.times(first, CHUNK)):
+            times = by_day[place]
+            if times.sum() < 5:
                 continue
-            ranks = []
-            for code in codes:
-                copies = np.bincount(code, weights=times)
-                ranks.append((np.cumsum(copies) - copies / 2 - total / 2)[code])
-            y, b, p = ranks
-            yy, bb, pp = ((times * v * v).sum() for v in (y, b, p))
+            y, b, p = (_centred_ranks(code, times) for code in codes)
+            yy, bb, pp = ((times * v) @ v for v in (y, b, p))
             if min(yy, bb, pp) <= 0:
                 continue
-            rb = np.clip((times * b * y).sum() / np.sqrt(bb * yy), -1, 1)
-            rp = np.clip((times * p * y).sum() / np.sqrt(pp * yy), -1, 1)
-            out_replicate.append(first + r)
-            out_delta.append(rp - rb)
+            mine, base = (np.clip((times * v) @ y / np.sqrt(vv * yy), -1, 1) for v, vv in ((p, pp), (b, bb)))
+            replicates.append(first + row)
+            deltas.append(mine - base)
         return pa.table(
             {
-                "product": pa.array([table["product"][0].as_py()] * len(out_delta), table["product"].type),
-                "replicate": pa.array(out_replicate, pa.int32()),
-                "delta": pa.array(out_delta, pa.float64()),
+                "product": pa.array([table["product"][0].as_py()] * len(deltas), table["product"].type),
+                "replicate": pa.array(replicates, pa.int32()),
+                "delta": pa.array(deltas, pa.float64()),
             }
         )
 
-    return task
-
-
-def _grouped_deltas(df: DataFrame, draws: Draws) -> DataFrame:
-    """Products that fit a task: each is sent once per chunk of replicates."""
-    position = {d: i for i, d in enumerate(draws.days)}
-    shared = df.sparkSession.sparkContext.broadcast((position, draws.times))
-    repeats = len(draws.times)
-    chunks = F.sequence(F.lit(0), F.lit((repeats - 1) // CHUNK))
-    spread = df.withColumn("chunk", F.explode(chunks))
-    kind = df.schema["product"].dataType.simpleString()
-    task = _rank_task(shared, CHUNK)
-    return spread.groupBy("product", "chunk").applyInArrow(
-        task, f"product {kind}, replicate int, delta double"
-    )
-
-
-def _distributed_deltas(df: DataFrame, draws: Draws) -> DataFrame:
-    """Oversized products: ranks from weighted cumulative counts per replicate and value."""
-    key = ["replicate", "product"]
-    drawn = df.join(draws.frame(df.sparkSession), "trading_day")
-    totals = drawn.groupBy(*key).agg(F.sum("times").alias("__total"))
-    ranked = join_stats(drawn, totals, key)
-    for v in ("target", "baseline", "prediction"):
-        counts = cumulative_counts(drawn, key, v, F.col("times"))
-        ranks = counts.select(*key, v, (F.col("__upto") - F.col("__n") / 2).alias(f"__r_{v}"))
-        ranked = join_stats(ranked, ranks, [*key, v])
-
-    def moment(a: str, b: str) -> Column:
-        half = F.col("__total") / 2
-        return F.sum(F.col("times") * (F.col(f"__r_{a}") - half) * (F.col(f"__r_{b}") - half))
-
-    yy, bb, pp = (moment(v, v) for v in ("target", "baseline", "prediction"))
-    valid = (F.first("__total") >= 5) & (yy > 0) & (bb > 0) & (pp > 0)
-
-    def corr(name: str, own: Column) -> Column:
-        r = F.try_divide(moment(name, "target"), F.sqrt(own * yy))
-        return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
-
-    delta = F.when(valid, corr("prediction", pp) - corr("baseline", bb))
-    return ranked.groupBy(*key).agg(delta.alias("delta")).where(F.col("delta").isNotNull())
-
-
-def spearman_replicates(df: DataFrame, weights: DataFrame, draws: Draws) -> DataFrame:
-    """Per replicate the weighted rank-IC difference, ranked again inside each resample.
-
-    Products that fit a task are ranked in Arrow tasks; larger ones with distributed counts.
-    """
     rows = df.select("trading_day", "product", "target", "baseline", "prediction")
-    sizes = rows.groupBy("product").agg(F.count(F.lit(1)).alias("__size"))
-    limit = group_limit(df.sparkSession)
-    large = [r["product"] for r in sizes.where(F.col("__size") > limit).collect()]
     known = rows.join(weights.select("product"), "product", "left_semi")
-    small = known.where(~F.col("product").isin(large)) if large else known
-    deltas = _grouped_deltas(small, draws).select("replicate", "product", "delta")
-    if large:
-        huge = known.where(F.col("product").isin(large))
-        deltas = deltas.unionByName(_distributed_deltas(huge, draws))
+    kind = df.schema["product"].dataType.simpleString()
+    deltas = (
+        _chunked(known, draws)
+        .groupBy("product", "chunk")
+        .applyInArrow(resample, f"product {kind}, replicate int, delta double")
+    )
     weighted = deltas.join(weights, "product")
     return weighted.groupBy("replicate").agg(
         (F.sum(F.col("delta") * F.col("weight")) / F.sum("weight")).alias("delta")
@@ -243,6 +224,7 @@ def paired_block_bootstrap(
     repeats: int = 2000,
     seed: int = 20261102,
     correlation: str = "pearson",
+    rule: str = "random",
 ) -> DataFrame:
     """95 % intervals of the weighted IC difference and of the relative error reduction.
 
@@ -251,7 +233,7 @@ def paired_block_bootstrap(
     if correlation not in {"pearson", "spearman"}:
         raise ValueError("correlation must be pearson or spearman")
     df = frozen(df.select("trading_day", "product", "target", "baseline", "prediction"))
-    draws = draw_days(df, days, repeats, seed)
+    draws = draw_days(df, days, repeats, seed, rule=rule)
     replicates = pearson_replicates(df, weights, draws)
     reduction = replicates.select("replicate", "reduction")
     if correlation == "spearman":

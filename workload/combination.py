@@ -320,13 +320,77 @@ def bootstrap_ranks_whole_years(spark, sf):
     )
 
 
-@query("bootstrap_pearson")
-def bootstrap_pearson(spark, sf):
+BLOCK_DAYS, REPEATS, SEED = 20, 2000, 20261102
+
+
+def _resample_sql() -> str:
+    """The hashed rule in SQL: how often each day is drawn per replicate."""
+    key = f"(j * 7919 + replicate * 104729 + y * 1299709 + {SEED})"
+    return f"""dy AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY trading_day) - 1 AS d, count(*) OVER (PARTITION BY y) AS m
+  FROM (SELECT DISTINCT trading_day, CAST(year(trading_day) AS BIGINT) AS y FROM pr)),
+yr AS (SELECT DISTINCT y, m, least({BLOCK_DAYS}, m) AS len FROM dy),
+bl AS (SELECT y, m, len, replicate, j, ({key} % {bootstrap.PRIME} * {bootstrap.FIRST} % {bootstrap.PRIME} * {bootstrap.SECOND} % {bootstrap.PRIME}) % (m - len + 1) AS s
+  FROM yr, range({REPEATS}) r(replicate), range(0, 400) q(j) WHERE j * len < m),
+tm AS (SELECT y, replicate, s + k AS d, count(*) AS times FROM bl, range({BLOCK_DAYS}) o(k) WHERE k < len AND j * len + k < m GROUP BY ALL),
+dt AS (SELECT trading_day, replicate, times FROM tm JOIN dy USING (y, d))"""
+
+
+_SUMS_SQL = """sm AS (SELECT product, trading_day, count(*) AS n, sum(target) AS y, sum(target * target) AS yy, sum(baseline) AS b, sum(baseline * baseline) AS bb,
+  sum(baseline * target) AS bya, sum(prediction) AS p, sum(prediction * prediction) AS pp_, sum(prediction * target) AS py,
+  sum((target - baseline) * (target - baseline)) AS be, sum((target - prediction) * (target - prediction)) AS pe FROM pr GROUP BY ALL),
+rs AS (SELECT product, replicate, """ + ", ".join(
+    f"sum({c} * times) AS {c}" for c in ("n", "y", "yy", "b", "bb", "bya", "p", "pp_", "py", "be", "pe")
+) + """ FROM sm JOIN dt USING (trading_day) GROUP BY ALL),
+vr AS (SELECT *, yy - y * y / n AS vy, bb - b * b / n AS vb, pp_ - p * p / n AS vp FROM rs JOIN w USING (product)),
+dl AS (SELECT *, CASE WHEN n >= 5 AND vy > 1.8e-15 * yy AND vb > 1.8e-15 * bb AND vp > 1.8e-15 * pp_ THEN
+  (py - p * y / n) / sqrt(vp * vy) - (bya - b * y / n) / sqrt(vb * vy) END AS delta FROM vr),
+rp AS (SELECT replicate, sum(delta * weight) / sum(weight) FILTER (WHERE delta IS NOT NULL) AS delta,
+  1 - sum(weight * pe / n) / sum(weight * be / n) AS reduction FROM dl GROUP BY 1)"""
+
+
+def _ends_sql(kind: str, source: str) -> str:
+    return f"""CAST({BLOCK_DAYS} AS BIGINT) AS block_days, CAST({REPEATS} AS BIGINT) AS repeats,
+  (SELECT count(delta) FROM {source}) AS delta_weighted_{kind}_replicates,
+  {q6(f"(SELECT quantile_cont(delta, 0.025) FROM {source})", f"delta_weighted_{kind}_low")},
+  {q6(f"(SELECT quantile_cont(delta, 0.975) FROM {source})", f"delta_weighted_{kind}_high")},
+  (SELECT count(reduction) FROM rp) AS relative_mse_reduction_replicates,
+  {q6("(SELECT quantile_cont(reduction, 0.025) FROM rp)", "relative_mse_reduction_low", 5)},
+  {q6("(SELECT quantile_cont(reduction, 0.975) FROM rp)", "relative_mse_reduction_high", 5)}"""
+
+
+def _bootstrap(spark, sf, kind: str) -> DataFrame:
     rows, weights, _ = paired_rows(spark, sf)
-    return bootstrap.paired_block_bootstrap(rows, weights, days=3, repeats=200)
+    report = bootstrap.paired_block_bootstrap(
+        rows, weights, BLOCK_DAYS, REPEATS, SEED, correlation=kind, rule="hashed"
+    )
+    ends = {c: r6(c, 5 if c.startswith("relative") else 6) for c in report.columns if c.endswith(("_low", "_high"))}
+    return report.withColumns(ends | {c: F.col(c).cast("long") for c in ("block_days", "repeats")})
+
+
+@query("bootstrap_pearson", f"WITH {PAIRED}, {_resample_sql()}, {_SUMS_SQL} SELECT {_ends_sql('pearson', 'rp')}")
+def bootstrap_pearson(spark, sf):
+    return _bootstrap(spark, sf, "pearson")
 
 
-@query("bootstrap_spearman")
+def _mid_rank(column: str) -> str:
+    """Twice the average rank in a resample with multiplicities, shifted alike for all rows."""
+    upto = "OVER (PARTITION BY product, replicate ORDER BY {c} RANGE UNBOUNDED PRECEDING)"
+    same = "OVER (PARTITION BY product, replicate, {c})"
+    return f"2 * sum(times) {upto} - sum(times) {same}".replace("{c}", column)
+
+
+@query(
+    "bootstrap_spearman",
+    f"""WITH {PAIRED}, {_resample_sql()}, {_SUMS_SQL},
+rk AS (SELECT product, replicate, times, {_mid_rank("target")} AS ry, {_mid_rank("baseline")} AS rb, {_mid_rank("prediction")} AS rq
+  FROM pr JOIN dt USING (trading_day) WHERE product IN (SELECT product FROM w)),
+mo2 AS (SELECT product, replicate, sum(times) AS n, sum(times * ry) AS y, sum(times * rb) AS b, sum(times * rq) AS p,
+  sum(times * ry * ry) AS yy, sum(times * rb * rb) AS bb, sum(times * rq * rq) AS qq, sum(times * ry * rb) AS yb, sum(times * ry * rq) AS yq
+  FROM rk GROUP BY ALL HAVING sum(times) >= 5),
+va AS (SELECT *, yy - y * y / n AS vy, bb - b * b / n AS vb, qq - p * p / n AS vq FROM mo2),
+sd AS (SELECT product, replicate, (yq - y * p / n) / sqrt(vy * vq) - (yb - y * b / n) / sqrt(vy * vb) AS delta FROM va WHERE vy > 0 AND vb > 0 AND vq > 0),
+sr AS (SELECT replicate, sum(delta * weight) / sum(weight) AS delta FROM sd JOIN w USING (product) GROUP BY 1)
+SELECT {_ends_sql('spearman', 'sr')}""",
+)
 def bootstrap_spearman(spark, sf):
-    rows, weights, _ = paired_rows(spark, sf)
-    return bootstrap.paired_block_bootstrap(rows, weights, days=3, repeats=200, correlation="spearman")
+    return _bootstrap(spark, sf, "spearman")
