@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from ..functions import feature as fx
 from ..functions.feature import Feature
+from ..operators.blocks import frozen
 from ..operators.panel import Panel
 from ..operators.scoring import evaluate_factors
 from ..operators.targets import Fold
@@ -52,6 +53,7 @@ def sweep(
 ) -> DataFrame:
     """Evaluate all genomes; chunks of columns bound the plan, each chunk is one job."""
     names, result = list(features), None
+    panel = panel.with_df(frozen(panel.df))  # the chunks read one written panel
     for at in range(0, len(names), chunk):
         part = names[at : at + chunk]
         wide = panel.with_features({n: features[n] for n in part})

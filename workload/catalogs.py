@@ -313,7 +313,9 @@ def monthly_characteristics(spark, sf):
 
 # --- grammar sweep ----------------------------------------------------------------------------------
 
-SWEEP = sweep.grammar(("x", "y"), ops=("mean", "delta", "return"), windows=(3,), combines=("single", "sub", "mul"))
+# All operators and combinations of two fields; one window, as further ones repeat the same code.
+# Fields without equal values, as round-off would break ties of averages differently in two engines.
+SWEEP = sweep.grammar(("x", "high"), windows=(3,))
 
 
 def _genome_sql(name: str) -> str:
@@ -322,12 +324,18 @@ def _genome_sql(name: str) -> str:
     fields = rest.rsplit("_", 1)[0].split("_")
     base = fields[0]
     if len(fields) == 3:
-        sign = {"sub": "-", "mul": "*"}[fields[1]]
-        base = f"({fields[0]} {sign} {fields[2]})"
+        a, b = fields[0], fields[2]
+        base = f"({a} {dict(add='+', sub='-', mul='*').get(fields[1])} {b})"
+        if fields[1] == "div":
+            base = f"(CASE WHEN abs({b}) > 1e-12 THEN {a} / {b} END)"
     w = "(PARTITION BY exchange, instrument_id ORDER BY trading_day ROWS BETWEEN {0} PRECEDING AND CURRENT ROW)"
     w3, w4 = w.format(2), w.format(3)
     if op == "mean":
         return f"CASE WHEN count({base}) OVER {w3} = 3 THEN avg({base}) OVER {w3} END"
+    if op in ("std", "zscore"):
+        std = f"stddev_samp({base}) OVER {w3}"
+        value = std if op == "std" else f"CASE WHEN {std} > 1e-12 THEN ({base} - avg({base}) OVER {w3}) / {std} END"
+        return f"CASE WHEN count({base}) OVER {w3} = 3 THEN {value} END"
     past = f"lag({base}, 3) OVER (PARTITION BY exchange, instrument_id ORDER BY trading_day)"
     if op == "delta":
         return f"CASE WHEN count({base}) OVER {w4} = 4 THEN {base} - {past} END"
@@ -335,22 +343,28 @@ def _genome_sql(name: str) -> str:
 
 
 def _sweep_sql() -> str:
-    genomes = [n for n in SWEEP if "x_sub_x" not in n and "y_sub_y" not in n]
+    genomes = list(SWEEP)
     split = SCORED[SCORED.index("l AS (") : SCORED.index("long AS (")].replace("FROM f WHERE", "FROM sf WHERE")
     columns = ", ".join(f"{_genome_sql(n)} AS {n}" for n in genomes)
     long = " UNION ALL ".join(
         f"SELECT '{n}' AS factor, split, trading_day, product, instrument_id, {n} AS value, target FROM l" for n in genomes
     )
     clip = SCORED[SCORED.index("bounds AS (") :]
-    evaluated = _aggregate_sql("trading_day", metric_names(CROSS_SECTIONAL))
+    metrics = metric_names(CROSS_SECTIONAL)
+    evaluated = _aggregate_sql("trading_day", metrics)
+    # Constant genomes have coverage but no metric.
+    every = ", ".join(f"('{name}')" for name, _, _ in metrics)
+    evaluated = evaluated.replace(
+        "FROM wide JOIN dir USING (factor) JOIN cov",
+        f"FROM (SELECT factor, m.metric FROM cov, (VALUES {every}) m(metric)) LEFT JOIN wide USING (factor, metric) LEFT JOIN dir USING (factor) JOIN cov",
+    )
     return f"""WITH {TARGETS}, sf AS (SELECT *, {columns} FROM tg), {split} long AS ({long}), {clip}, {evaluated}"""
 
 
 @query("grammar_sweep", f"SELECT factor, metric, train, val, coverage, direction FROM ({_sweep_sql()})")
 def grammar_sweep(spark, sf):
     """Every genome of the grammar, evaluated as columns of one panel."""
-    genomes = {n: f for n, f in SWEEP.items() if "x_sub_x" not in n and "y_sub_y" not in n}
-    result = sweep.sweep(target_panel(spark, sf), genomes, FOLD, CROSS_SECTIONAL)
+    result = sweep.sweep(target_panel(spark, sf), SWEEP, FOLD, CROSS_SECTIONAL)
     return result.select(
         "factor",
         "metric",

@@ -112,7 +112,7 @@ def linear_predictions(spark, sf):
 @query("tree_predictions")
 def tree_predictions(spark, sf):
     train, panel = _train(spark, sf)
-    settings = combine.TreeSettings(rounds=10, min_rows=50)
+    settings = combine.TreeSettings(rounds=50, min_rows=50)
     model = combine.fit_trees(train, TWO, product="product", settings=settings, rows=panel.rows)
     val = targets.split_rows(panel.df, FOLD.val)
     return rounded(model.predict(val), KEY, ["prediction"])

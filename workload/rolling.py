@@ -343,7 +343,27 @@ def custom_rolling_kernel(spark, sf):
     return rounded(wide, ["event_id"], ["spread_"])
 
 
-@query("robust_trend_rank")
+def _trend_sql(n: int) -> str:
+    """The trend from its definition: every window's bars joined to their last one."""
+    key = "exchange, instrument_id, trading_day"
+    return f"""WITH {trade_sql("month")},
+o AS (SELECT *, row_number() OVER (PARTITION BY exchange, instrument_id ORDER BY trading_day) AS i FROM trade),
+w AS (SELECT e.exchange, e.instrument_id, e.trading_day, s.i - e.i + {n} AS age, ln(s.price) AS v, s.volume AS q
+  FROM o AS e JOIN o AS s ON s.exchange = e.exchange AND s.instrument_id = e.instrument_id AND s.i BETWEEN e.i - {n - 1} AND e.i WHERE e.i >= {n}),
+m AS (SELECT *, median(v) OVER (PARTITION BY {key}) AS middle FROM w),
+d AS (SELECT *, median(abs(v - middle)) OVER (PARTITION BY {key}) AS mad FROM m),
+c AS (SELECT *, greatest(-3 * 1.4826 * mad, least(3 * 1.4826 * mad, v - middle)) AS z, q * age AS h FROM d),
+f AS (SELECT {key}, min(mad) AS mad, max(q) AS top, sum(h) AS s, sum(h * age) / sum(h) AS ma, sum(h * z) / sum(h) AS mz FROM c GROUP BY ALL),
+g AS (SELECT {key}, any_value(f.mad) AS mad, any_value(top) AS top, sum(h * (age - ma) ** 2) / any_value(s) AS vt,
+  sum(h * (age - ma) * (z - mz)) / any_value(s) AS cv, sum(h * (z - mz) ** 2) / any_value(s) AS vz FROM c JOIN f USING ({key}) GROUP BY ALL),
+t AS (SELECT {key}, cv / vt / sqrt(vz - cv * cv / vt) AS trend FROM g WHERE mad > 1e-12 AND top > 1e-12 AND vz - cv * cv / vt > 1e-24),
+j AS (SELECT trade.*, trend, CASE WHEN eligible THEN trend END AS own FROM trade LEFT JOIN t USING ({key})),
+r AS (SELECT *, rank() OVER (PARTITION BY trading_day ORDER BY own NULLS LAST) + (count(*) OVER (PARTITION BY trading_day, own) - 1) / 2 AS p,
+  count(own) OVER (PARTITION BY trading_day) AS k FROM j)
+SELECT instrument_id, trading_day, {q6("trend", "trend")}, {q6("CASE WHEN own IS NOT NULL THEN p / k END", "rank_")} FROM r"""
+
+
+@query("robust_trend_rank", _trend_sql(8))
 def robust_trend_rank(spark, sf):
     """Custom rolling kernel followed by a cross-sectional rank."""
     trend = fx.robust_trend(fx.log(fx.field("price")), fx.field("volume"), 8)
