@@ -24,13 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Texts, mix, span_hashes
+from .common import Texts, frozen, mix, span_hashes
 
 RUN = 6
 COVERED = 0.8
 #: A run is a template's if this many different pages hold it, and this share of the group's pages.
 LEAST_PAGES, LEAST_SHARE = 3, 0.02
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
+#: Hosts of several groups up to this many go to every executor; more are joined by shuffle.
+BROADCAST_HOSTS = 500_000
 
 #: Elements whose text is never the article's.
 SKIPPED = frozenset(
@@ -226,12 +228,17 @@ def extract(
         F.col(url_column).cast("string").alias("url"),
         F.col(html_column).cast("string").alias("html"),
     ).withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][\w+.-]*://([^/?#]+)", 1), F.lit(""))))
-    sizes = rows.groupBy("host").agg(
-        (F.floor(F.coalesce(F.sum(F.octet_length("html")), F.lit(0)) / GROUP_BYTES) + 1).alias("groups")
+    sizes = rows.groupBy("host").agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("bytes"))
+    # Only hosts of several groups are listed; the pages then move once, by host and group.
+    large = frozen(
+        sizes.filter(F.col("bytes") >= GROUP_BYTES).select(
+            "host", (F.floor(F.col("bytes") / GROUP_BYTES) + 1).alias("groups")
+        )
     )
+    listed = F.broadcast(large) if large.count() <= BROADCAST_HOSTS else large
     dealt = (
-        rows.join(sizes, "host")
-        .withColumn("group", F.pmod(F.xxhash64("page_id", "url"), F.col("groups")))
+        rows.join(listed, "host", "left")
+        .withColumn("group", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1).cast("long"))))
         .drop("groups")
     )
 
