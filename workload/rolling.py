@@ -316,7 +316,7 @@ SELECT event_id, {q6("CASE WHEN count(v) OVER w = 600 THEN avg(v) OVER w END", "
 FROM e WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 599 PRECEDING AND CURRENT ROW)""",
 )
 def ts_long_window(spark, sf):
-    """Windows beyond the sliding limit use differenced running sums."""
+    """Windows beyond the frame limit use differenced running sums."""
     events = table(spark, sf, "events").select("event_type", "event_id", "ts", F.ln(F.col("value") + 1).alias("v"))
     spec = PanelSpec(identity=("event_type",), time="ts", ties=("event_id",))
     panel = Panel(events, spec, rows_of(spark, sf, "events"))
@@ -325,6 +325,38 @@ def ts_long_window(spark, sf):
     return rounded(wide, ["event_id"], ["mean_", "count_"])
 
 
+_LONG = 250
+
+
+@query(
+    "ts_sums_long",
+    f"""WITH e AS (SELECT *, ln(value + 1) AS v, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events)
+SELECT event_id, {q6(f"CASE WHEN count(v) OVER w = {_LONG} THEN sum(v) OVER w END", "sum_")}, {q6(f"CASE WHEN count(v) OVER w = {_LONG} THEN avg(v) OVER w END", "mean_")},
+  {q6(f"CASE WHEN count(v) OVER w = {_LONG} THEN min(v) OVER w END", "min_")}, {q6(f"CASE WHEN count(v) OVER w = {_LONG} THEN max(v) OVER w END", "max_")},
+  {q6(f"CASE WHEN count(v) OVER w = {_LONG} THEN sum(v * i) OVER w / {_LONG * (_LONG + 1) / 2} - sum(v) OVER w * (i - {_LONG}) / {_LONG * (_LONG + 1) / 2} END", "decay_")},
+  CASE WHEN count(v) OVER w = {_LONG} THEN CAST(max(CASE WHEN v > 5 THEN 1 ELSE 0 END) OVER w AS DOUBLE) END AS any_
+FROM e WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN {_LONG - 1} PRECEDING AND CURRENT ROW)""",
+)
+def ts_sums_long(spark, sf):
+    """Sums, extremes and weighted sums over 250 rows, in passes whose cost does not depend on it."""
+    events = table(spark, sf, "events").select("event_type", "event_id", "ts", F.ln(F.col("value") + 1).alias("v"))
+    spec = PanelSpec(identity=("event_type",), time="ts", ties=("event_id",))
+    panel = Panel(events, spec, rows_of(spark, sf, "events"))
+    v = fx.field("v")
+    wide = panel.with_features(
+        {
+            "sum_": fx.ts_sum(v, _LONG),
+            "mean_": fx.ts_mean(v, _LONG),
+            "min_": fx.ts_min(v, _LONG),
+            "max_": fx.ts_max(v, _LONG),
+            "decay_": fx.ts_linear_decay(v, _LONG),
+            "any_": fx.ts_any(v > 5, _LONG),
+        }
+    )
+    wide = wide.withColumn("any_", F.col("any_").cast("int"))
+    return rounded(wide, ["event_id"], ["sum_", "mean_", "min_", "max_", "decay_", "any_"])
+
+
 def _range_over_mean(x: np.ndarray) -> np.ndarray:
     return (x.max(axis=1) - x.min(axis=1)) / x.mean(axis=1)
 
