@@ -9,6 +9,8 @@ summaries across the block borders.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -55,15 +57,32 @@ def oversized(
     return (largest or 0) > limit
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can read: `spark.checkpoint.dir`, or a local one in local mode."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        shared = tempfile.mkdtemp(prefix="factorloom-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared
+    """This application's work folder, which all executors can read.
+
+    It lies under `spark.checkpoint.dir`.  Only a local session without that setting gets a temporary
+    folder, which is removed at exit; the session's settings stay as they are.
+    """
+    application = spark.sparkContext.applicationId
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is not None:
+        return f"{base.rstrip('/')}/factorloom/{application}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    if application not in _own_folders:
+        _own_folders[application] = tempfile.mkdtemp(prefix="factorloom-")
+        atexit.register(shutil.rmtree, _own_folders[application], ignore_errors=True)
+    return _own_folders[application]
+
+
+def remove_work(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables; frames that still read them fail afterwards."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(conf).delete(path, True)
 
 
 def frozen(df: DataFrame) -> DataFrame:
@@ -74,7 +93,7 @@ def frozen(df: DataFrame) -> DataFrame:
     computed once, and later reads prune columns.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/factorloom/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

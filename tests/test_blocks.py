@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from factorloom.operators import blocks
 from factorloom.operators.asof import asof_join
 from factorloom.operators.blocks import oversized, positions, range_blocks, running, with_halo
 from factorloom.operators.ranks import attach_ranks, quantiles
@@ -96,3 +97,13 @@ def test_oversized_uses_the_bound_before_measuring(spark, configured, skewed):
     df = load(spark, skewed)
     assert oversized(df, ["k"]) and not oversized(df, ["at"])
     assert not oversized(df, ["k"], bound=100)
+
+
+def test_work_folder_can_be_removed(spark, monkeypatch, tmp_path):
+    before = spark.conf.get("spark.checkpoint.dir")
+    assert blocks.shared_folder(spark) == f"{before}/factorloom/{spark.sparkContext.applicationId}"
+    monkeypatch.setattr(blocks, "shared_folder", lambda session: str(tmp_path / "work"))
+    df = blocks.frozen(spark.range(5))
+    assert df.count() == 5 and (tmp_path / "work").exists()
+    blocks.remove_work(spark)
+    assert not (tmp_path / "work").exists() and spark.conf.get("spark.checkpoint.dir") == before
