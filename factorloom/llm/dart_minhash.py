@@ -9,15 +9,14 @@ coordinate with probability sum(min) / sum(max) of their weights.  Darts are gen
 time up to a limit that fills all coordinates, which for a long text is early: the work follows the
 number of shingles, not its product with the number of coordinates.
 
-Signatures are cut into BANDS; texts that share a band are candidates.  Pairs whose signatures agree
-in too few coordinates (four standard deviations below the threshold) are dropped, the others are
-compared exactly by their shingles, and links of THRESHOLD or more joined to classes.
+Signatures are cut into BANDS of ROWS coordinates; texts that share a band may be similar, and what
+such sharing connects is a cluster.  Only clusters are compared, exactly and by their whole shingle
+sets: small ones together in one task, large ones in tiles of about TILE shingles, two tiles at a time where
+some band has members in both.  A task returns the links of THRESHOLD or more as a spanning forest,
+never pairs, and classes are the components of these links.
 
 Texts with the same words are merged before; rows with one id are one document, for which one of its
-texts speaks.  In a bucket, pivots are compared with all members; members that are by
-then in one class need no more.  The later rounds take more pivots, the last one all that are left, so every
-candidate pair of different classes is compared, while a bucket of near copies costs one comparison
-for each member.
+texts speaks.
 
 A text with fewer than SHINGLE words is one shingle.  A text without words, a null text or a row with
 a null id is compared with nothing: its class is its own id and it is kept.  Other columns are not
@@ -34,14 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import Texts, frozen, mix, span_hashes, spread, text_batches
-from .graph import components
+from .graph import components, forest
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 20, 4
+#: A pair at the threshold shares a band with probability 1 - (1 - 0.8 ** 5) ** 24 = 0.99993.
+BANDS, ROWS = 24, 5
 COORDINATES = BANDS * ROWS
-#: Pivots per bucket and round; None: all members that are left.
-PIVOTS = (1, 4, None)
+#: Shingles per tile; a text counts as SMALLEST at least, which bounds the texts of a tile.
+TILE, SMALLEST = 100_000, 128
+#: Shingles that more texts of a tile hold are counted by matrix products, others by their pairs.
+DENSE = 32
 #: Ids up to this many go to every executor (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -125,14 +127,13 @@ def bands(signature: np.ndarray, count: int = BANDS) -> np.ndarray:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, content, bands, sketch (one byte per coordinate) of every row; nulls where not comparable."""
+    """doc_id, content, bands, n_shingles of every row; nulls where it is not comparable."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, "text"):
             doc, s, weight, content = shingles(texts)
             content[batch.column(0).is_null().to_numpy(zero_copy_only=False)] = None
-            table = signatures(doc, s, weight, len(texts))
-            sketch, keys = mix(table).astype(np.uint8), bands(table)
+            keys = bands(signatures(doc, s, weight, len(texts)))
             some = [c is not None for c in content]
             ends = np.concatenate(([0], np.cumsum(some))).astype(np.int32) * BANDS
             yield pa.RecordBatch.from_arrays(
@@ -140,71 +141,127 @@ def _signed(docs: DataFrame) -> DataFrame:
                     batch.column(0),
                     pa.array(content.tolist(), pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[some].ravel())),
-                    pa.array([r.tobytes() for r in sketch], pa.binary()),
+                    pa.array(np.bincount(doc, weights=weight, minlength=len(texts)).astype(np.int64)),
                 ],
-                names=["doc_id", "content", "bands", "sketch"],
+                names=["doc_id", "content", "bands", "n_shingles"],
             )
 
-    return frozen(docs.mapInArrow(sign, "doc_id long, content binary, bands array<long>, sketch binary"))
+    return frozen(docs.mapInArrow(sign, "doc_id long, content binary, bands array<long>, n_shingles long"))
 
 
-def _similar_sketches(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose sketches agree in enough coordinates."""
-    least = COORDINATES * threshold - 4 * np.sqrt(COORDINATES * threshold * (1 - threshold))
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, elements) of the documents with the given ids: the sorted hashes of their shingle occurrences.
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (
-                    np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COORDINATES)
-                    for c in (2, 3)
-                )
-                near = np.flatnonzero((x == y).sum(1) >= least)
-                yield batch.select([0, 1]).take(pa.array(near))
-
-    return pairs.mapInArrow(compare, "a long, b long").distinct()
-
-
-def _exact(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """Those of the pairs (a, b) whose weighted shingle sets have a similarity of `threshold` or more."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("__node")).distinct()
-    if pairs.count() * 2 <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    wanted = docs.join(ids, F.col("doc_id") == F.col("__node"), "left_semi")
+    The j-th occurrence of a shingle is an element of its own, so common elements add up to the
+    smaller weights.
+    """
+    chosen = ids.select(F.col("node").alias("__node"))
+    if ids.count() <= BROADCAST_IDS:
+        chosen = F.broadcast(chosen)
+    wanted = docs.join(chosen, F.col("doc_id") == F.col("__node"), "left_semi")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, "text"):
             doc, s, weight, _ = shingles(texts)
-            cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
-            packed = [
-                s[a:b].tobytes() + weight[a:b].astype("<u4").tobytes() if b > a else None
-                for a, b in zip(cuts[:-1], cuts[1:])
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["node", "set"])
-
-    # Rows with one id are one document; the first text in byte order speaks for it.
-    packed = frozen(
-        wanted.mapInArrow(sets, "node long, set binary").groupBy("node").agg(F.min("set").alias("set"))
+            times = weight.astype(np.int64)
+            nth = spread(np.zeros(len(s), np.int64), times).astype(np.uint64)
+            owner, element = np.repeat(doc, times), mix(np.repeat(s, times) + nth * np.uint64(0x9E3779B97F4A7C15))
+            cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
+            packed = [np.sort(element[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["node", "elements"])
+
+    # Rows with one id are one document; the greatest set speaks for it.
+    return frozen(
+        wanted.mapInArrow(collect, "node long, elements binary").groupBy("node").agg(F.max("elements").alias("elements"))
     )
 
-    def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-        n = len(raw) // 12
-        return np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, "<u4", n, 8 * n)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                (s, v), (t, w) = unpack(x), unpack(y)
-                at = np.minimum(np.searchsorted(s, t), len(s) - 1)
-                shared = s[at] == t
-                both = int(np.minimum(v[at[shared]], w[shared]).sum())
-                near.append(both >= threshold * (int(v.sum()) + int(w.sum()) - both) - 1e-9)
-            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
-
-    left, right = (packed.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(
-        compare, "a long, b long"
+
+def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Common elements of every set named in `left` with every one in `right` (places in `sets`)."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    elements, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(column, kind="stable")
+    owner, held_by = owner[order], held
+    begin = np.cumsum(held_by) - held_by
+    counts = np.zeros((n, n), np.float32)
+    for d in range(2, DENSE + 1):
+        columns = begin[held_by == d]
+        step = max(1, 2_000_000 // (d * d))
+        for at in range(0, len(columns), step):
+            who = owner[columns[at : at + step, None] + np.arange(d)]
+            pair = who[:, :, None] * n + who[:, None, :]
+            counts += np.bincount(pair.ravel(), minlength=n * n).reshape(n, n).astype(np.float32)
+    common = np.flatnonzero(held_by > DENSE)
+    for at in range(0, len(common), 1024):
+        block = common[at : at + 1024]
+        table = np.zeros((n, len(block)), np.float32)
+        for k, c in enumerate(block):
+            table[owner[begin[c] : begin[c] + held_by[c]], k] = 1
+        counts += table @ table.T
+    return counts[np.ix_(left, right)]
+
+
+def _linked(table: pa.Table, threshold: float) -> pa.Table:
+    """Spanning forest of the links among (node, root, tile, first, second, elements) of one unit."""
+    node, root, tile = (table[c].to_numpy() for c in ("node", "root", "tile"))
+    sets = [np.frombuffer(e, np.uint64) for e in table["elements"].to_pylist()]
+    size = np.array([len(s) for s in sets], np.float64)
+    left = np.flatnonzero(tile == table["first"][0].as_py())
+    right = np.flatnonzero(tile == table["second"][0].as_py())
+    both = shared_counts(sets, left, right)
+    near = both >= threshold * (size[left][:, None] + size[right][None, :] - both) - 1e-6
+    near &= (root[left][:, None] == root[right][None, :]) & (node[left][:, None] != node[right][None, :])
+    i, j = np.nonzero(near)
+    a, b = forest(node[left[i]], node[right[j]])
+    return pa.table({"a": a, "b": b})
+
+
+def _links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Spanning links (a, b) of all classes among the nodes (node, bands, n_shingles)."""
+    exploded = nodes.select("node", F.explode("bands").alias("bucket"))
+    least = exploded.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+    members = frozen(exploded.join(least.filter("least < most").drop("most"), "bucket"))
+    clusters = frozen(components(members.select(F.col("node").alias("a"), F.col("least").alias("b"))))
+    weights = nodes.groupBy("node").agg(F.greatest(F.max("n_shingles"), F.lit(SMALLEST)).alias("weight"))
+    weighed = frozen(clusters.join(weights, "node"))
+    totals = weighed.groupBy("root").agg(F.sum("weight").alias("total"))
+    small = totals.filter(F.col("total") <= TILE).agg(F.sum("total")).first()[0] or 0
+    bins = max(1, -(-small // TILE))
+    # Small clusters share a unit with others; a large one is dealt into tiles.
+    tiles = F.ceil(F.col("total") / TILE)
+    large = F.col("total") > TILE
+    placed = frozen(
+        weighed.join(totals, "root").select(
+            "node",
+            "root",
+            large.alias("large"),
+            F.when(large, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(bins))).alias("unit"),
+            F.when(large, F.pmod(F.xxhash64("node"), tiles)).otherwise(F.lit(0)).alias("tile"),
+        )
+    )
+    # Two tiles of a large cluster meet if a band has members in both.
+    by_bucket = members.join(placed.filter("large"), "node").select("bucket", "unit", "tile").distinct()
+    meeting = (
+        by_bucket.join(by_bucket.select("bucket", F.col("tile").alias("other")), "bucket")
+        .filter("tile < other")
+        .select(F.lit(True).alias("large"), "unit", F.col("tile").alias("first"), F.col("other").alias("second"))
+        .distinct()
+    )
+    alone = placed.select("large", "unit", F.col("tile").alias("first"), F.col("tile").alias("second")).distinct()
+    units = alone.unionByName(meeting).withColumn(
+        "tile", F.explode(F.array_distinct(F.array("first", "second")))
+    )
+    sets = _sets(docs, placed)
+    dealt = (
+        placed.join(units, ["large", "unit", "tile"])
+        .join(sets, "node")
+        .select("large", "unit", "first", "second", "node", "root", "tile", "elements")
+    )
+    return frozen(
+        dealt.groupBy("large", "unit", "first", "second").applyInArrow(
+            lambda table: _linked(table, threshold), "a long, b long"
+        )
     )
 
 
@@ -217,71 +274,10 @@ def duplicate_classes(
     comparable = signed.filter("content IS NOT NULL")
     nodes = frozen(
         comparable.groupBy("content").agg(
-            F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+            F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")
         )
     )
-    exploded = nodes.select("node", F.explode("bands").alias("bucket"))
-    several = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("bucket")
-    members = frozen(exploded.join(several, "bucket").withColumn("done", F.lit(False)))
-    sketches = nodes.groupBy("node").agg(F.first("sketch").alias("sketch"))
-
-    links = None
-    for take in PIVOTS:
-        if links is None:
-            tagged = members.withColumn("class", F.col("node"))
-        else:
-            roots = components(links)
-            tagged = (
-                members.join(roots, "node", "left")
-                .withColumn("class", F.coalesce("root", "node"))
-                .drop("root")
-            )
-        # One class of a bucket, the largest, needs no pivots: the others' pivots meet it.
-        sizes = tagged.filter("NOT done").groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("m"))
-        largest = sizes.groupBy("bucket").agg(
-            F.max_by("class", F.struct("m", "class")).alias("spared"), F.count(F.lit(1)).alias("classes")
-        )
-        active = frozen(tagged.join(largest.filter("classes > 1"), "bucket"))
-        if links is not None and not active.limit(1).count():
-            break
-        if take is None:
-            pivots = active.filter("NOT done AND class <> spared").select("bucket", F.col("node").alias("a"))
-        else:
-            candidates = active.filter("NOT done" if links is None else "NOT done AND class <> spared")
-            picks = [F.min_by("node", F.xxhash64(F.lit(k), "node")) for k in range(take)]
-            pivots = candidates.groupBy("bucket").agg(F.array_distinct(F.array(*picks)).alias("picks")).select(
-                "bucket", F.explode("picks").alias("a")
-            )
-        pivots = frozen(pivots)
-        own = active.select("bucket", F.col("node").alias("a"), F.col("class").alias("class_a"))
-        # Smaller id first; pairs that an earlier round compared are those with a member that is done.
-        met = (
-            pivots.join(own, ["bucket", "a"])
-            .join(
-                active.filter("NOT done").select("bucket", F.col("node").alias("b"), F.col("class").alias("class_b")),
-                "bucket",
-            )
-            .filter("a <> b AND class_a <> class_b")
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            .distinct()
-        )
-        sketched = (
-            met.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-            .join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-            .select("a", "b", "sketch_a", "sketch_b")
-        )
-        near = frozen(_similar_sketches(sketched, threshold))
-        found = frozen(_exact(rows, near, threshold)) if near.limit(1).count() else near
-        links = found if links is None else frozen(links.unionByName(found))
-        if take is not None:
-            marks = pivots.select("bucket", F.col("a").alias("node"), F.lit(True).alias("pivot"))
-            members = frozen(
-                active.select("bucket", "node", "done")
-                .join(marks, ["bucket", "node"], "left")
-                .select("bucket", "node", (F.col("done") | F.coalesce("pivot", F.lit(False))).alias("done"))
-            )
-
-    roots = components(links)
+    roots = components(_links(rows, nodes, threshold))
     classes = nodes.select("content", "node").join(roots, "node", "left").select(
         "content", F.coalesce("root", "node").alias("class_id")
     )

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import frozen
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Star edges (node, smallest node of its part) of the given links."""
     nodes, index = np.unique(np.concatenate((a, b)), return_inverse=True)
     left, right = index[: len(a)], index[len(a) :]
@@ -38,10 +38,10 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a.append(batch.column(0).to_numpy())
         b.append(batch.column(1).to_numpy())
         if sum(map(len, a)) >= limit:
-            x, y = _forest(np.concatenate(a), np.concatenate(b))
+            x, y = forest(np.concatenate(a), np.concatenate(b))
             a, b, limit = [x], [y], max(limit, 2 * len(x))
     if a:
-        x, y = _forest(np.concatenate(a), np.concatenate(b))
+        x, y = forest(np.concatenate(a), np.concatenate(b))
         yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
 

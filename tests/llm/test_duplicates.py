@@ -110,9 +110,18 @@ def expected_classes(rows):
     return smallest(named, links)
 
 
-@pytest.mark.parametrize("pivots", [dart_minhash.PIVOTS, (None,)])
-def test_classes_equal_all_pairs(spark, texts, pivots, monkeypatch):
-    monkeypatch.setattr(dart_minhash, "PIVOTS", pivots)
+def test_common_elements_of_all_pairs(monkeypatch):
+    monkeypatch.setattr(dart_minhash, "DENSE", 6)
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60 if k % 2 else 500, rng.integers(1, 90)).astype(np.uint64)) for k in range(30)]
+    left, right = np.arange(0, 12), np.arange(12, 30)
+    got = dart_minhash.shared_counts(sets, left, right)
+    assert got.tolist() == [[len(np.intersect1d(sets[a], sets[b])) for b in right] for a in left]
+
+
+@pytest.mark.parametrize("tile", [dart_minhash.TILE, 3000])
+def test_classes_equal_all_pairs(spark, texts, tile, monkeypatch):
+    monkeypatch.setattr(dart_minhash, "TILE", tile)
     df = spark.createDataFrame(texts, "doc_id long, text string").withColumns({"class_id": F.lit("x"), "content": F.lit(1)})
     rows = dart_minhash.duplicate_classes(df.repartition(5)).collect()
     assert len(rows) == len(texts)
