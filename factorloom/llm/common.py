@@ -5,7 +5,6 @@ A word is a maximal run of characters other than space and the ASCII controls 0x
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
@@ -16,6 +15,8 @@ import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+from factorloom.operators import blocks
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -24,17 +25,8 @@ BATCH_BYTES = 2 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new subfolder name under `spark.checkpoint.dir`, which all executors can read.
-
-    Only a local session without that setting, as in tests, gets a temporary folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="factorloom-llm-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/llm/{uuid.uuid4().hex}"
+    """A new subfolder name in the application's work folder under `spark.checkpoint.dir`."""
+    return f"{blocks.shared_folder(spark)}/llm/{uuid.uuid4().hex}"
 
 
 def frozen(df: DataFrame) -> DataFrame:
@@ -127,16 +119,30 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class SpanHashes:
-    """64-bit hashes of any spans of a buffer, from one prefix sum of a polynomial."""
+    """64-bit hashes of any spans of a buffer, from one prefix sum of a polynomial.
+
+    A long buffer is summed in stretches, so that memory follows the stretch and its longest span.
+    """
 
-    def __init__(self, buf: np.ndarray):
-        up, self.down = _powers_to(len(buf) + 1)
-        self.total = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=self.total[1:])
+    def __init__(self, buf: np.ndarray, whole: bool = False):
+        self.buf = buf
+        self.total = None
+        if whole or len(buf) <= 2 * BATCH_BYTES:
+            up, self.down = _powers_to(len(buf) + 1)
+            self.total = np.zeros(len(buf) + 1, np.uint64)
+            np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=self.total[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = (self.total[ends] - self.total[starts]) * self.down[starts]
-        return mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        if self.total is not None:
+            h = (self.total[ends] - self.total[starts]) * self.down[starts]
+            return mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        out = np.empty(len(starts), np.uint64)
+        stretch = starts // BATCH_BYTES
+        for own in np.unique(stretch).tolist():
+            rows = np.flatnonzero(stretch == own)
+            a, b = int(starts[rows].min()), int(ends[rows].max())
+            out[rows] = SpanHashes(self.buf[a:b], whole=True).of(starts[rows] - a, ends[rows] - a)
+        return out
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -59,6 +59,13 @@ def test_stages_take_effect(spark, tmp_path):
     assert [*names, corpus_pipeline.STAGES[-1][0]][1:3] == ["quality_rules", "minhash_near_dedup"]
 
 
+@needs_tables
+def test_stages_of_an_empty_table(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, FOLDER).count() == 0, name
+
+
 @needs_tables
 def test_run_is_the_stages_in_a_row(spark):
     got = corpus_pipeline.run(spark, FOLDER)

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from factorloom.llm import packing, separator_scan, token_files
+from factorloom.llm import common, packing, separator_scan, token_files
 from factorloom.llm.common import Texts
 from factorloom.llm.tokenizer import encoder, vocabulary
 
@@ -147,3 +147,15 @@ def test_separator_scan_stitches_blocks_and_groups(spark, tmp_path, monkeypatch)
 def test_separator_scan_of_an_empty_table(docs):
     files, order = separator_scan.write_flat_files(docs.limit(0), WORD, 49407)
     assert separator_scan.scan(files, 49407).count() == 0
+
+
+def test_long_texts_hash_and_encode_like_short_ones(monkeypatch):
+    rng = np.random.default_rng(0)
+    text = " ".join("".join(rng.choice(list("abcdé"), 6)) for _ in range(9000)) + " " + "x" * 30000
+    texts = Texts(pa.array([text]))
+    starts, ends, _ = texts.words()
+    whole, ids = common.span_hashes(texts.buf, starts, ends), encoder(BYTE).encode(texts)[0]
+    monkeypatch.setattr(common, "BATCH_BYTES", 1000)
+    assert (common.span_hashes(texts.buf, starts, ends) == whole).all()
+    assert (encoder(BYTE).encode(texts)[0] == ids).all()
+    assert ids.tolist() == ids_of(BYTE, text)
