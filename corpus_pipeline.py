@@ -30,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ratios = quality.bucket_ratios(docs, quality.trusted(_labels(spark, sf_dir)))
-    return quality.judge(docs, ratios).filter("__quality.kept").drop("__quality")
+    return quality.keep_good(quality.judge(docs, ratios))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -157,5 +157,15 @@ def judge(
     return judged.drop("__base", "__buckets", "__llr")
 
 
+def keep_good(judged: DataFrame) -> DataFrame:
+    """The kept rows of `judge`, without its column.
+
+    A filter on the plain column would be pushed below the projections, which would then repeat their
+    expressions in the condition, once for every use; a part that isn't deterministic pins it above.
+    """
+    pinned = F.col("__quality.kept") & (F.monotonically_increasing_id() >= 0)
+    return judged.withColumn("__keep", pinned).filter("__keep").drop("__keep", "__quality")
+
+
 def trusted(labels: DataFrame) -> DataFrame:
     return labels.filter("quality = 1").select("doc_id")
