@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .native import BLANKS, words
 
 BUCKETS = 1 << 14
-THRESHOLD = -0.04
+THRESHOLD = -0.06
 #: Added to both counts of a bucket: a ratio rests on this many expected trusted occurrences before
 #: it can move far from 0, so rare words count as little in a small corpus as in a large one.
 PRIOR = 100.0

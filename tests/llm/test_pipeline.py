@@ -106,4 +106,4 @@ def test_packing_query_carries_checksums(spark):
 
 
 def test_quality_threshold_is_a_constant():
-    assert quality.THRESHOLD == -0.04 and quality.BUCKETS == 1 << 14
+    assert quality.THRESHOLD == -0.06 and quality.BUCKETS == 1 << 14
