@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.guards import EPS, corr_agg, finite, flag, is_finite, ratio
+from ..functions.guards import EPS, corr_agg, finite, flag, guarded_corr, is_finite, ratio
 from .blocks import DAY_ROWS, frozen, join_stats, oversized
 from .panel import Panel
 from .portfolio import clock
@@ -505,6 +505,19 @@ def lag_diagnostics(
     return join_stats(picked, stable, ["factor"]).withColumn("lag1_gap", gap)
 
 
+# Pairs per pass; bounds the size of one aggregation.
+PAIR_CHUNK = 100
+
+
+def _pair_correlation(a: str, b: str) -> Column:
+    """Rows where both columns are finite, and their Pearson correlation; null if one is constant."""
+    both = is_finite(F.col(a)) & is_finite(F.col(b))
+    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    pearson = guarded_corr(F.covar_pop(x, y), F.stddev_pop(x), F.stddev_pop(y), varies)
+    return F.struct(F.count(x).alias("n"), pearson.alias("pearson"))
+
+
 def factor_correlations(
     train: DataFrame,
     pairs: Sequence[tuple[str, str]],
@@ -513,25 +526,32 @@ def factor_correlations(
     weights: DataFrame | None = None,
     rows: int | None = None,
 ) -> DataFrame:
-    """Training Pearson between factors, aggregated like the metric; all pairs in one job."""
-    group = metric_group(metric)
-    exploded = train.select(
-        group,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(a).alias("left"),
-                        F.lit(b).alias("right"),
-                        F.col(a).alias("value"),
-                        F.col(b).alias("target"),
-                    )
-                    for a, b in pairs
-                ]
-            )
-        ).alias("p"),
-    ).select(group, "p.*")
-    groups = group_ic(exploded, ["left", "right"], group, ("pearson",), rows)
+    """Training Pearson between factors, aggregated like the metric.
+
+    Each pair is one masked aggregate per group, so rows are neither copied nor shuffled before they
+    are summed up; PAIR_CHUNK pairs share a pass.  `rows` is not needed and kept for callers.
+    """
+    group, groups = metric_group(metric), None
+    chunks = [pairs[at : at + PAIR_CHUNK] for at in range(0, len(pairs), PAIR_CHUNK)]
+    for chunk in chunks:
+        measured = train.groupBy(group).agg(*[_pair_correlation(a, b).alias(f"__{i}") for i, (a, b) in enumerate(chunk)])
+        found = measured.select(
+            group,
+            F.inline(
+                F.array(
+                    *[
+                        F.struct(
+                            F.lit(a).alias("left"),
+                            F.lit(b).alias("right"),
+                            F.col(f"__{i}.n").alias("n"),
+                            F.col(f"__{i}.pearson").alias("pearson"),
+                        )
+                        for i, (a, b) in enumerate(chunk)
+                    ]
+                )
+            ),
+        ).where(F.col("n") >= MIN_OBSERVATIONS)
+        groups = found if groups is None else groups.unionByName(found)
     if weights is not None and "_weighted_" in metric:
         groups = groups.join(weights, "product")
         value = ratio(F.sum(F.col("pearson") * F.col("weight")), F.sum("weight"))

@@ -82,8 +82,30 @@ def test_cross_section_kernel_sees_only_eligible_members(spark, configured):
     rows = panel.with_features({"gap": feature}).orderBy("instrument_id").collect()
     assert [r["gap"] for r in rows] == [-1.0, 0.0, None, None]
     configured(group=2)
-    with pytest.raises(ValueError, match="cross-section"):
-        Panel(df, SPEC).with_features({"gap": feature})
+    rows = Panel(df, SPEC).with_features({"gap": feature}).orderBy("instrument_id").collect()
+    assert [r["gap"] for r in rows] == [-1.0, 0.0, None, None]
+
+
+def test_cross_section_reduction_does_not_depend_on_the_split(spark):
+    rng = np.random.default_rng(4)
+    rows = [
+        ("X", f"i{k}", datetime(2020, 1, 1, 0, m), bool(rng.random() < 0.8), None if rng.random() < 0.1 else float(rng.normal()))
+        for k in range(60)
+        for m in range(3)
+    ]
+    df = spark.createDataFrame(
+        rows, "exchange string, instrument_id string, timestamp timestamp, eligible boolean, x double"
+    )
+    spread = fx.Reduction(
+        partial=lambda x: np.array([len(x), x.sum(), (x * x).sum()]),
+        merge=lambda states: states.sum(axis=0),
+        finish=lambda state, x: (x - state[1] / state[0]) / np.sqrt((state[2] - state[1] ** 2 / state[0]) / (state[0] - 1)),
+    )
+    features = {"own": fx.cs_reduce(spread, [X]), "known": fx.cs_zscore(X)}
+    for parts in (1, 7):
+        out = Panel(df.repartition(parts), SPEC).with_features(features).toPandas()
+        assert out["own"].notna().sum() == out["known"].notna().sum() > 100
+        np.testing.assert_allclose(out["own"].astype(float), out["known"].astype(float), atol=1e-9, equal_nan=True)
 
 
 @pytest.mark.parametrize("group", [10_000, 20])
