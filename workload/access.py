@@ -53,14 +53,14 @@ def warmup_rows(spark, sf):
 
 @query(
     "compact_round_trip",
-    f"""WITH {trade_sql()} SELECT exchange, instrument_id, trading_day, {q6("price", "price")}, {q6("volume", "volume")} FROM trade""",
+    f"""WITH {trade_sql()} SELECT exchange, instrument_id, trading_day, {q6("amount", "amount")}, {q6("volume", "volume")} FROM trade""",
 )
 def compact_round_trip(spark, sf):
     """Bars written as one ordered table, checked against their keys, and read back as a panel."""
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     scan.compact(trade(spark, sf), path, ("trading_day", "exchange", "instrument_id"))
     back = scan.scan_panel(spark, path, pattern="*.parquet")
-    return rounded(back, ["exchange", "instrument_id", "trading_day"], ["price", "volume"])
+    return rounded(back, ["exchange", "instrument_id", "trading_day"], ["amount", "volume"])
 
 
 @query(
