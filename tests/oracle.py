@@ -30,7 +30,7 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
     """Rows in a stable order with engine-neutral cell values."""
 
     def cell(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return ""
         if isinstance(v, (bool,)):
             return str(v)

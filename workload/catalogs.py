@@ -361,7 +361,7 @@ def _sweep_sql() -> str:
     return f"""WITH {TARGETS}, sf AS (SELECT *, {columns} FROM tg), {split} long AS ({long}), {clip}, {evaluated}"""
 
 
-@query("grammar_sweep", f"SELECT factor, metric, train, val, coverage, direction FROM ({_sweep_sql()})")
+@query("grammar_sweep", f"SELECT factor, metric, train, val, coverage, CAST(direction AS DOUBLE) AS direction FROM ({_sweep_sql()})")
 def grammar_sweep(spark, sf):
     """Every genome of the grammar, evaluated as columns of one panel."""
     result = sweep.sweep(target_panel(spark, sf), SWEEP, FOLD, CROSS_SECTIONAL)
@@ -369,5 +369,5 @@ def grammar_sweep(spark, sf):
         "factor",
         "metric",
         *[r6(c).alias(c) for c in ("train", "val", "coverage")],
-        F.col("direction").cast("long").alias("direction"),
+        F.col("direction").cast("double").alias("direction"),
     )
