@@ -5,8 +5,12 @@ start from neighbours in sorted orders of random sign bits; each round then comp
 vector, all members of its list and of a bounded sample of the lists that it is in, and updates the
 lists (neighbours of neighbours).  Pairs with a cosine of `threshold` or more are links.
 
-A list that holds links alone is saturated: it may miss some.  Such a list is enlarged to its whole
-component, whose members are compared with each other in tiles; only numbers of links leave a tile.
+Links that a list has no room for are kept as a spanning forest, so that they join components.
+
+A list that holds links alone is saturated: it may miss some.  Components with such a list are covered
+by balls; balls of different components that are near enough to hold a link are compared member by
+member, so that no link between two of these components is lost.  The list is then enlarged to its
+whole component, whose members are compared with each other in tiles; only numbers of links leave a tile.
 An audit compares a bounded set of vectors with all rows, in blocks; while it finds fewer than
 RECALL of their links, further rounds from other sorted orders follow.
 
@@ -17,14 +21,17 @@ as they occur.  Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import dataset
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import frozen, spread
-from .graph import components
+from .common import filesystem, frozen, shared_folder, spread
+from .graph import components, forest
 
 THRESHOLD = 0.98
 LIST = 10
@@ -35,6 +42,9 @@ MOST_REPEATS = 4
 AUDIT = 512
 RECALL = 0.99
 TILE = 256
+#: Members of a component that one task covers with balls; rows of a block of an exact comparison.
+CHUNK = 256
+BLOCK = 2048
 SALTS = 32
 BITS = 62
 
@@ -125,8 +135,18 @@ def _best(pairs: DataFrame, size: int = LIST) -> DataFrame:
     return ranked.withColumn("least", passed).select("u", "v", "sim", "least")
 
 
-def _local_join(table: pa.Table) -> pa.Table:
-    """Around each centre, candidates (u, v, sim) among its members that improve u's list."""
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest (a, b) of each task's links (u, v)."""
+    for batch in batches:
+        a, b = forest(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _local_join(table: pa.Table, threshold: float) -> pa.Table:
+    """Around each centre, candidates (u, v, sim) among its members that improve u's list.
+
+    Rows without `sim` are a spanning forest of all links seen, whether or not a list has room for them.
+    """
     table = table.sort_by([("centre", "ascending"), ("member", "ascending")]).combine_chunks()
     centre = table["centre"].to_numpy()
     member = table["member"].to_numpy()
@@ -134,7 +154,7 @@ def _local_join(table: pa.Table) -> pa.Table:
     x = unit(table["vector"].chunk(0)) if table.num_rows else np.zeros((0, 1))
     begin = np.flatnonzero(np.concatenate(([True], centre[1:] != centre[:-1])))
     size = np.diff(np.append(begin, len(centre)))
-    us, vs, sims = [], [], []
+    us, vs, sims, linked = [], [], [], []
     for n in np.unique(size).tolist():
         own = begin[size == n]
         for part in np.array_split(own, max(1, len(own) * n // 20_000)):
@@ -146,18 +166,24 @@ def _local_join(table: pa.Table) -> pa.Table:
             us.append(member[at[g, i]])
             vs.append(member[at[g, j]])
             sims.append(s[g, i, j])
+            g, i, j = np.nonzero((s >= threshold) & (member[at][:, :, None] < member[at][:, None, :]))
+            linked.append(np.stack(forest(member[at[g, i]], member[at[g, j]])))
     empty = [np.zeros(0, np.int64)]
+    a, b = forest(*np.concatenate(linked or [np.zeros((2, 0), np.int64)], axis=1))
     return pa.table(
         {
-            "u": np.concatenate(us or empty),
-            "v": np.concatenate(vs or empty),
-            "sim": np.concatenate(sims or [np.zeros(0)]),
+            "u": np.concatenate((*us, a, *empty)),
+            "v": np.concatenate((*vs, b, *empty)),
+            "sim": pa.array(
+                np.concatenate((*sims, np.zeros(len(a)))),
+                mask=np.arange(sum(map(len, sims)) + len(a)) >= sum(map(len, sims)),
+            ),
         }
     )
 
 
-def _descend(nodes: DataFrame, lists: DataFrame) -> DataFrame:
-    """One round of neighbours-of-neighbours; returns the improved lists."""
+def _descend(nodes: DataFrame, lists: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """One round of neighbours-of-neighbours: the improved lists, and a forest (a, b) of the links seen."""
     salted = lists.select(F.col("v").alias("centre"), F.col("u").alias("member")).withColumn(
         "salt", F.pmod(F.xxhash64("member"), F.lit(SALTS))
     )
@@ -185,12 +211,133 @@ def _descend(nodes: DataFrame, lists: DataFrame) -> DataFrame:
     )
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = members.withColumn("part", F.pmod(F.xxhash64("centre"), F.lit(8 * tasks)))
-    found = (
+    found = frozen(
         grouped.select("part", "dim", "centre", "member", "least", "vector")
         .groupBy("part", "dim")
-        .applyInArrow(_local_join, "u long, v long, sim double")
+        .applyInArrow(lambda table: _local_join(table, threshold), "u long, v long, sim double")
+    )
+    improved = _best(lists.select("u", "v", "sim").unionByName(found.filter("sim IS NOT NULL")))
+    return improved, found.filter("sim IS NULL").select(F.col("u").alias("a"), F.col("v").alias("b"))
+
+
+def _kinds(batch: pa.RecordBatch) -> dict[tuple, list[int]]:
+    """The rows of each label and length."""
+    rows = defaultdict(list)
+    for i, kind in enumerate(zip(batch.column("label").to_pylist(), batch.column("dim").to_pylist())):
+        rows[kind].append(i)
+    return rows
+
+
+def _compared(
+    left: DataFrame, right: DataFrame, look: Callable[[pa.RecordBatch, pa.RecordBatch], pa.RecordBatch], schema: str
+) -> DataFrame:
+    """What `look` makes of every block of `left` with every block of `right` of one label and length.
+
+    `right` lies in the shared folder and is streamed by each task, so that no row is moved once per block.
+    """
+    path = shared_folder(left.sparkSession)
+    right.write.option("compression", "zstd").parquet(path)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = filesystem(path)
+        for batch in batches:
+            own = _kinds(batch)
+            others = dataset.dataset(folder, filesystem=store, format="parquet")
+            for other in others.to_batches(batch_size=BLOCK, use_threads=False):
+                for kind, rows in _kinds(other).items():
+                    for at in range(0, len(own.get(kind, ())), BLOCK):
+                        yield look(batch.take(pa.array(own[kind][at : at + BLOCK])), other.take(pa.array(rows)))
+
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return left.repartition(tasks, "node").mapInArrow(work, schema)
+
+
+def _cover(table: pa.Table, threshold: float) -> pa.Table:
+    """(node, ball, angle): the members of a component's chunks covered by balls around some of them."""
+    table = table.sort_by([("root", "ascending"), ("chunk", "ascending"), ("node", "ascending")]).combine_chunks()
+    root, chunk, node = (table[c].to_numpy() for c in ("root", "chunk", "node"))
+    x = unit(table["vector"].chunk(0)) if table.num_rows else np.zeros((0, 1))
+    first = np.flatnonzero(np.concatenate(([True], (root[1:] != root[:-1]) | (chunk[1:] != chunk[:-1]))))
+    ball, angle = np.empty(len(node), np.int64), np.zeros(len(node))
+    for begin, end in zip(first, np.append(first[1:], len(node))):
+        left = np.arange(begin, end)
+        while len(left):
+            near = x[left] @ x[left[0]]
+            inside = near >= threshold
+            inside[0] = True
+            ball[left[inside]] = node[left[0]]
+            angle[left[inside]] = np.arccos(np.clip(near[inside], -1, 1))
+            left = left[~inside]
+    return pa.table({"node": node, "ball": ball, "angle": angle})
+
+
+def _across(nodes: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """A forest (a, b) of all links between members (node, root) of different components."""
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunked = (
+        members.join(sizes, "root")
+        .withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / CHUNK).cast("long")))
+        .withColumn("part", F.pmod(F.xxhash64("root", "chunk"), F.lit(8 * tasks)))
+        .join(nodes.select("node", "dim", "vector"), "node")
+    )
+    held = frozen(
+        chunked.select("part", "dim", "root", "chunk", "node", "vector")
+        .groupBy("part", "dim")
+        .applyInArrow(lambda table: _cover(table, threshold), "node long, ball long, angle double")
+    )
+    balls = frozen(
+        held.groupBy(F.col("ball").alias("node"))
+        .agg(F.max("angle").alias("radius"))
+        .join(members, "node")
+        .join(nodes.select("node", "label", "dim", "vector"), "node")
+    )
+    reach = float(np.arccos(threshold)) + 1e-6
+
+    def near(x: pa.RecordBatch, y: pa.RecordBatch) -> pa.RecordBatch:
+        a, b = x.column("node").to_numpy(), y.column("node").to_numpy()
+        s = unit(x.column("vector")) @ unit(y.column("vector")).T
+        apart = (x.column("root").to_numpy()[:, None] != y.column("root").to_numpy()) & (a[:, None] < b)
+        radii = x.column("radius").to_numpy()[:, None] + y.column("radius").to_numpy()
+        i, j = np.nonzero(apart & (np.arccos(np.clip(s, -1, 1)) <= radii + reach))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(a[i]), pa.array(b[j]), pa.array(s[i, j] >= threshold)], names=["a", "b", "linked"]
+        )
+
+    close = frozen(_compared(balls, balls, near, "a long, b long, linked boolean"))
+    direct = close.filter("linked").select("a", "b")
+    # Balls whose centres' links join their components already are not compared again.
+    owner = balls.select("node", "root")
+    ends = lambda pairs: (
+        pairs.join(owner.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a")
+        .join(owner.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b")
+    )
+    merged = frozen(components(ends(direct).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))))
+    final = lambda side: merged.select(F.col("node").alias(f"root_{side}"), F.col("root").alias(f"new_{side}"))
+    undecided = (
+        ends(close.filter("NOT linked"))
+        .join(final("a"), "root_a", "left")
+        .join(final("b"), "root_b", "left")
+        .filter(F.coalesce("new_a", "root_a") != F.coalesce("new_b", "root_b"))
+        .select("a", "b")
     )
-    return _best(lists.select("u", "v", "sim").unionByName(found))
+    sides = undecided.withColumn("ball", F.explode(F.array("a", "b"))).withColumn("second", F.col("ball") == F.col("b"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        x, node, second = unit(table["vector"].chunk(0)), table["node"].to_numpy(), table["second"].to_numpy()
+        a, b = np.flatnonzero(~second), np.flatnonzero(second)
+        i, j = np.nonzero(x[a] @ x[b].T >= threshold)
+        left, right = forest(node[a[i]], node[b[j]])
+        return pa.table({"a": left, "b": right})
+
+    found = (
+        sides.join(held.select("node", "ball"), "ball")
+        .join(nodes.select("node", "vector"), "node")
+        .groupBy("a", "b")
+        .applyInArrow(compare, "a long, b long")
+    )
+    return direct.unionByName(found)
 
 
 def _tile_counts(nodes: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
@@ -235,13 +382,23 @@ def _tile_counts(nodes: DataFrame, members: DataFrame, threshold: float) -> Data
     )
 
 
-def _links(nodes: DataFrame, lists: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Components (node, root) and numbers of linked rows of other nodes (node, links)."""
+def _links(nodes: DataFrame, lists: DataFrame, spare: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Components (node, root) and numbers of linked rows of other nodes (node, links).
+
+    `spare` holds links (a, b) beside those of the lists.
+    """
     near = frozen(lists.filter(F.col("sim") >= threshold).select("u", "v"))
     both = near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    roots = frozen(components(near.select(F.col("u").alias("a"), F.col("v").alias("b"))))
-    saturated = near.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LIST)
-    enlarged = roots.join(saturated.select(F.col("u").alias("node")), "node").select("root").distinct()
+    listed_links = near.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(spare)
+    roots = frozen(components(listed_links))
+    saturated = frozen(
+        near.groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LIST).select("node")
+    )
+    enlarged = frozen(roots.join(saturated, "node").select("root").distinct())
+    if enlarged.count() > 1:
+        across = frozen(_across(nodes, frozen(roots.join(enlarged, "root").select("node", "root")), threshold))
+        roots = frozen(components(listed_links.unionByName(across)))
+        enlarged = frozen(roots.join(saturated, "node").select("root").distinct())
     tiled = frozen(_tile_counts(nodes, roots.join(enlarged, "root"), threshold))
     listed = (
         both.join(nodes.select(F.col("node").alias("v"), "copies"), "v")
@@ -315,7 +472,7 @@ def near_duplicates(
         .agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least_id"))
         .withColumns({"node": F.monotonically_increasing_id(), "dim": F.size("vector")})
     )
-    lists, counts, roots = None, None, None
+    lists, counts, roots, spare = None, None, None, []
     for repeat in range(MOST_REPEATS):
         keyed = frozen(_order_keys(nodes, repeat * ORDERS))
         pairs = None if lists is None else lists.select("u", "v", "sim")
@@ -330,10 +487,16 @@ def near_duplicates(
             )
             found = in_order.mapInArrow(_adjacent, "u long, v long, sim double")
             pairs = found if pairs is None else pairs.unionByName(found)
+        pairs = frozen(pairs)
+        linked = pairs.filter((F.col("sim") >= threshold) & (F.col("u") < F.col("v"))).select("u", "v")
+        spare.append(linked.mapInArrow(_forest, "a long, b long"))
         lists = frozen(_best(pairs))
         for _ in range(ROUNDS):
-            lists = frozen(_descend(nodes, lists))
-        roots, counts = _links(nodes, lists, threshold)
+            improved, links = _descend(nodes, lists, threshold)
+            lists = frozen(improved)
+            spare.append(links)
+        spare = [frozen(reduce(DataFrame.unionByName, spare).distinct())]
+        roots, counts = _links(nodes, lists, spare[0], threshold)
         if audit(nodes, counts, threshold) >= RECALL:
             break
     smallest = (

@@ -200,6 +200,43 @@ def test_vectors_equal_all_pairs(spark, vectors):
     assert max(degree.values()) >= 3 * nn_descent.LIST
 
 
+def two_tight_groups(rng, dim, size):
+    """Vectors of two groups whose members are all linked across, but never among the nearest ten."""
+    a, b = np.linalg.qr(rng.standard_normal((dim, 2)))[0].T
+    centres = a, np.cos(0.17) * a + np.sin(0.17) * b
+    return [c + 0.001 * rng.standard_normal(dim) for c in centres for _ in range(size)]
+
+
+def test_close_saturated_groups_are_one(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(v) for v in np.float32(x)], 0) for i, x in enumerate(two_tight_groups(rng, 32, 20))]
+    rows += [(100 + i, [float(v) for v in np.float32(rng.standard_normal(32))], 0) for i in range(60)]
+    usable, links = expected_links(rows)
+    assert sum(a < 20 <= b for a, b in links) == 400
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r for r in nn_descent.near_duplicates(df).collect()}
+    degree = Counter(n for x in links for n in x)
+    for i, root in smallest(usable, links).items():
+        assert (got[i].component_id, got[i].n_links) == (root, degree[i])
+
+
+def test_links_across_components_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "CHUNK", 16)
+    monkeypatch.setattr(nn_descent, "BLOCK", 7)
+    rng = np.random.default_rng(12)
+    # Chains: only some members of neighbouring components are linked.
+    walk = np.cumsum(0.15 * rng.standard_normal((120, 6)), axis=0) + 3
+    rows = [(i, [float(v) for v in np.float32(x)], i % 2) for i, x in enumerate(walk)]
+    usable, links = expected_links(rows)
+    component = {i: i % 2 * 1000 + i // 8 for i, _, _ in rows}
+    across = [(component[a], component[b]) for a, b in links if component[a] != component[b]]
+    nodes = spark.createDataFrame(rows, "node long, vector array<float>, label int").withColumn("dim", F.lit(6))
+    members = spark.createDataFrame(sorted(component.items()), "node long, root long")
+    found = {tuple(r) for r in nn_descent._across(nodes, members, 0.98).select("a", "b").collect()}
+    got = [(component[a], component[b]) for a, b in found]
+    assert across and smallest(set(component.values()), got) == smallest(set(component.values()), across)
+
+
 def test_audit_finds_missing_links(spark, vectors):
     df = spark.createDataFrame(vectors[:220], "vec_id long, vector array<float>, label int")
     nodes = df.select(
