@@ -11,8 +11,11 @@ A list that holds links alone is saturated: it may miss some.  Components with s
 by balls; balls of different components that are near enough to hold a link are compared member by
 member, so that no link between two of these components is lost.  The list is then enlarged to its
 whole component, whose members are compared with each other in tiles; only numbers of links leave a tile.
-An audit compares a bounded set of vectors with all rows, in blocks; while it finds fewer than
-RECALL of their links, further rounds from other sorted orders follow.
+An audit compares samples of the vectors with few, with many and with no known links with all rows, in
+blocks, and counts the vectors whose links are all known, each vector once.  Of those without a known
+link it draws as many as the bound asks for, all of them where hardly any links are known.  While fewer
+than RECALL are whole, further rounds from other sorted orders follow; after MOST_REPEATS of them every
+vector is compared with all of its label.  Links that an audit finds are kept.
 
 Vectors that are null, empty, zero or hold null or non-finite components, rows without a label and
 rows without an id link with nothing.  Equal vectors of a label are compared once and count as often
@@ -42,6 +45,8 @@ MOST_REPEATS = 4
 AUDIT = 512
 RECALL = 0.99
 TILE = 256
+#: A sample in which no link is missing shows a share below 1 - RECALL if it would hold this many of it.
+SURE = 3
 #: Members of a component that one task covers with balls; rows of a block of an exact comparison.
 CHUNK = 256
 BLOCK = 2048
@@ -409,45 +414,89 @@ def _links(nodes: DataFrame, lists: DataFrame, spare: DataFrame, threshold: floa
     return roots, frozen(counts)
 
 
-def audit(nodes: DataFrame, counts: DataFrame, threshold: float, most: int = AUDIT) -> float:
-    """Share of the links of up to `most` vectors, found by comparison with all rows, that are known."""
-    n = max(nodes.count(), 1)
+def _all_links(nodes: DataFrame, asked: DataFrame, threshold: float) -> DataFrame:
+    """Of the links of the asked nodes, found by comparison with all nodes, three kinds of rows (u, v, sim, links).
+
+    Rows without `v`: numbers of linked rows per block.  With `sim`: each asked node's best LIST links of each
+    block, both ways.  With `v` alone: a spanning forest of each block's links.
+    """
+
+    def look(x: pa.RecordBatch, y: pa.RecordBatch) -> pa.RecordBatch:
+        a, b = x.column("node").to_numpy(), y.column("node").to_numpy()
+        s = unit(y.column("vector")) @ unit(x.column("vector")).T
+        near = (s >= threshold) & (b[:, None] != a)
+        links = near @ x.column("copies").to_numpy()
+        j, i = np.nonzero(near)
+        u, v = forest(b[j], a[i])
+        order = np.lexsort((a[i], -s[j, i], j))
+        j, i = j[order], i[order]
+        best = np.arange(len(j)) - np.searchsorted(j, j) < LIST
+        j, i = j[best], i[best]
+        some = np.flatnonzero(links)
+        n, m = len(some), 2 * len(j)
+        at = np.arange(n + m + len(u))
+        none = np.zeros(n, np.int64)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate((b[some], b[j], a[i], u))),
+                pa.array(np.concatenate((none, a[i], b[j], v)), mask=at < n),
+                pa.array(np.concatenate((none, s[j, i], s[j, i], np.zeros(len(u)))), mask=(at < n) | (at >= n + m)),
+                pa.array(np.concatenate((links[some], np.zeros(m + len(u), np.int64))), mask=at >= n),
+            ],
+            names=["u", "v", "sim", "links"],
+        )
+
+    asked = asked.select("node", "label", "dim", "vector")
+    rows = nodes.select("node", "label", "dim", "vector", "copies")
+    return frozen(_compared(rows, asked, look, "u long, v long, sim double, links long"))
+
+
+def _audited(nodes: DataFrame, counts: DataFrame, threshold: float, most: int) -> tuple[float, DataFrame]:
+    """Least share of whole vectors of any stratum, and what `_all_links` found for the samples.
+
+    Strata are the vectors with no known link, with fewer than LIST linked rows, and with more.
+    """
+    strata = frozen(
+        nodes.join(counts.select("node", "links"), "node", "left").select(
+            "node",
+            F.coalesce("links", F.lit(0)).alias("known"),
+            F.when(F.coalesce("links", F.lit(0)) == 0, 0).when(F.col("links") < LIST, 1).otherwise(2).alias("stratum"),
+        )
+    )
+    sizes = {r.stratum: r["count"] for r in strata.groupBy("stratum").count().collect()}
+    # A lone vector with a link weighs against the vectors of small groups: draw until that share is bounded.
+    lone = SURE * sizes.get(0, 0) / ((1 - RECALL) * max(sizes.get(1, 0), 1))
+    wanted = {0: max(most, lone), 1: most, 2: most}
     steps = 1 << 30
-    share = min(steps, steps * most // n)
-    asked = (
-        nodes.filter(F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(steps)) < share)
-        .select("node", "label", "dim", "vector")
-        .limit(2 * most)
-        .collect()
+    drawn = F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(steps))
+    share = {k: steps * min(1.0, wanted[k] / n) for k, n in sizes.items()}
+    sample = strata.filter(
+        F.coalesce(*(F.when(F.col("stratum") == k, drawn < int(x)) for k, x in share.items()), F.lit(False))
     )
-    queries = {}
-    for r in asked:
-        queries.setdefault((r.label, r.dim), ([], []))
-        queries[r.label, r.dim][0].append(r.node)
-        queries[r.label, r.dim][1].append(list(r.vector))
+    sample = frozen(sample)
+    found = _all_links(nodes, nodes.join(sample.select("node"), "node"), threshold)
+    exact = found.filter("v IS NULL").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("exact"))
+    seen = {
+        r.stratum: r
+        for r in sample.join(exact, "node", "left")
+        .groupBy("stratum")
+        .agg(
+            F.count(F.lit(1)).alias("asked"),
+            F.count("exact").alias("linked"),
+            F.count(F.when(F.col("known") >= F.col("exact"), 1)).alias("whole"),
+        )
+        .collect()
+    }
+    shares = [seen[k].whole / seen[k].linked for k in (1, 2) if k in seen and seen[k].linked]
+    if 0 in seen and seen[0].linked:
+        missed = sizes[0] * seen[0].linked / seen[0].asked
+        shares.append(sizes.get(1, 0) / (sizes.get(1, 0) + missed))
+    return min(shares, default=1.0), found
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, dim, copies = (batch.column(c).to_numpy() for c in (0, 2, 4))
-            label = np.asarray(batch.column(1).to_pylist(), object)
-            for (own_label, own_dim), (ids, vectors) in queries.items():
-                rows = np.flatnonzero((label == own_label) & (dim == own_dim))
-                if len(rows):
-                    near = unit(pa.array(vectors)) @ unit(batch.column(3).take(pa.array(rows))).T >= threshold
-                    near &= np.array(ids)[:, None] != node[rows][None, :]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids, pa.int64()), pa.array(near @ copies[rows])], names=["node", "links"]
-                    )
-
-    exact = (
-        nodes.select("node", "label", "dim", "vector", "copies")
-        .mapInArrow(compare, "node long, links long")
-        .groupBy("node")
-        .agg(F.sum("links").alias("exact"))
-    )
-    known = exact.join(counts, "node", "left").select("exact", F.coalesce("links", F.lit(0)).alias("links"))
-    true, found = known.agg(F.sum("exact"), F.sum(F.least("exact", "links"))).first()
-    return found / true if true else 1.0
+
+def audit(nodes: DataFrame, counts: DataFrame, threshold: float, most: int = AUDIT) -> float:
+    """Share of the linked vectors whose links are all known, in the worst stratum of `_audited`."""
+    return _audited(nodes, counts, threshold, most)[0]
 
 
 def near_duplicates(
@@ -497,8 +546,18 @@ def near_duplicates(
             spare.append(links)
         spare = [frozen(reduce(DataFrame.unionByName, spare).distinct())]
         roots, counts = _links(nodes, lists, spare[0], threshold)
-        if audit(nodes, counts, threshold) >= RECALL:
+        recall, found = _audited(nodes, counts, threshold, AUDIT)
+        if recall < RECALL and repeat == MOST_REPEATS - 1:
+            found = _all_links(nodes, nodes, threshold)
+        if recall < 1:
+            pairs = lists.select("u", "v", "sim").unionByName(found.filter("sim IS NOT NULL").select("u", "v", "sim"))
+            lists = frozen(_best(pairs))
+            more = found.filter("v IS NOT NULL").select(F.col("u").alias("a"), F.col("v").alias("b"))
+            spare = [frozen(spare[0].unionByName(more).distinct())]
+        if recall >= RECALL or repeat == MOST_REPEATS - 1:
             break
+    if recall < 1:
+        roots, counts = _links(nodes, lists, spare[0], threshold)
     smallest = (
         nodes.join(roots, "node", "left")
         .withColumn("root", F.coalesce("root", "node"))

@@ -249,6 +249,37 @@ def test_audit_finds_missing_links(spark, vectors):
     assert nn_descent.audit(nodes, full.filter("node < 0"), 0.98) == 0.0
 
 
+def test_audit_is_not_read_from_one_group_of_copies(spark):
+    rng = np.random.default_rng(13)
+    base = rng.standard_normal((201, 16))
+    # 100 pairs of which none is known, beside a pair whose two vectors occur 100,000 times each.
+    rows = [(2 * i + k, [float(v) for v in base[i] * (1 + k) + 1e-3 * k], 0) for i in range(101) for k in range(2)]
+    nodes = spark.createDataFrame(rows, "node long, vector array<double>, label int").select(
+        "node", "label", F.lit(16).alias("dim"), "vector", F.expr("if(node < 2, 100000L, 1L)").alias("copies")
+    )
+    known = spark.createDataFrame([(0, 100000), (1, 100000)], "node long, links long")
+    assert nn_descent.audit(nodes, known, 0.98) == 0.0
+
+
+def test_lone_pairs_are_found_without_orders(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "AUDIT", 2)
+    monkeypatch.setattr(nn_descent, "MOST_REPEATS", 1)
+    monkeypatch.setattr(nn_descent, "ROUNDS", 0)
+    monkeypatch.setattr(nn_descent, "ORDERS", 1)
+    monkeypatch.setattr(nn_descent, "REACH", 1)
+    rng = np.random.default_rng(14)
+    base = rng.standard_normal((300, 24))
+    rows = [(i, [float(v) for v in np.float32(x)], 0) for i, x in enumerate(base)]
+    rows += [(300 + i, [float(v) for v in np.float32(x + 0.18 * rng.standard_normal(24))], 0) for i, x in enumerate(base[:80])]
+    rows += [(400 + i, [float(v) for v in np.float32(x)], 0) for i, x in enumerate(two_tight_groups(rng, 24, 15))]
+    usable, links = expected_links(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r for r in nn_descent.near_duplicates(df).collect()}
+    degree = Counter(n for x in links for n in x)
+    for i, root in smallest(usable, links).items():
+        assert (got[i].component_id, got[i].n_links) == (root, degree[i])
+
+
 def test_no_vectors(spark, vectors):
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")
     assert nn_descent.near_duplicates(df.limit(0)).count() == 0
