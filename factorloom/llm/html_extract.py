@@ -7,9 +7,12 @@ block of which COVERED of the words are covered is boilerplate; unique runs stay
 itself declares to be its article (article, main, role=main) stays whole, also where other pages
 repeat it, and on such pages nothing else does.
 
-Pages of a host are dealt into groups of about GROUP_BYTES by a hash of their id and address, so a host with a
-third of all pages is many groups; a template repeats within each.  Suffixes are sorted by their first
-RUN words only, which is all that "RUN words in common" asks: three doublings instead of log(n).
+Pages of a host are dealt into groups of about GROUP_BYTES by a hash of their words, so a host with a
+third of all pages is many groups, and pages of the same words are in one.  Groups are units of work
+only: each sorts its own suffixes and counts the pages of each run; the counts are then added up over
+the host, in as many ranges of run hashes as it has groups, and the runs that reach the host's threshold
+go back to its pages.  Suffixes are sorted by their first RUN words only, which is all that "RUN words in
+common" asks: three doublings instead of log(n).
 
 A null or empty page has an empty text.  A null address counts as a host without name.  Repeated rows
 are extracted each and count as one page.  Other columns are not read.
@@ -18,17 +21,19 @@ are extracted each and count as one page.  Other columns are not read.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html import unescape
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import dataset
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Texts, frozen, mix, span_hashes
+from .common import Texts, filesystem, frozen, mix, shared_folder, span_hashes
 
 RUN = 6
 COVERED = 0.8
-#: A run is a template's if this many different pages hold it, and this share of the group's pages.
+#: A run is a template's if this many different pages hold it, and this share of the host's pages.
 LEAST_PAGES, LEAST_SHARE = 3, 0.02
 GROUP_BYTES = 1 << 20
 #: Hosts of several groups up to this many go to every executor; more are joined by shuffle.
@@ -153,16 +158,11 @@ def blocks(html: str) -> list[tuple[int, str]]:
     return out
 
 
-def covered(words: np.ndarray, page: np.ndarray, content: np.ndarray, run: int = RUN) -> np.ndarray:
-    """Which words lie in a run of `run` words that several pages of different `content` hold.
-
-    `words` are the hashes of all pages' words in order, `page` their page numbers.
-    """
+def ranks(words: np.ndarray, page: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Ranks of the suffixes by their first `run` words; a suffix that leaves its page gets rank -1."""
     n = len(words)
-    cover = np.zeros(n + 1, np.int64)
     if n < run:
-        return cover[:n] > 0
-    # Ranks of the suffixes by their first `length` words; a suffix that leaves its page gets rank -1.
+        return np.full(n, -1, np.int64)
     _, rank = np.unique(words, return_inverse=True)
     length = 1
     while length < run:
@@ -173,52 +173,164 @@ def covered(words: np.ndarray, page: np.ndarray, content: np.ndarray, run: int =
         key = rank[at[ok]].astype(np.uint64) << np.uint64(32) | rank[at[ok] + step].astype(np.uint64)
         whole[at[ok]] = np.unique(key, return_inverse=True)[1]
         rank, length = whole, length + step
+    return rank
+
+
+def holders(rank: np.ndarray, page: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """How many different contents hold the run of each rank, from the sorted suffixes."""
     at = np.flatnonzero(rank >= 0)
-    if not len(at):
-        return cover[:n] > 0
-    pages = len(np.unique(content))
-    # Different contents per rank, from the sorted suffixes.
     owner = content[page[at]]
     pair = np.unique(rank[at].astype(np.uint64) << np.uint64(32) | owner.astype(np.uint64))
-    several = np.bincount((pair >> np.uint64(32)).astype(np.int64)) >= max(LEAST_PAGES, LEAST_SHARE * pages)
-    found = at[several[rank[at]]]
-    np.add.at(cover, found, 1)
-    np.add.at(cover, found + run, -1) if len(found) else None
+    return np.bincount((pair >> np.uint64(32)).astype(np.int64))
+
+
+def spans(starts: np.ndarray, n: int, run: int = RUN) -> np.ndarray:
+    """Which of n words lie in a run that begins at one of `starts`."""
+    cover = np.zeros(n + run + 1, np.int64)
+    cover[starts] += 1
+    cover[starts + run] -= 1
     return np.cumsum(cover)[:n] > 0
 
 
-def extract_group(htmls: list[str | None]) -> list[tuple[str, int, int]]:
-    """(text, words covered by the host's templates, words) of each of the pages of one group."""
-    pages = [blocks(h or "") for h in htmls]
-    flat = [text for page in pages for _, text in page]
-    page_of = np.repeat(np.arange(len(pages)), [len(p) for p in pages])
-    texts = Texts(pa.array(flat, pa.large_string()))
-    starts, ends, block = texts.words()
-    words = span_hashes(texts.buf, starts, ends)
-    page = page_of[block] if len(block) else block
-    # Pages with the same words are one content.
-    order = np.zeros(len(pages), np.uint64)
-    if len(words):
-        place = np.arange(len(words)) - np.searchsorted(page, page)
-        np.add.at(order, page, mix(words ^ mix(place.astype(np.uint64))))
-    content = np.unique(order, return_inverse=True)[1]
-    cover = covered(words, page, content)
-    count = np.bincount(block, minlength=len(flat))
-    share = np.bincount(block, weights=cover, minlength=len(flat)) / np.maximum(count, 1)
-    out, b = [], 0
-    for blocks_of in pages:
-        declared = any(kind == MAIN for kind, _ in blocks_of)
+def covered(words: np.ndarray, page: np.ndarray, content: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Which words lie in a run of `run` words that several pages of different `content` hold.
+
+    `words` are the hashes of all pages' words in order, `page` their page numbers.
+    """
+    rank = ranks(words, page, run)
+    at = np.flatnonzero(rank >= 0)
+    several = holders(rank, page, content) >= max(LEAST_PAGES, LEAST_SHARE * len(np.unique(content)))
+    return spans(at[several[rank[at]]], len(words), run)
+
+
+class Words:
+    """The words of the blocks of several pages: hashes, page and block number of each."""
+
+    def __init__(self, pages: pa.Array):
+        """`pages` holds each page's list of block texts."""
+        flat = pages.flatten()
+        texts = Texts(flat.cast(pa.large_string()))
+        starts, ends, self.block = texts.words()
+        self.hashes = span_hashes(texts.buf, starts, ends)
+        lengths = np.array([len(x) for x in pages], np.int64)
+        self.page = np.repeat(np.arange(len(pages)), lengths)[self.block] if len(starts) else self.block
+        self.bounds = np.concatenate(([0], np.cumsum(lengths)))
+
+    def contents(self) -> np.ndarray:
+        """A hash of each page's words in order; pages with the same words are one content."""
+        order = np.zeros(len(self.bounds) - 1, np.uint64)
+        place = np.arange(len(self.hashes)) - np.searchsorted(self.page, self.page)
+        np.add.at(order, self.page, mix(self.hashes ^ mix(place.astype(np.uint64))))
+        return order.view(np.int64)
+
+    def runs(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the runs that begin at these words."""
+        h = np.zeros(len(at), np.uint64)
+        for k in range(RUN):
+            h = mix(h ^ self.hashes[at + k]) + np.uint64(k + 1)
+        return mix(h)
+
+    def whole(self) -> np.ndarray:
+        """Words at which a run within the page begins."""
+        at = np.arange(max(0, len(self.hashes) - RUN + 1))
+        return at[self.page[at] == self.page[at + RUN - 1]] if len(at) else at
+
+
+def group_runs(texts: pa.Array, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the different runs of a group's pages, and how many different contents hold each."""
+    words = Words(texts)
+    rank = ranks(words.hashes, words.page)
+    at = np.flatnonzero(rank >= 0)
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    _, number = np.unique(content, return_inverse=True)
+    first = np.unique(rank[at], return_index=True)[1]
+    return words.runs(at[first]), holders(rank, words.page, number)
+
+
+def extract_pages(texts: pa.Array, kinds: list[list[int]], templates: list[np.ndarray]) -> list[tuple[str, int, int]]:
+    """(text, words covered by the host's templates, words) of each page; `templates` are sorted run hashes."""
+    words = Words(texts)
+    at = words.whole()
+    run, page = words.runs(at), words.page[at]
+    found = np.zeros(len(at), bool)
+    cuts = np.searchsorted(page, np.arange(len(kinds) + 1))
+    for p, known in enumerate(templates):
+        if len(known):
+            own = run[cuts[p] : cuts[p + 1]]
+            found[cuts[p] : cuts[p + 1]] = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
+    cover = spans(at[found], len(words.hashes))
+    blocks_in_all = words.bounds[-1]
+    count = np.bincount(words.block, minlength=blocks_in_all)
+    share = np.bincount(words.block, weights=cover, minlength=blocks_in_all) / np.maximum(count, 1)
+    out = []
+    for p, (kinds_of, texts_of) in enumerate(zip(kinds, texts.to_pylist())):
+        b = words.bounds[p]
+        declared = MAIN in kinds_of
         kept = [
             text
-            for k, (kind, text) in enumerate(blocks_of)
+            for k, (kind, text) in enumerate(zip(kinds_of, texts_of))
             if (kind == MAIN if declared else kind == BODY and share[b + k] < COVERED)
         ]
-        own = slice(b, b + len(blocks_of))
+        own = slice(b, words.bounds[p + 1])
         out.append(("\n\n".join(kept), int((share[own] * count[own]).sum().round()), int(count[own].sum())))
-        b += len(blocks_of)
     return out
 
 
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages (page_id, url, host, html) as lists of blocks, with a hash of their words."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 100):
+            part = batch.slice(at, 100)
+            pages = [blocks(h or "") for h in part.column(3).to_pylist()]
+            texts = pa.array([[t for _, t in p] for p in pages], pa.list_(pa.string()))
+            kinds = pa.array([[k for k, _ in p] for p in pages], pa.list_(pa.int32()))
+            content = pa.array(Words(texts).contents())
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns[:3], content, kinds, texts], names=["page_id", "url", "host", "content", "kinds", "texts"]
+            )
+
+
+def _templates(parsed: DataFrame) -> DataFrame:
+    """(host, runs): sorted run hashes of the templates of a host, in several rows."""
+
+    def count(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        content, groups = table["content"].to_numpy(), table["groups"][0].as_py()
+        run, held = group_runs(table["texts"].chunk(0), content)
+        bucket = (run % np.uint64(groups)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        run, held, bucket = run[order], held[order], bucket[order]
+        begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(run) else []
+        ends = [*begin[1:], len(run)]
+        # The number of contents goes to every bucket, also to those in which the group has no run.
+        filled = {int(bucket[a]): (a, b) for a, b in zip(begin, ends)}
+        parts = [filled.get(k, (0, 0)) for k in range(groups)]
+        return pa.table(
+            {
+                "host": pa.array([table["host"][0].as_py()] * groups, pa.string()),
+                "bucket": pa.array(range(groups), pa.int64()),
+                "contents": pa.array([len(np.unique(content))] * groups, pa.int64()),
+                "runs": pa.array([run[a:b].tobytes() for a, b in parts], pa.binary()),
+                "held": pa.array([held[a:b].astype(np.int32).tobytes() for a, b in parts], pa.binary()),
+            }
+        )
+
+    def add(table: pa.Table) -> pa.Table:
+        run = np.frombuffer(b"".join(table["runs"].to_pylist()), np.uint64)
+        held = np.frombuffer(b"".join(table["held"].to_pylist()), np.int32)
+        known, number = np.unique(run, return_inverse=True)
+        total = np.bincount(number, weights=held, minlength=len(known))
+        pages = sum(table["contents"].to_pylist())
+        runs = known[total >= max(LEAST_PAGES, LEAST_SHARE * pages)]
+        return pa.table({"host": table["host"][:1], "runs": pa.array([runs.tobytes()], pa.binary())})
+
+    parts = parsed.select("host", "group", "groups", "content", "texts").groupBy("host", "group").applyInArrow(
+        count, "host string, bucket long, contents long, runs binary, held binary"
+    )
+    return parts.groupBy("host", "bucket").applyInArrow(add, "host string, runs binary").filter(F.length("runs") > 0)
+
+
 def extract(
     pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html"
 ) -> DataFrame:
@@ -229,35 +341,55 @@ def extract(
         F.col(html_column).cast("string").alias("html"),
     ).withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][\w+.-]*://([^/?#]+)", 1), F.lit(""))))
     sizes = rows.groupBy("host").agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("bytes"))
-    # Only hosts of several groups are listed; the pages then move once, by host and group.
+    # Only hosts of several groups are listed; the blocks' texts then move once, by host and group.
     large = frozen(
         sizes.filter(F.col("bytes") >= GROUP_BYTES).select(
             "host", (F.floor(F.col("bytes") / GROUP_BYTES) + 1).alias("groups")
         )
     )
     listed = F.broadcast(large) if large.count() <= BROADCAST_HOSTS else large
+    kind = rows.schema["page_id"].dataType.simpleString()
+    parsed = frozen(
+        rows.select("page_id", "url", "host", "html").mapInArrow(
+            _parsed, f"page_id {kind}, url string, host string, content long, kinds array<int>, texts array<string>"
+        )
+    )
     dealt = (
-        rows.join(listed, "host", "left")
-        .withColumn("group", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1).cast("long"))))
-        .drop("groups")
+        parsed.join(listed, "host", "left")
+        .withColumn("groups", F.coalesce("groups", F.lit(1).cast("long")))
+        .withColumn("group", F.pmod(F.xxhash64("content"), "groups"))
     )
+    path = shared_folder(pages.sparkSession)
+    _templates(dealt).write.option("compression", "zstd").parquet(path)
 
-    def work(table: pa.Table) -> pa.Table:
-        found = extract_group(table["html"].to_pylist())
-        text = [f[0] for f in found]
-        return pa.table(
-            {
-                "page_id": table["page_id"],
-                "url": table["url"],
-                "text": pa.array(text, pa.string()),
-                "n_chars": pa.array([len(t) for t in text], pa.int64()),
-                "n_words_covered": pa.array([f[1] for f in found], pa.int64()),
-                "n_words_in_blocks": pa.array([f[2] for f in found], pa.int64()),
-            }
-        )
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = filesystem(path)
+        known = dataset.dataset(folder, filesystem=store, format="parquet")
+        for batch in batches:
+            hosts = batch.column("host").to_pylist()
+            runs = {}
+            for row in known.to_table(filter=dataset.field("host").isin(sorted(set(hosts)))).to_pylist():
+                runs.setdefault(row["host"], []).append(np.frombuffer(row["runs"], np.uint64))
+            sorted_runs = {host: np.sort(np.concatenate(found)) for host, found in runs.items()}
+            none = np.zeros(0, np.uint64)
+            templates = [sorted_runs.get(h, none) for h in hosts]
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                found = extract_pages(part.column("texts"), part.column("kinds").to_pylist(), templates[at : at + 100])
+                text = [f[0] for f in found]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("page_id"),
+                        part.column("url"),
+                        pa.array(text, pa.string()),
+                        pa.array([len(t) for t in text], pa.int64()),
+                        pa.array([f[1] for f in found], pa.int64()),
+                        pa.array([f[2] for f in found], pa.int64()),
+                    ],
+                    names=["page_id", "url", "text", "n_chars", "n_words_covered", "n_words_in_blocks"],
+                )
 
-    kind = rows.schema["page_id"].dataType.simpleString()
-    return dealt.groupBy("host", "group").applyInArrow(
+    return parsed.select("page_id", "url", "host", "kinds", "texts").mapInArrow(
         work,
         f"page_id {kind}, url string, text string, n_chars long, n_words_covered long, n_words_in_blocks long",
     )

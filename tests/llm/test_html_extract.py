@@ -94,3 +94,22 @@ def test_a_large_host_is_dealt_into_groups(spark, monkeypatch):
     )
     rows = html_extract.extract(pages).collect()
     assert len(rows) == 300 and all(r.text.startswith("own") for r in rows)
+
+
+def test_groups_do_not_change_results(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = np.array([f"w{i}" for i in range(4000)])
+    notice = " ".join(words[:12])
+    rows = []
+    for i in range(120):
+        own = [" ".join(rng.choice(words, 25)) for _ in range(2)]
+        # The notice is on 12 of 120 pages: on hardly more than one page of a small group.
+        rows.append((i, "https://a.example/", "".join(f"<p>{t}</p>" for t in [own[0], *([notice] if i % 10 == 0 else []), own[1]])))
+    rows += [(200 + i, "https://a.example/", f"<div>{rows[5][2]}</div>") for i in range(9)]  # one content, ten pages
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = sorted(html_extract.extract(pages).collect())
+    assert not any(notice in r.text for r in whole)
+    assert all(r.text and r.n_words_covered == 0 for r in whole if r.page_id >= 200)
+    for size in (4000, 100):
+        monkeypatch.setattr(html_extract, "GROUP_BYTES", size)
+        assert sorted(html_extract.extract(pages).collect()) == whole
