@@ -27,15 +27,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import Texts, filesystem, frozen, letters, lowered, mix, shared_folder, span_hashes, text_batches
 from .perfect_hash import PerfectHash, strings
 
 MIN_DOCS, TOP, STEPS = 10, 10, 1_000_000_000
-#: Expected keys of a shard, sources of a tile, (group, term) entries before a lookup.
-SHARD_KEYS, TILE, ENTRIES = 8_192, 32, 400_000
+#: Expected keys of a shard, sources of a tile, bytes of text that are counted at a time.
+SHARD_KEYS, TILE, COUNT_BYTES = 8_192, 32, 4 << 20
 CACHE_BYTES, DENSE_BYTES = 48 << 20, 48 << 20
 #: Stands for the whole language in place of a source's number.
 WHOLE = -1
@@ -51,103 +50,44 @@ def _terms(texts: Texts) -> tuple[pa.Array, np.ndarray]:
     return strings(lowered(texts.buf)[inside], ends - starts), owner
 
 
-def _codes(terms: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    coded = pc.dictionary_encode(terms)
-    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
-
-
-def _key_hashes(langs: list[str], lang: np.ndarray, terms: pa.Array) -> np.ndarray:
-    """64-bit hashes of (language, term)."""
-    offsets = np.frombuffer(terms.buffers()[1], np.int64)[terms.offset : terms.offset + len(terms) + 1]
-    buf = np.frombuffer(terms.buffers()[2], np.uint8) if len(terms) and offsets[-1] else np.zeros(0, np.uint8)
-    own = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in langs], np.uint64)
-    return mix(span_hashes(buf, offsets[:-1], offsets[1:]) ^ mix(own[lang]))
-
-
-def _keys(langs: list[str], lang: np.ndarray, terms: pa.Array) -> pa.Array:
-    """Stored form of the keys; a term holds no zero byte, so the last one ends the language."""
-    names = pa.array([x.encode("utf-8", "surrogatepass") for x in langs], pa.large_binary()).take(pa.array(lang))
-    return pc.binary_join_element_wise(names, terms, pa.scalar(b"\0", pa.large_binary()))
-
+def _hash(values: pa.Array) -> np.ndarray:
+    """64-bit hashes of byte strings."""
+    offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    buf = np.frombuffer(values.buffers()[2], np.uint8) if len(values) and offsets[-1] else np.zeros(0, np.uint8)
+    return span_hashes(buf, offsets[:-1], offsets[1:])
 
-class _Counts:
-    """Summed counts of (group, term), kept until there are ENTRIES of them."""
 
-    def __init__(self):
-        self.parts: list[pa.Table] = []
-        self.rows = 0
+def _keys(langs: pa.Array, lang: np.ndarray, terms: pa.Array, term: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Hash and stored form of (language, term) pairs; a term holds no zero byte, so the last one ends the language."""
+    names = langs.cast(pa.large_string()).cast(pa.large_binary())
+    joined = pc.binary_join_element_wise(names.take(pa.array(lang)), terms.take(pa.array(term)), pa.scalar(b"\0", pa.large_binary()))
+    return mix(_hash(terms)[term] ^ mix(_hash(names)[lang])), joined
 
-    def add(self, group: np.ndarray, terms: pa.Array, n: np.ndarray) -> None:
-        self.parts.append(pa.table({"g": pa.array(group), "t": terms, "n": pa.array(n)}))
-        self.rows += len(terms)
-        if self.rows > 2 * ENTRIES:
-            self._sum()
 
-    def _sum(self) -> None:
-        whole = pa.concat_tables(self.parts).group_by(["g", "t"]).aggregate([("n", "sum")])
-        self.parts = [whole.rename_columns(["g", "t", "n"]).select(["g", "t", "n"])]
-        self.rows = whole.num_rows
+def _pairs(first: np.ndarray, second: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different pairs of numbers, the second ones below `width`, and how often each occurs."""
+    key = np.sort(first * width + second)
+    new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    return key[new] // width, key[new] % width, np.diff(np.append(new, len(key)))
 
-    @property
-    def full(self) -> bool:
-        return self.rows > ENTRIES
-
-    def take(self) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-        if not self.parts:
-            return np.zeros(0, np.int64), pa.array([], pa.large_binary()), np.zeros(0, np.int64)
-        self._sum()
-        table = self.parts[0].combine_chunks()
-        self.parts, self.rows = [], 0
-        column = table.column("t")
-        terms = column.chunk(0) if column.num_chunks else pa.array([], pa.large_binary())
-        return table.column("g").to_numpy(), terms, table.column("n").to_numpy()
-
-
-class _Numbered(dict):
-    """Numbers for keys as they come."""
-
-    def __missing__(self, key):
-        self[key] = len(self)
-        return self[key]
 
+def _numbered(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Number of each value, and the values in the order of their numbers."""
+    coded = column.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
-def _per_text(batches: Iterator[pa.RecordBatch], per_document: bool) -> Iterator[tuple[list, np.ndarray, pa.Array, np.ndarray]]:
-    """Counts of each (group, term) of a bounded stretch: occurrences, or documents that hold it.
 
-    A group is a value of all columns before the last one, which is the text.
-    """
-    for batch, texts in text_batches(batches, "text"):
-        numbers = _Numbered()
-        columns = [c.to_pylist() for c in batch.columns[:-1]]
-        group = np.array([numbers[key] for key in zip(*columns)], np.int64)
+def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, text) rows to (lang, term, documents that hold it), summed over stretches of text."""
+    for batch, texts in text_batches(batches, "text", COUNT_BYTES):
+        lang, langs = _numbered(batch.column(0))
         terms, owner = _terms(texts)
-        codes, unique = _codes(terms)
+        code, unique = _numbered(terms)
         width = max(1, len(unique))
-        if per_document:
-            found = np.unique(owner * width + codes)
-            owner, codes = found // width, found % width
-        found, n = np.unique(group[owner] * width + codes, return_counts=True)
-        yield list(numbers), found // width, unique.take(pa.array(found % width)), n.astype(np.int64)
-
-
-def _summed(batches: Iterator[pa.RecordBatch], per_document: bool) -> Iterator[tuple[list, np.ndarray, pa.Array, np.ndarray]]:
-    """As `_per_text`, summed over many stretches."""
-    numbers, counts = _Numbered(), _Counts()
-    for groups, group, terms, n in _per_text(batches, per_document):
-        counts.add(np.array([numbers[g] for g in groups], np.int64)[group], terms, n)
-        if counts.full:
-            counts._sum()
-            if counts.rows > ENTRIES // 2:
-                yield list(numbers), *counts.take()
-                numbers = _Numbered()
-    yield list(numbers), *counts.take()
-
-
-def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for groups, group, terms, n in _summed(batches, True):
-        if len(n):
-            langs = pa.array([g[0] for g in groups], pa.string()).take(pa.array(group))
-            yield pa.RecordBatch.from_arrays([langs, terms.cast(pa.binary()).cast(pa.string()), pa.array(n)], names=["lang", "term", "n"])
+        document, code, _ = _pairs(owner, code, width)
+        own, code, n = _pairs(lang[document], code, width)
+        words = unique.take(pa.array(code)).cast(pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([langs.take(pa.array(own)), words, pa.array(n)], names=["lang", "term", "n"])
 
 
 def plain(docs: DataFrame) -> DataFrame:
@@ -164,15 +104,9 @@ def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 # --- perfect hashes -------------------------------------------------------------------------------
 
 
-def _numbered_terms(langs: pa.Array) -> tuple[list[str], np.ndarray]:
-    coded = pc.dictionary_encode(langs)
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-
-
 def _hashed(langs: pa.Array, terms: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    names, lang = _numbered_terms(langs)
-    binary = terms.cast(pa.large_string()).cast(pa.large_binary())
-    return _key_hashes(names, lang, binary), _keys(names, lang, binary)
+    lang, names = _numbered(langs)
+    return _keys(names, lang, terms.cast(pa.large_string()).cast(pa.large_binary()), np.arange(len(terms)))
 
 
 def build_shards(kept: DataFrame, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int]:
@@ -209,19 +143,41 @@ def build_shards(kept: DataFrame, shard_keys: int = SHARD_KEYS) -> tuple[DataFra
     return frozen(built), shards
 
 
+class Shard:
+    """A perfect hash whose slots are numbered by language, so that a language's slots are a range."""
+
+    def __init__(self, table: PerfectHash):
+        split = [(k[: (at := k.rindex(b"\0"))], k[at:]) for k in table.keys.to_pylist()]
+        order = np.array(sorted(range(len(split)), key=split.__getitem__), np.int64)
+        self.table = table
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.arange(len(order))
+        self.keys = table.keys.take(pa.array(order))
+        #: Places of each language, by its stored form.
+        self.ranges: dict[bytes, tuple[int, int]] = {}
+        for i, k in enumerate(order.tolist()):
+            self.ranges[split[k][0]] = (self.ranges.get(split[k][0], (i, i))[0], i + 1)
+        self.nbytes = table.nbytes + self.keys.nbytes + 8 * len(order)
+
+    def places(self, hashes: np.ndarray, keys: pa.Array) -> np.ndarray:
+        """Place of every key, -1 for one that is not stored."""
+        slots = self.table.slots(hashes, keys)
+        return np.where(slots < 0, -1, self.place[slots]) if len(self.place) else slots
+
+
 class ShardCache:
     """Shards of a worker's task, read when needed; the least recently used go beyond `limit` bytes."""
 
     def __init__(self, paths: dict[int, str], limit: int = CACHE_BYTES):
         self.paths, self.limit, self.held, self.size = paths, limit, OrderedDict(), 0
 
-    def __getitem__(self, shard: int) -> PerfectHash:
+    def __getitem__(self, shard: int) -> Shard:
         if shard in self.held:
             self.held.move_to_end(shard)
             return self.held[shard]
         fs, local = filesystem(self.paths[shard])
         with fs.open_input_file(local) as source:
-            found = PerfectHash.frombytes(source.read())
+            found = Shard(PerfectHash.frombytes(source.read()))
         self.held[shard] = found
         self.size += found.nbytes
         while self.size > self.limit and len(self.held) > 1:
@@ -229,41 +185,82 @@ class ShardCache:
         return found
 
 
-def recount(docs: DataFrame, built: DataFrame, shards: int) -> DataFrame:
-    """Occurrences of every kept term per (lang, source), by slot: lang, source, shard, slot, n > 0."""
+def with_group(docs: DataFrame) -> DataFrame:
+    """Append `g`, a number per (lang, source) of the table; the first seed that keeps all groups apart."""
+    for seed in range(8):
+        marked = docs.withColumn("g", F.xxhash64(F.lit(seed), "lang", "source"))
+        groups = marked.select("lang", "source", "g").distinct()
+        both = groups.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("g").alias("apart")).first()
+        if both["n"] == both["apart"]:
+            return marked
+    raise RuntimeError("no seed keeps the groups apart")
+
+
+def recount(docs: DataFrame, built: DataFrame, shards: int, cache_bytes: int = CACHE_BYTES, dense_bytes: int = DENSE_BYTES) -> DataFrame:
+    """Occurrences of every kept term per group: g, shard, slot, n > 0."""
     # One short path per shard of SHARD_KEYS terms: 0.01 bytes a kept term.
     paths = {r.shard: r.path for r in built.select("shard", "path").distinct().collect()}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, dense, size = ShardCache(paths), {}, 0
-        for groups, group, terms, n in _summed(batches, False):
-            if not len(n):
+        cache, size = ShardCache(paths, cache_bytes), 0
+        # Per (language, shard): number of each group's row, and the dense counts of the rows.
+        rows: dict[tuple, dict[int, int]] = {}
+        dense: dict[tuple, np.ndarray] = {}
+        for batch, texts in text_batches(batches, "text", COUNT_BYTES):
+            # A group has one language.
+            group, groups = _numbered(batch.column(0))
+            lang, langs = _numbered(batch.column(1))
+            lang_of = np.zeros(len(groups), np.int64)
+            lang_of[group] = lang
+            terms, owner = _terms(texts)
+            code, unique = _numbered(terms)
+            width = max(1, len(unique))
+            own, code, n = _pairs(group[owner], code, width)
+            key_lang, key_code, _ = _pairs(lang_of[own], code, width)
+            if not len(key_code):
                 continue
-            names = _Numbered()
-            lang = np.array([names[g[0]] for g in groups], np.int64)[group]
-            hashes, keys = _key_hashes(list(names), lang, terms), _keys(list(names), lang, terms)
+            hashes, keys = _keys(langs, key_lang, unique, key_code)
             shard = (hashes % np.uint64(shards)).astype(np.int64)
-            order = np.lexsort((group, shard))
-            for rows in _runs(order, shard):
-                own = int(shard[rows[0]])
-                if own not in paths:
-                    continue
-                table = cache[own]
-                slots = table.slots(hashes[rows], keys.take(pa.array(rows)))
-                rows, slots = rows[slots >= 0], slots[slots >= 0]
-                for part in _runs(np.arange(len(rows)), group[rows]):
-                    key = (*groups[int(group[rows[part[0]]])], own)
-                    if key not in dense:
-                        dense[key] = np.zeros(len(table), np.int64)
-                        size += len(table) * 8
-                    dense[key][slots[part]] += n[rows[part]]
-                if size > DENSE_BYTES:
-                    yield from _nonzero(dense)
-                    dense, size = {}, 0
-        yield from _nonzero(dense)
-
-    counted = docs.select("lang", "source", "text").mapInArrow(count, "lang string, source string, shard int, slot int, n long")
-    return frozen(counted.groupBy("lang", "source", "shard", "slot").agg(F.sum("n").alias("n")))
+            place = np.full(len(keys), -1, np.int64)
+            first = np.zeros(len(keys), np.int64)
+            names = [x.encode("utf-8", "surrogatepass") for x in langs.to_pylist()]
+            widths = {}
+            order = np.lexsort((key_lang, shard))
+            for part in _runs(order, shard):
+                if (number := int(shard[part[0]])) in paths:
+                    found = cache[number]
+                    place[part] = found.places(hashes[part], keys.take(pa.array(part)))
+                    for k in np.unique(key_lang[part]).tolist():
+                        first[part[key_lang[part] == k]], end = found.ranges.get(names[k], (0, 0))
+                        widths[k, number] = end - found.ranges.get(names[k], (0, 0))[0]
+            # Back from the different keys to the counted (group, term) pairs.
+            at = np.searchsorted(key_lang * width + key_code, lang_of[own] * width + code)
+            hit = np.flatnonzero(place[at] >= 0)
+            own, at, n = own[hit], at[hit], n[hit]
+            ids = groups.to_numpy()
+            order = np.lexsort((key_lang[at], shard[at]))
+            for part in _runs(order, shard[at] * len(langs) + key_lang[at]):
+                k, number = int(key_lang[at[part[0]]]), int(shard[at[part[0]]])
+                cell = (names[k], number)
+                numbers = rows.setdefault(cell, {})
+                present = np.unique(own[part])
+                lines = np.array([numbers.setdefault(int(g), len(numbers)) for g in ids[present]])
+                counts = dense.get(cell, np.zeros((0, widths[k, number]), np.int64))
+                if len(numbers) > len(counts):
+                    more = np.zeros((max(len(numbers), 2 * len(counts)) - len(counts), counts.shape[1]), np.int64)
+                    size += more.nbytes
+                    counts = dense[cell] = np.concatenate((counts, more))
+                counts[lines[np.searchsorted(present, own[part])], place[at[part]] - first[at[part]]] += n[part]
+            if size > dense_bytes:
+                yield from _nonzero(rows, dense, cache)
+                rows, dense, size = {}, {}, 0
+        yield from _nonzero(rows, dense, cache)
+
+    found = docs.select("g", "lang", "text").mapInArrow(count, "g long, cell long, n long")
+    # A task's counts are already summed, so they move before they are added up.
+    counted = found.repartition("cell").groupBy("g", "cell").agg(F.sum("n").alias("n"))
+    slot = F.col("cell").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    return frozen(counted.select("g", F.shiftright("cell", 32).cast("int").alias("shard"), slot.alias("slot"), "n"))
 
 
 def _runs(rows: np.ndarray, key: np.ndarray) -> list[np.ndarray]:
@@ -271,15 +268,14 @@ def _runs(rows: np.ndarray, key: np.ndarray) -> list[np.ndarray]:
     return np.split(rows, np.flatnonzero(np.diff(key[rows])) + 1) if len(rows) else []
 
 
-def _nonzero(dense: dict) -> Iterator[pa.RecordBatch]:
-    for (lang, source, shard), counts in dense.items():
-        slots = np.flatnonzero(counts)
-        if len(slots):
-            yield pa.RecordBatch.from_arrays(
-                [pa.repeat(pa.scalar(lang), len(slots)), pa.repeat(pa.scalar(source), len(slots)),
-                 pa.array(np.full(len(slots), shard, np.int32)), pa.array(slots.astype(np.int32)), pa.array(counts[slots])],
-                names=["lang", "source", "shard", "slot", "n"],
-            )
+def _nonzero(rows: dict, dense: dict, cache: ShardCache) -> Iterator[pa.RecordBatch]:
+    """The counts above zero of all dense arrays."""
+    for (lang, number), counts in dense.items():
+        ids = np.array(list(rows[lang, number]), np.int64)
+        line, column = np.nonzero(counts)
+        cell = (number << 32) + cache[number].ranges[lang][0] + column
+        columns = [pa.array(ids[line]), pa.array(cell.astype(np.int64)), pa.array(counts[line, column])]
+        yield pa.RecordBatch.from_arrays(columns, names=["g", "cell", "n"])
 
 
 # --- divergences ----------------------------------------------------------------------------------
@@ -309,18 +305,13 @@ def _compare(paths: dict[int, str], top: int, tile: int):
         heads = np.flatnonzero(slot < 0)
         sources = number[heads]
         stored = ShardCache(paths)[shard]
-        prefix = lang.encode("utf-8", "surrogatepass") + b"\0"
-        own = pc.and_(
-            pc.starts_with(stored.keys, pattern=prefix), pc.equal(pc.count_substring(stored.keys, pattern=b"\0"), prefix.count(b"\0"))
-        ).to_numpy(zero_copy_only=False)
-        places = np.flatnonzero(own)
-        assert len(places) == terms, (shard, lang, len(places), terms)
-        column = np.cumsum(own) - 1
+        first, end = stored.ranges[lang.encode("utf-8", "surrogatepass")]
+        assert end - first == terms, (shard, lang, end - first, terms)
         counts = np.zeros((len(sources), terms), np.int64)
         order = np.argsort(sources)
         body = np.flatnonzero(slot >= 0)
         at = order[np.searchsorted(sources[order], number[body])]
-        counts[at, column[slot[body]]] = n[body]
+        counts[at, slot[body] - first] = n[body]
         p = np.stack([shares(c, int(t), vocabulary) for c, t in zip(counts, total[heads])])
         mine, theirs, value, item = [], [], [], []
         tiles = sources // tile
@@ -340,7 +331,8 @@ def _compare(paths: dict[int, str], top: int, tile: int):
                     # Ties with the last value stay until the terms decide.
                     least = np.partition(f, len(f) - top)[len(f) - top]
                     found, f = found[f >= least], f[f >= least]
-                words = [stored.keys[int(places[j])].as_py()[len(prefix) :] for j in found]
+                prefix = len(lang.encode("utf-8", "surrogatepass")) + 1
+                words = [stored.keys[first + int(j)].as_py()[prefix:] for j in found]
                 ranked = sorted(zip((-f).tolist(), words))[:top]
                 mine += [int(sources[i])] * len(ranked)
                 theirs += [WHOLE] * len(ranked)
@@ -355,7 +347,8 @@ def _compare(paths: dict[int, str], top: int, tile: int):
 
 
 def audit(
-    docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, shard_keys: int = SHARD_KEYS, tile: int = TILE
+    docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, shard_keys: int = SHARD_KEYS, tile: int = TILE,
+    cache_bytes: int = CACHE_BYTES, dense_bytes: int = DENSE_BYTES,
 ) -> DataFrame:
     """How far the sources of each language are apart, and the terms that mark each source.
 
@@ -363,18 +356,18 @@ def audit(
     with the sum of the divergences of all kept terms.  Part `term`: the source's terms whose share
     is above the language's, the `top` most diverging ones.
     """
-    docs = plain(docs)
+    docs = with_group(plain(docs))
     kept = kept_terms(docs, min_docs)
     built, shards = build_shards(kept, shard_keys)
     paths = {r.shard: r.path for r in built.select("shard", "path").distinct().collect()}
-    counts = recount(docs, built, shards)
+    counts = recount(docs, built, shards, cache_bytes, dense_bytes)
 
     spoken = kept.groupBy("lang").agg(F.count("*").alias("vocabulary"))
-    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    totals = counts.groupBy("g").agg(F.sum("n").alias("total"))
     by_name = Window.partitionBy("lang").orderBy("source")
     groups = (
-        docs.select("lang", "source").distinct()
-        .join(totals, ["lang", "source"], "left").join(spoken, "lang", "left").fillna(0, ["total", "vocabulary"])
+        docs.select("lang", "source", "g").distinct()
+        .join(totals, "g", "left").join(spoken, "lang", "left").fillna(0, ["total", "vocabulary"])
         .withColumn("number", (F.row_number().over(by_name) - 1).cast("int"))
     )
     groups = frozen(groups)
@@ -385,8 +378,8 @@ def audit(
     whole = tiles.select("lang", F.lit(WHOLE).alias("number"), F.col("whole").alias("total"))
     heads = groups.select("lang", "number", "total").unionByName(whole).join(parts.select("lang", "shard"), "lang")
     heads = heads.select("lang", "shard", "number", F.lit(-1).alias("slot"), F.lit(0).cast("long").alias("n"), "total")
-    body = counts.join(groups.select("lang", "source", "number"), ["lang", "source"]).select("lang", "shard", "number", "slot", "n")
-    sums = counts.groupBy("lang", "shard", "slot").agg(F.sum("n").alias("n")).withColumn("number", F.lit(WHOLE))
+    body = counts.join(groups.select("g", "lang", "number"), "g").select("lang", "shard", "number", "slot", "n")
+    sums = body.groupBy("lang", "shard", "slot").agg(F.sum("n").alias("n")).withColumn("number", F.lit(WHOLE))
     body = body.unionByName(sums.select(*body.columns)).withColumn("total", F.lit(0).cast("long"))
     rows = heads.unionByName(body.select(*heads.columns)).join(tiles.select("lang", "last"), "lang")
     rows = rows.join(parts, ["lang", "shard"]).join(spoken, "lang")
