@@ -5,6 +5,9 @@ A word is a maximal run of characters other than space and the ASCII controls 0x
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
@@ -21,7 +24,7 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 #: Text bytes that a task holds as numpy arrays at a time (a longer text is taken alone).
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -85,17 +88,29 @@ def text_batches(
     batches: Iterator[pa.RecordBatch], text: str, limit: int = BATCH_BYTES
 ) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """Slices of the record batches whose texts fill about `limit` bytes, at least one row each."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        column = batch.column(batch.schema.get_field_index(text))
-        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-        block = np.cumsum(sizes) // limit
-        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if b > a:
-                part = batch.slice(a, b - a)
-                yield part, Texts(part.column(part.schema.get_field_index(text)))
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column(batch.schema.get_field_index(text))
+            sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+            block = np.cumsum(sizes) // limit
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if b > a:
+                    part = batch.slice(a, b - a)
+                    yield part, Texts(part.column(part.schema.get_field_index(text)))
+    finally:
+        release()
+
+
+def release() -> None:
+    """Give memory that a task no longer needs back to the machine: workers stay for later tasks."""
+    _powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)

@@ -47,7 +47,7 @@ def write_flat_files(
                 fs, path = filesystem(uri)
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
                 sink = fs.open_output_stream(path)
-            ids, _ = encoder(vocabulary).encode(texts, end_id)
+            ids, _ = encoder(vocabulary, plain=True).encode(texts, end_id)
             if len(ids) and int(ids.max()) > top:
                 raise ValueError(f"ids do not fit {dtype}")
             sink.write(ids.astype(dtype).tobytes())

@@ -2,8 +2,9 @@
 
 Neither public vocabulary lets a token cross the place before a single space or line feed between
 two visible characters, nor the place between a letter and ASCII punctuation, so a text may be cut
-there and its parts encoded apart.  Parts repeat a lot;
-their ids are kept in a bounded cache, which has no influence on the result.
+there and its parts encoded apart.  A special string of the vocabulary is one token wherever it stands
+in a text, as the library has it by default; no cut is made in or beside it.  Parts repeat a lot;
+their ids are kept in a cache of at most CACHE_BYTES per worker, which has no influence on the result.
 """
 
 from __future__ import annotations
@@ -14,15 +15,21 @@ import numpy as np
 
 from .common import Texts, span_hashes, spread
 
-CACHE_PARTS = 1_000_000
-_loaded: dict[str, "PartEncoder"] = {}
+#: Bytes of cached parts and ids, dictionary entries included; a longer part is not kept.
+CACHE_BYTES, ENTRY_BYTES, LONGEST = 32 << 20, 200, 256
+_loaded: dict[tuple[str, bool], "PartEncoder"] = {}
 
 
-def encoder(path: str) -> "PartEncoder":
-    """The worker's encoder for a vocabulary file; it stays for the next task of the worker."""
-    if path not in _loaded:
-        _loaded[path] = PartEncoder(path)
-    return _loaded[path]
+def encoder(path: str, plain: bool = False) -> "PartEncoder":
+    """The worker's encoder for a vocabulary file; it stays for the next task of the worker.
+
+    `plain` takes special strings of a text as ordinary text, so that no special id can come from one.
+    """
+    if (path, plain) not in _loaded:
+        # One encoder at a time: a worker that goes on to another vocabulary frees the former.
+        _loaded.clear()
+        _loaded[path, plain] = PartEncoder(path, plain)
+    return _loaded[path, plain]
 
 
 def vocabulary(name: str) -> str:
@@ -33,49 +40,60 @@ def vocabulary(name: str) -> str:
 
 
 class PartEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = [] if plain else [str(t.content).encode() for t in added]
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.lengths = np.zeros(0, np.int64)
-        self.starts = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-
-    def _learn(self, parts: list[bytes]) -> None:
-        new = self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)
-        found = [e.ids for e in new]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
-        begin = len(self.ids) + np.cumsum(lengths) - lengths
-        for p in parts:
-            self.place[p] = len(self.place)
-        self.lengths = np.concatenate((self.lengths, lengths))
-        self.starts = np.concatenate((self.starts, begin))
-        self.ids = np.concatenate((self.ids, flat))
+        # Parts seen lately, and those of the time before.
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.size = 0
+
+    def _keep(self, part: bytes, ids: bytes) -> None:
+        if len(part) > LONGEST:
+            return
+        self.size += len(part) + len(ids) + ENTRY_BYTES
+        if self.size > CACHE_BYTES // 2:
+            self.recent, self.older, self.size = {}, self.recent, len(part) + len(ids) + ENTRY_BYTES
+        self.recent[part] = ids
+
+    def _ids(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of every part as little-endian uint32."""
+        found = [self.recent.get(p) for p in parts]
+        missing = []
+        for i, ids in enumerate(found):
+            if ids is None:
+                found[i] = ids = self.older.get(parts[i])
+                if ids is None:
+                    missing.append(i)
+                else:
+                    self._keep(parts[i], ids)
+        encoded = self.tokenizer.encode_batch_fast([parts[i].decode() for i in missing], add_special_tokens=False)
+        for i, e in zip(missing, encoded):
+            found[i] = np.array(e.ids, "<u4").tobytes()
+            self._keep(parts[i], found[i])
+        return found
 
     def encode(self, texts: Texts, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row and the n + 1 borders between texts; `end` closes each text."""
         buf, offsets = texts.buf, texts.offsets
-        starts = _cuts(buf, offsets)
+        whole = buf.tobytes()
+        starts = _cuts(buf, offsets, _places(whole, self.special))
         ends = np.append(starts[1:], len(buf))
         owner = np.searchsorted(offsets, starts, "right") - 1
         _, first, which = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        whole = buf.tobytes()
-        parts = [whole[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())]
-        if len(self.place) > CACHE_PARTS:
-            self.clear()
-        missing = [p for p in parts if p not in self.place]
-        if missing:
-            self._learn(missing)
-        at = np.fromiter((self.place[p] for p in parts), np.int64, len(parts))[which]
-        lengths = self.lengths[at]
-        ids = self.ids[spread(self.starts[at], lengths)]
+        found = self._ids([whole[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())])
+        own = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
+        lengths = own[which]
+        ids = flat[spread((np.cumsum(own) - own)[which], lengths)]
         count = np.bincount(owner, weights=lengths, minlength=len(texts)).astype(np.int64)
         borders = np.concatenate(([0], np.cumsum(count)))
         if end is None:
@@ -85,8 +103,19 @@ class PartEncoder:
         return closed, borders + np.arange(len(texts) + 1)
 
 
-def _cuts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Starts of the parts: text starts, places before a lone space or line feed, ends of words."""
+def _places(whole: bytes, special: list[bytes]) -> list[tuple[int, int]]:
+    """Where special strings stand."""
+    out = []
+    for string in special:
+        at = whole.find(string)
+        while at >= 0:
+            out.append((at, at + len(string)))
+            at = whole.find(string, at + 1)
+    return out
+
+
+def _cuts(buf: np.ndarray, offsets: np.ndarray, special: list[tuple[int, int]] = ()) -> np.ndarray:
+    """Starts of the parts: text starts, and away from `special` places before a lone space or line feed, and ends of words."""
     n = len(buf)
     first = np.zeros(n + 1, bool)
     first[offsets] = True
@@ -110,4 +139,7 @@ def _cuts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     letter[2:] |= ((buf[1:-1] & 0xC0) == 0x80) & ((buf[1:-1] & 0xDF) != 0x97) & latin_lead[:-2]
     mark = ascii_visible & ~((folded >= 97) & (folded <= 122)) & ~((buf >= 48) & (buf <= 57))
     blank = (buf == 32) | (buf == 10)
-    return np.flatnonzero(first | (blank & before & after) | (mark & letter & ~first))
+    cut = (blank & before & after) | (mark & letter)
+    for a, b in special:
+        cut[max(0, a - 1) : b + 2] = False
+    return np.flatnonzero(first | cut)

@@ -6,8 +6,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from factorloom.llm import common, packing, separator_scan, token_files
+from factorloom.llm import common, packing, separator_scan, token_files, tokenizer
 from factorloom.llm.common import Texts
 from factorloom.llm.tokenizer import encoder, vocabulary
 
@@ -32,8 +33,18 @@ def docs(spark):
     return df.withColumns({"part": F.lit(1), "start": F.lit("s"), "n_tokens": F.lit(2.5)}).repartition(3)
 
 
+#: The library's own objects, with nothing changed.
+UNTOUCHED = {path: Tokenizer.from_file(path) for path in (BYTE, WORD)}
+
+
 def ids_of(path, text):
-    return encoder(path).tokenizer.encode(text or "", add_special_tokens=False).ids
+    return UNTOUCHED[path].encode(text or "", add_special_tokens=False).ids
+
+
+def plain_ids(path, text):
+    own = Tokenizer.from_file(path)
+    own.encode_special_tokens = True
+    return own.encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
@@ -46,6 +57,31 @@ def test_parts_give_the_ids_of_whole_texts(path):
         assert ids[borders[i] : borders[i + 1]].tolist() == ids_of(path, text), text
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_special_strings_are_one_token_anywhere(path):
+    rng = np.random.default_rng(4)
+    pieces = ["<|endoftext|>", "<|startoftext|>", "<|endoftext", "|>", " ", "\n", "a", "b.", "'s", "  ", "É", "漢", "9", "<"]
+    texts = ["".join(rng.choice(pieces, rng.integers(0, 12))) for _ in range(3000)]
+    ids, borders = encoder(path).encode(Texts(pa.array(texts)))
+    for i, text in enumerate(texts):
+        assert ids[borders[i] : borders[i + 1]].tolist() == ids_of(path, text), text
+    ids, borders = encoder(path, plain=True).encode(Texts(pa.array(texts[:300])))
+    for i, text in enumerate(texts[:300]):
+        assert ids[borders[i] : borders[i + 1]].tolist() == plain_ids(path, text), text
+
+
+def test_the_cache_stays_within_its_bytes(monkeypatch):
+    monkeypatch.setattr(tokenizer, "CACHE_BYTES", 20_000)
+    rng = np.random.default_rng(5)
+    own = tokenizer.PartEncoder(BYTE)
+    for _ in range(20):
+        texts = [" ".join("".join(rng.choice(list("abcdefgh"), 3)) for _ in range(300)) + " " + "y" * 3000 for _ in range(3)]
+        ids, borders = own.encode(Texts(pa.array(texts)))
+        assert [ids[a:b].tolist() for a, b in zip(borders[:-1], borders[1:])] == [ids_of(BYTE, t) for t in texts]
+        held = sum(len(p) + len(i) + tokenizer.ENTRY_BYTES for d in (own.recent, own.older) for p, i in d.items())
+        assert held <= 20_000 and all(len(p) <= tokenizer.LONGEST for p in (*own.recent, *own.older))
+
+
 def test_packing_covers_every_id_once(docs):
     pieces = packing.pack(packing.tokenized(docs, BYTE, 0), 64).collect()
     by_doc = {}
@@ -122,7 +158,7 @@ def test_token_files_of_an_empty_table(docs):
 def test_separator_scan_finds_every_document(docs):
     files, order = separator_scan.write_flat_files(docs, WORD, 49407)
     rows = separator_scan.scan(files, 49407, block_ids=7).join(order, ["path", "ordinal"]).collect()
-    want = sorted((str(d), len(ids_of(WORD, t))) for d, t, _ in ROWS)
+    want = sorted((str(d), len(plain_ids(WORD, t))) for d, t, _ in ROWS)
     assert sorted((str(r.doc_id), r.n_tokens) for r in rows) == want
     assert all(r.closed for r in rows)
 
