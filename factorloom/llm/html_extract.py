@@ -1,161 +1,53 @@
 """Main text of web pages: page structure, and a suffix array over the pages of a host.
 
-A page is cut into blocks, the stretches of text between block-level tags; those inside elements that
-never hold the article go.  The words of all blocks of all pages of a host are then put end to end, a mark between pages, and
-their suffixes sorted; places whose next RUN words occur on several different pages are covered.  A
-block of which COVERED of the words are covered is boilerplate; unique runs stay.  Text that the page
-itself declares to be its article (article, main, role=main) stays whole, also where other pages
-repeat it, and on such pages nothing else does.
-
-Pages of a host are dealt into groups of about GROUP_BYTES by a hash of their words, so a host with a
-third of all pages is many groups, and pages of the same words are in one.  Groups are units of work
-only: each sorts its own suffixes and counts the pages of each run; the counts are then added up over
-the host, in as many ranges of run hashes as it has groups, and the runs that reach the host's threshold
-go back to its pages.  Suffixes are sorted by their first RUN words only, which is all that "RUN words in
-common" asks: three doublings instead of log(n).
+A page is cut into blocks, the stretches of text between block-level tags (`html_blocks`).  The words of
+all blocks of many pages are put end to end, a mark between pages, and their suffixes sorted to the
+depth of RUN words, which is all that "RUN words in common" asks (three doublings instead of log(n)):
+so every run of words is found with the number of different pages that hold it.  A block of fewer words
+is a run of its own.  A run is a template of its host if LEAST_PAGES contents and LEAST_SHARE of them hold it, and
+universal if UNIVERSAL_PAGES and UNIVERSAL_SHARE do.  Then
+
+* on a page without a declared article (article, main, role=main) blocks of which templates cover the
+  share COVERED go, and unique runs stay;
+* on a page with one, only its text stays, and of that the blocks at its beginning and end go that universal
+  runs cover.  Text that fewer pages share, such as syndicated prose, stays, also at the edges.
+
+Counting runs over a host takes three passes over the blocks, none of which moves texts.  Pages with the same words
+are one content, and the first of them speaks for it.  Each task sorts the suffixes of its own pages, whatever their hosts.
+First the tasks' counts are added up in an array of counters per host, by run hash, two per word; a counter
+is never below the count of any of its runs.  Then only runs whose counter reaches the threshold are counted by
+themselves, exactly, over the host.  A host with a third of all pages is counted by all tasks, and its counters are
+cut into ranges.  Tasks read counters and templates of their own pages' hosts from tables sorted by host.
 
 A null or empty page has an empty text.  A null address counts as a host without name.  Repeated rows
-are extracted each and count as one page.  Other columns are not read.
+are extracted each and count as one content.  Very long pages are parsed in time that follows their length, and taken
+alone.  Null ids stay.  Other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from html import unescape
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyarrow import dataset
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Texts, filesystem, frozen, mix, shared_folder, span_hashes
+from .common import Texts, filesystem, frozen, mix, release, shared_folder, span_hashes
+from .html_blocks import BODY, MAIN, blocks
 
 RUN = 6
 COVERED = 0.8
-#: A run is a template's if this many different pages hold it, and this share of the host's pages.
+#: A run is a template if this many different contents of the host hold it, and this share of them.
 LEAST_PAGES, LEAST_SHARE = 3, 0.02
-GROUP_BYTES = 1 << 20
-#: Hosts of several groups up to this many go to every executor; more are joined by shuffle.
-BROADCAST_HOSTS = 500_000
-
-#: Elements whose text is never the article's.
-SKIPPED = frozenset(
-    "head script style noscript template nav footer aside form menu dialog button select textarea option "
-    "iframe object svg canvas audio video map datalist".split()
-)
-#: Their content is text up to their own end tag.
-RAW = "script|style|textarea|title|iframe|noscript|xmp"
-BLOCKS = frozenset(
-    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption "
-    "figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol optgroup option p pre section "
-    "summary table tbody td tfoot th thead tr ul".split()
-)
-CONTAINERS = (BLOCKS | SKIPPED) - {"hr"}
-#: Words of class, id and role that mark parts around the article.
-MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr "
-    "notice alert popup modal overlay nav navbar navigation menu submenu breadcrumb breadcrumbs header masthead "
-    "topbar footer sidebar complementary contentinfo related recommended share sharing social comment comments "
-    "disqus respond reply replies subscribe newsletter signup login search form dialog pagination pager toolbar "
-    "widget skip".split()
-)
-#: Those of them that may also name a layout around the article or, in a main part, its own head.
-LAYOUT = frozenset("nav navbar navigation menu header masthead topbar sidebar banner toolbar".split())
-HEADS = frozenset("header masthead topbar banner".split())
-#: A new article ends these where their end tag is missing.
-LEFT_OPEN = frozenset("nav header".split())
-
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-
-
-def _marks(tag: str, rest: str) -> tuple[frozenset[str], bool]:
-    """Which marks an element's attributes carry, and whether they declare it the main part."""
-    if not rest or tag in ("body", "html"):
-        return frozenset(), False
-    names = {}
-    for m in _ATTRIBUTE.finditer(rest):
-        names.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
-    if names.get("role") == "main":
-        return frozenset(), True
-    words = re.split(r"[^a-z]+", " ".join(names.get(k, "") for k in ("class", "id", "role")))
-    return MARKS.intersection(words) | ({"hidden"} if _HIDDEN.search(rest) else frozenset()), False
-
-
-#: How far an element's text is from the article's: it may be, only in an article inside, never.
-OPEN, LAID_OUT, AWAY = 0, 1, 2
-AROUND, BODY, MAIN = 0, 1, 2
-
-
-def blocks(html: str) -> list[tuple[int, str]]:
-    """(kind, text) of every block in page order: AROUND the article, in the BODY, in a declared MAIN part."""
-    out: list[tuple[int, str]] = []
-    parts: list[str] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, distance, main
-    skipped, main = OPEN, False
-
-    def close() -> None:
-        if parts:
-            text = " ".join(unescape("".join(parts)).split())
-            if text:
-                out.append((AROUND if skipped else MAIN if main else BODY, text))
-            parts.clear()
-
-    def state() -> tuple[int, bool]:
-        return stack[-1][1:] if stack else (OPEN, False)
-
-    at = 0
-    for m in _TOKEN.finditer(html):
-        if m.start() > at:
-            parts.append(html[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or "").lower()
-        if not tag:  # a comment, a declaration or an element of raw text
-            continue
-        if tag == "br":
-            parts.append(" ")
-            continue
-        if tag in BLOCKS or tag in SKIPPED:
-            close()
-        if tag not in CONTAINERS:
-            continue
-        if m["end"]:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    del stack[depth:]
-                    break
-        elif not m["rest"].endswith("/") or tag in BLOCKS:
-            if stack and stack[-1][0] == "p":
-                stack.pop()  # a block ends an open paragraph
-            if tag in ("article", "main"):
-                for depth, (name, _, _) in enumerate(stack):
-                    if name in LEFT_OPEN:
-                        del stack[depth:]
-                        break
-            elif tag in ("li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == tag:
-                stack.pop()  # its end tag may be left out
-            skipped, main = state()
-            marks, declared = _marks(tag, m["rest"])
-            if main:
-                marks -= HEADS
-            if tag in ("article", "main") and skipped <= (AWAY if tag == "main" else LAID_OUT) and not marks:
-                skipped, declared = OPEN, True
-            if tag in SKIPPED or (tag == "header" and not main) or marks - LAYOUT:
-                skipped = AWAY
-            elif marks:
-                skipped = max(skipped, LAID_OUT if tag in ("div", "section") else AWAY)
-            stack.append((tag, skipped, main or declared))
-        skipped, main = state()
-    if at < len(html):
-        parts.append(html[at:])
-    close()
-    return out
+#: A run is universal from these on; only such runs may take text from a declared article.
+UNIVERSAL_PAGES, UNIVERSAL_SHARE = 5, 0.5
+#: Bytes of block texts whose suffixes are sorted together, counters of a range, counted runs a task keeps.
+SORT_BYTES, RANGE, KEEP = 1 << 20, 1 << 20, 2_000_000
+
+
+# --- suffixes ---------------------------------------------------------------------------------------
 
 
 def ranks(words: np.ndarray, page: np.ndarray, run: int = RUN) -> np.ndarray:
@@ -176,45 +68,28 @@ def ranks(words: np.ndarray, page: np.ndarray, run: int = RUN) -> np.ndarray:
     return rank
 
 
-def holders(rank: np.ndarray, page: np.ndarray, content: np.ndarray) -> np.ndarray:
-    """How many different contents hold the run of each rank, from the sorted suffixes."""
-    at = np.flatnonzero(rank >= 0)
-    owner = content[page[at]]
-    pair = np.unique(rank[at].astype(np.uint64) << np.uint64(32) | owner.astype(np.uint64))
-    return np.bincount((pair >> np.uint64(32)).astype(np.int64))
-
-
 def spans(starts: np.ndarray, n: int, run: int = RUN) -> np.ndarray:
     """Which of n words lie in a run that begins at one of `starts`."""
     cover = np.zeros(n + run + 1, np.int64)
-    cover[starts] += 1
-    cover[starts + run] -= 1
+    np.add.at(cover, starts, 1)
+    np.add.at(cover, starts + run, -1)
     return np.cumsum(cover)[:n] > 0
 
 
-def covered(words: np.ndarray, page: np.ndarray, content: np.ndarray, run: int = RUN) -> np.ndarray:
-    """Which words lie in a run of `run` words that several pages of different `content` hold.
-
-    `words` are the hashes of all pages' words in order, `page` their page numbers.
-    """
-    rank = ranks(words, page, run)
-    at = np.flatnonzero(rank >= 0)
-    several = holders(rank, page, content) >= max(LEAST_PAGES, LEAST_SHARE * len(np.unique(content)))
-    return spans(at[several[rank[at]]], len(words), run)
-
-
 class Words:
     """The words of the blocks of several pages: hashes, page and block number of each."""
 
     def __init__(self, pages: pa.Array):
         """`pages` holds each page's list of block texts."""
-        flat = pages.flatten()
-        texts = Texts(flat.cast(pa.large_string()))
+        texts = Texts(pages.flatten().cast(pa.large_string()))
         starts, ends, self.block = texts.words()
         self.hashes = span_hashes(texts.buf, starts, ends)
-        lengths = np.array([len(x) for x in pages], np.int64)
-        self.page = np.repeat(np.arange(len(pages)), lengths)[self.block] if len(starts) else self.block
+        lengths = pages.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         self.bounds = np.concatenate(([0], np.cumsum(lengths)))
+        owner = np.repeat(np.arange(len(pages)), lengths)
+        self.page = owner[self.block] if len(starts) else self.block
+        self.count = np.bincount(self.block, minlength=int(self.bounds[-1]))
+        self.owner = owner
 
     def contents(self) -> np.ndarray:
         """A hash of each page's words in order; pages with the same words are one content."""
@@ -223,173 +98,391 @@ class Words:
         np.add.at(order, self.page, mix(self.hashes ^ mix(place.astype(np.uint64))))
         return order.view(np.int64)
 
-    def runs(self, at: np.ndarray) -> np.ndarray:
-        """Hashes of the runs that begin at these words."""
+    def _hash(self, at: np.ndarray, length: int) -> np.ndarray:
         h = np.zeros(len(at), np.uint64)
-        for k in range(RUN):
+        for k in range(length):
             h = mix(h ^ self.hashes[at + k]) + np.uint64(k + 1)
-        return mix(h)
+        return mix(h ^ np.uint64(length))
 
     def whole(self) -> np.ndarray:
         """Words at which a run within the page begins."""
         at = np.arange(max(0, len(self.hashes) - RUN + 1))
         return at[self.page[at] == self.page[at + RUN - 1]] if len(at) else at
 
+    def runs(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the runs that begin at these words."""
+        return self._hash(at, RUN)
 
-def group_runs(texts: pa.Array, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the different runs of a group's pages, and how many different contents hold each."""
-    words = Words(texts)
-    rank = ranks(words.hashes, words.page)
-    at = np.flatnonzero(rank >= 0)
-    if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    _, number = np.unique(content, return_inverse=True)
-    first = np.unique(rank[at], return_index=True)[1]
-    return words.runs(at[first]), holders(rank, words.page, number)
+    def short(self) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and hashes of the blocks of fewer than RUN words."""
+        first = np.searchsorted(self.block, np.arange(len(self.count)))
+        numbers = np.flatnonzero((self.count > 0) & (self.count < RUN))
+        hashes = np.zeros(len(numbers), np.uint64)
+        for length in range(1, RUN):
+            own = self.count[numbers] == length
+            hashes[own] = self._hash(first[numbers[own]], length)
+        return numbers, hashes
 
 
-def extract_pages(texts: pa.Array, kinds: list[list[int]], templates: list[np.ndarray]) -> list[tuple[str, int, int]]:
-    """(text, words covered by the host's templates, words) of each page; `templates` are sorted run hashes."""
-    words = Words(texts)
-    at = words.whole()
-    run, page = words.runs(at), words.page[at]
-    found = np.zeros(len(at), bool)
-    cuts = np.searchsorted(page, np.arange(len(kinds) + 1))
-    for p, known in enumerate(templates):
-        if len(known):
-            own = run[cuts[p] : cuts[p + 1]]
-            found[cuts[p] : cuts[p + 1]] = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
-    cover = spans(at[found], len(words.hashes))
-    blocks_in_all = words.bounds[-1]
-    count = np.bincount(words.block, minlength=blocks_in_all)
-    share = np.bincount(words.block, weights=cover, minlength=blocks_in_all) / np.maximum(count, 1)
-    out = []
-    for p, (kinds_of, texts_of) in enumerate(zip(kinds, texts.to_pylist())):
-        b = words.bounds[p]
-        declared = MAIN in kinds_of
-        kept = [
-            text
-            for k, (kind, text) in enumerate(zip(kinds_of, texts_of))
-            if (kind == MAIN if declared else kind == BODY and share[b + k] < COVERED)
-        ]
-        own = slice(b, words.bounds[p + 1])
-        out.append(("\n\n".join(kept), int((share[own] * count[own]).sum().round()), int(count[own].sum())))
-    return out
+def counted_runs(words: Words, host: np.ndarray, speaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(host, run hash, pages that hold it) of the pages that speak, from the sorted suffixes of all pages.
+
+    `host` has a number per page; the suffixes of different hosts never share a rank.
+    """
+    own = mix(words.hashes ^ mix(host.astype(np.uint64))[words.page])
+    rank = ranks(own, words.page)
+    at = np.flatnonzero((rank >= 0) & speaks[words.page])
+    pair = np.unique(rank[at].astype(np.uint64) << np.uint64(32) | words.page[at].astype(np.uint64))
+    held = np.bincount((pair >> np.uint64(32)).astype(np.int64))
+    known, first = np.unique(rank[at], return_index=True)
+    hosts, hashes, n = [host[words.page[at[first]]]], [words.runs(at[first])], [held[known] if len(known) else known]
+    numbers, short = words.short()
+    page = words.owner[numbers]
+    numbers, short, page = numbers[speaks[page]], short[speaks[page]], page[speaks[page]]
+    order = np.lexsort((page, short, host[page]))
+    short, page = short[order], page[order]
+    if len(short):
+        new_run = np.concatenate(([True], (short[1:] != short[:-1]) | (host[page[1:]] != host[page[:-1]])))
+        new_page = new_run | np.concatenate(([True], page[1:] != page[:-1]))
+        hosts.append(host[page[new_run]])
+        hashes.append(short[new_run])
+        n.append(np.add.reduceat(new_page.astype(np.int64), np.flatnonzero(new_run)))
+    return tuple(np.concatenate(x) for x in (hosts, hashes, n))
+
+
+# --- tables by host ---------------------------------------------------------------------------------
+
+
+class HostTable:
+    """Rows of a stored table, sorted by host, for some hosts."""
+
+    def __init__(self, path: str, columns: list[str]):
+        store, folder = filesystem(path)
+        self.table, self.columns = dataset.dataset(folder, filesystem=store, format="parquet", partitioning=None), columns
+
+    def rows(self, hosts: list[str | None]) -> dict[str, list[dict]]:
+        if "host" not in self.table.schema.names:
+            return {}  # an empty table
+        found: dict[str, list[dict]] = {}
+        for row in self.table.to_table(filter=dataset.field("host").isin(sorted(set(hosts))), columns=self.columns).to_pylist():
+            found.setdefault(row["host"], []).append(row)
+        return found
+
+
+def _stored(df: DataFrame, *order: str) -> str:
+    """Write a table sorted by host and return its folder."""
+    path = shared_folder(df.sparkSession)
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.option("compression", "zstd").parquet(path)
+    return path
+
+
+# --- counters ---------------------------------------------------------------------------------------
+
+
+def _counters(words: np.ndarray | int) -> np.ndarray:
+    """Counters of a host with so many words: the power of two from twice their number up."""
+    return np.maximum(64, 2 ** np.ceil(np.log2(np.maximum(2 * np.asarray(words, np.float64), 1)))).astype(np.int64)
+
+
+def packed(places: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted places as steps of one byte (255: go on) or, where sparse, as numbers; and counts above one."""
+    steps = np.diff(places, prepend=0)
+    long, rest = steps // 255, (steps % 255).astype(np.uint8)
+    more = np.flatnonzero(n > 1)
+    counts = np.concatenate((more, n[more])).astype("<u4").tobytes()
+    if long.sum() > 3 * len(places):
+        return b"\1" + places.astype("<u4").tobytes(), counts
+    out = np.full(int(long.sum()) + len(places), 255, np.uint8)
+    out[np.cumsum(long + 1) - 1] = rest
+    return b"\0" + out.tobytes(), counts
+
+
+def unpacked(places: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    if places[:1] == b"\1":
+        at = np.frombuffer(places, "<u4", offset=1).astype(np.int64)
+    else:
+        steps = np.frombuffer(places, np.uint8, offset=1)
+        at = np.cumsum(steps, dtype=np.int64)[steps != 255]
+    n = np.ones(len(at), np.int64)
+    more = np.frombuffer(counts, "<u4")
+    n[more[: len(more) // 2]] = more[len(more) // 2 :]
+    return at, n
+
+
+class _Sketch:
+    """Counters of the runs that a task has counted: (host, place) and number, summed when there are many."""
+
+    def __init__(self):
+        self.names: dict[str, int] = {}
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, hosts: list[str], host: np.ndarray, place: np.ndarray, n: np.ndarray) -> None:
+        number = np.array([self.names.setdefault(h, len(self.names)) for h in hosts], np.int64)
+        self.parts.append((number[host], place, n))
+        self.size += len(place)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            host, place, n = (np.concatenate(x) for x in zip(*self.parts))
+            order = np.lexsort((place, host))
+            host, place, n = host[order], place[order], n[order]
+            new = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (host[1:] != host[:-1]))))
+            host, place, n = host[new], place[new], np.add.reduceat(n, new)
+            names = list(self.names)
+            cuts = np.flatnonzero(np.concatenate(([True], (host[1:] != host[:-1]) | (place[1:] // RANGE != place[:-1] // RANGE))))
+            out: list[tuple] = []
+            for a, b in zip(cuts, [*cuts[1:], len(host)]):
+                out.append((names[host[a]], int(place[a] // RANGE), *packed(place[a:b] % RANGE, n[a:b])))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.binary(), pa.binary()))],
+                names=["host", "range", "places", "counts"],
+            )
+        self.__init__()
+
+
+# --- passes -----------------------------------------------------------------------------------------
+
+
+def _pieces(batch: pa.RecordBatch, texts: str = "texts") -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about SORT_BYTES of block texts."""
+    lists = batch.column(batch.schema.get_field_index(texts))
+    sizes = np.array([sum(map(len, x)) for x in lists.to_pylist()], np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // SORT_BYTES)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages (page_id, url, host, html) as lists of blocks, with a hash of their words."""
+    """Pages (page_id, url, host, uid, html) as lists of blocks, with a hash and the number of their words."""
     for batch in batches:
         for at in range(0, batch.num_rows, 100):
             part = batch.slice(at, 100)
-            pages = [blocks(h or "") for h in part.column(3).to_pylist()]
+            pages = [blocks(h or "") for h in part.column(4).to_pylist()]
             texts = pa.array([[t for _, t in p] for p in pages], pa.list_(pa.string()))
             kinds = pa.array([[k for k, _ in p] for p in pages], pa.list_(pa.int32()))
-            content = pa.array(Words(texts).contents())
+            words = Words(texts)
+            n = np.bincount(words.page, minlength=len(pages))
             yield pa.RecordBatch.from_arrays(
-                [*part.columns[:3], content, kinds, texts], names=["page_id", "url", "host", "content", "kinds", "texts"]
+                [*part.columns[:4], pa.array(words.contents()), pa.array(n), kinds, texts],
+                names=["page_id", "url", "host", "uid", "content", "words", "kinds", "texts"],
             )
+    release()
 
 
-def _templates(parsed: DataFrame) -> DataFrame:
-    """(host, runs): sorted run hashes of the templates of a host, in several rows."""
-
-    def count(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        content, groups = table["content"].to_numpy(), table["groups"][0].as_py()
-        run, held = group_runs(table["texts"].chunk(0), content)
-        bucket = (run % np.uint64(groups)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        run, held, bucket = run[order], held[order], bucket[order]
-        begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(run) else []
-        ends = [*begin[1:], len(run)]
-        # The number of contents goes to every bucket, also to those in which the group has no run.
-        filled = {int(bucket[a]): (a, b) for a, b in zip(begin, ends)}
-        parts = [filled.get(k, (0, 0)) for k in range(groups)]
-        return pa.table(
-            {
-                "host": pa.array([table["host"][0].as_py()] * groups, pa.string()),
-                "bucket": pa.array(range(groups), pa.int64()),
-                "contents": pa.array([len(np.unique(content))] * groups, pa.int64()),
-                "runs": pa.array([run[a:b].tobytes() for a, b in parts], pa.binary()),
-                "held": pa.array([held[a:b].astype(np.int32).tobytes() for a, b in parts], pa.binary()),
-            }
-        )
+def _speaking(speakers: str):
+    """Which rows of (uid) batches speak for their content."""
+    store, folder = filesystem(speakers)
+    table = dataset.dataset(folder, filesystem=store, format="parquet", partitioning=None)
+    known: dict[int, np.ndarray] = {}
 
-    def add(table: pa.Table) -> pa.Table:
-        run = np.frombuffer(b"".join(table["runs"].to_pylist()), np.uint64)
-        held = np.frombuffer(b"".join(table["held"].to_pylist()), np.int32)
-        known, number = np.unique(run, return_inverse=True)
-        total = np.bincount(number, weights=held, minlength=len(known))
-        pages = sum(table["contents"].to_pylist())
-        runs = known[total >= max(LEAST_PAGES, LEAST_SHARE * pages)]
-        return pa.table({"host": table["host"][:1], "runs": pa.array([runs.tobytes()], pa.binary())})
-
-    parts = parsed.select("host", "group", "groups", "content", "texts").groupBy("host", "group").applyInArrow(
-        count, "host string, bucket long, contents long, runs binary, held binary"
-    )
-    return parts.groupBy("host", "bucket").applyInArrow(add, "host string, runs binary").filter(F.length("runs") > 0)
+    def of(uid: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(uid), bool)
+        for part in np.unique(uid >> 33).tolist():
+            if part not in known:
+                known.clear()
+                rows = table.to_table(filter=dataset.field("part") == part, columns=["uids"]).column(0).combine_chunks().flatten()
+                known[part] = np.sort(rows.to_numpy(zero_copy_only=False))
+            mine = uid >> 33 == part
+            at = np.minimum(np.searchsorted(known[part], uid[mine]), max(len(known[part]) - 1, 0))
+            out[mine] = known[part][at] == uid[mine] if len(known[part]) else False
+        return out
+
+    return of
+
+
+def _runs_of(batches: Iterator[pa.RecordBatch], speakers: str):
+    """Per slice of (host, uid, texts) rows: its host names, and the counted runs by number of the host."""
+    speaks = _speaking(speakers)
+    for batch in batches:
+        for part in _pieces(batch):
+            coded = part.column(0).dictionary_encode()
+            host = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            hosts = coded.dictionary.to_pylist()
+            stable = np.array([xxhash.xxh64_intdigest(h.encode()) for h in hosts], np.uint64).view(np.int64)
+            owner, run, n = counted_runs(Words(part.column(2)), stable[host], speaks(part.column(1).to_numpy()))
+            number = {h: i for i, h in enumerate(stable.tolist())}
+            yield hosts, np.array([number[h] for h in owner.tolist()], np.int64), run, n
+    release()
+
+
+def _sketch(speakers: str, sizes: str):
+    """Task function: counters of the runs of (host, uid, texts) rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch, counters = _Sketch(), HostTable(sizes, ["host", "words"])
+        for hosts, host, runs, n in _runs_of(batches, speakers):
+            found = counters.rows(hosts)
+            width = _counters([found[h][0]["words"] for h in hosts])
+            sketch.add(hosts, host, (runs % width[host].astype(np.uint64)).astype(np.int64), n)
+            if sketch.size > KEEP:
+                yield from sketch.rows()
+        yield from sketch.rows()
+
+    return run
+
+
+def _least(contents: int) -> float:
+    return max(LEAST_PAGES, LEAST_SHARE * contents)
+
+
+def _hot(table: pa.Table) -> pa.Table:
+    """Adds up one range of a host's counters: a bit for each that reaches the threshold."""
+    total = np.zeros(RANGE, np.int64)
+    for places, counts in zip(table["places"].to_pylist(), table["counts"].to_pylist()):
+        at, n = unpacked(places, counts)
+        total[at] += n
+    places = np.flatnonzero(total >= _least(table["contents"][0].as_py()))
+    return pa.table({"host": table["host"][:1], "range": table["range"][:1], "hot": pa.array([packed(places, np.ones(len(places), np.int64))[0]], pa.binary())})
+
+
+def _exact(speakers: str, sizes: str, hot: str):
+    """Task function: (host, run, pages) of the runs whose counter reached the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters, ranges = HostTable(sizes, ["host", "words"]), HostTable(hot, ["host", "range", "hot"])
+        for hosts, host, runs, n in _runs_of(batches, speakers):
+            found, width = ranges.rows(hosts), {h: r[0]["words"] for h, r in counters.rows(hosts).items()}
+            reached = np.zeros(len(runs), bool)
+            for i, name in enumerate(hosts):
+                places = [r["range"] * RANGE + unpacked(r["hot"], b"")[0] for r in found.get(name, [])]
+                if places:
+                    mine = np.flatnonzero(host == i)
+                    place = (runs[mine] % np.uint64(_counters(width[name]))).astype(np.int64)
+                    reached[mine] = np.isin(place, np.concatenate(places))
+            if reached.any():
+                names = pa.array(hosts, pa.string()).take(pa.array(host[reached]))
+                yield pa.RecordBatch.from_arrays(
+                    [names, pa.array(runs[reached].view(np.int64)), pa.array(n[reached])], names=["host", "run", "n"]
+                )
+
+    return run
+
+
+def host_templates(parsed: DataFrame) -> str:
+    """Store (host, run, universal) of all templates, sorted by host; returns the folder."""
+    first = frozen(parsed.groupBy("host", "content").agg(F.min("uid").alias("uid"), F.max("words").alias("words")))
+    speakers = shared_folder(parsed.sparkSession)
+    by_part = first.groupBy(F.shiftright("uid", 33).alias("part")).agg(F.collect_list("uid").alias("uids"))
+    by_part.repartitionByRange("part").sortWithinPartitions("part").write.parquet(speakers)
+    hosts = frozen(first.groupBy("host").agg(F.sum("words").alias("words"), F.count(F.lit(1)).alias("contents")))
+    sizes = _stored(hosts, "host")
+    rows = parsed.select("host", "uid", "texts")
+    counted = rows.mapInArrow(_sketch(speakers, sizes), "host string, range long, places binary, counts binary")
+    reached = counted.join(hosts.select("host", "contents"), "host").groupBy("host", "range").applyInArrow(_hot, "host string, range long, hot binary")
+    hot = _stored(reached.filter(F.length("hot") > 1), "host", "range")
+    found = rows.mapInArrow(_exact(speakers, sizes, hot), "host string, run long, n long")
+    summed = found.groupBy("host", "run").agg(F.sum("n").alias("n")).join(hosts.select("host", "contents"), "host")
+    contents = F.col("contents")
+    templates = summed.filter(F.col("n") >= F.greatest(F.lit(LEAST_PAGES), LEAST_SHARE * contents))
+    universal = F.col("n") >= F.greatest(F.lit(UNIVERSAL_PAGES), UNIVERSAL_SHARE * contents)
+    return _stored(templates.select("host", "run", universal.alias("universal")), "host", "run")
+
+
+def _edges(gone: list[bool]) -> list[bool]:
+    """Only the marks that reach from the beginning or the end without a gap."""
+    first = next((i for i, g in enumerate(gone) if not g), len(gone))
+    last = next((i for i, g in enumerate(reversed(gone)) if not g), len(gone))
+    return [i < first or i >= len(gone) - last for i in range(len(gone))]
+
+
+def extract_pages(
+    texts: pa.Array, kinds: list[list[int]], templates: list[np.ndarray], universal: list[np.ndarray]
+) -> list[tuple[str, int, int, int]]:
+    """(text, words that templates cover, words, blocks that only the templates take away) of each page.
+
+    `templates` and `universal` are sorted run hashes of each page's host.
+    """
+    words = Words(texts)
+    at = words.whole()
+    run, page = words.runs(at), words.page[at]
+    numbers, short = words.short()
+
+    def shares(known_of: list[np.ndarray]) -> np.ndarray:
+        """Covered share of every block."""
+
+        def hits(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+            found = np.zeros(len(hashes), bool)
+            cuts = np.searchsorted(owner, np.arange(len(kinds) + 1))
+            for p, known in enumerate(known_of):
+                if len(known):
+                    own = hashes[cuts[p] : cuts[p + 1]]
+                    found[cuts[p] : cuts[p + 1]] = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
+            return found
+
+        cover = spans(at[hits(run, page)], len(words.hashes))
+        share = np.bincount(words.block, weights=cover, minlength=len(words.count)) / np.maximum(words.count, 1)
+        share[numbers[hits(short, words.owner[numbers])]] = 1.0
+        return share
+
+    plain, strict = shares(templates), shares(universal)
+    # A short block that several pages share may be a heading; alone it goes only where most pages have it.
+    brief = words.count < RUN
+    taken = np.where(brief, strict, plain) >= COVERED
+    strict = strict >= COVERED
+    out = []
+    for p, (kinds_of, texts_of) in enumerate(zip(kinds, texts.to_pylist())):
+        b = words.bounds[p]
+        wanted = MAIN if MAIN in kinds_of else BODY
+        own = [k for k, kind in enumerate(kinds_of) if kind == wanted]
+        gone = [bool((strict if wanted == MAIN else taken)[b + k]) for k in own]
+        if wanted == MAIN:
+            gone = _edges(gone)
+        kept = [texts_of[k] for k, g in zip(own, gone) if not g]
+        place = slice(b, words.bounds[p + 1])
+        out.append(("\n\n".join(kept), int((plain[place] * words.count[place]).sum().round()), int(words.count[place].sum()), sum(gone)))
+    return out
+
+
+def _extracted(templates: str):
+    """Task function: the main text of (page_id, url, host, kinds, texts) rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = HostTable(templates, ["host", "run", "universal"])
+        none = np.zeros(0, np.uint64)
+        for batch in batches:
+            for part in _pieces(batch):
+                hosts = part.column(2).to_pylist()
+                every, most = {}, {}
+                for host, rows in known.rows(hosts).items():
+                    every[host] = np.sort(np.array([r["run"] for r in rows], np.int64).view(np.uint64))
+                    most[host] = np.sort(np.array([r["run"] for r in rows if r["universal"]], np.int64).view(np.uint64))
+                found = extract_pages(
+                    part.column(4), part.column(3).to_pylist(), [every.get(h, none) for h in hosts], [most.get(h, none) for h in hosts]
+                )
+                text = pa.array([f[0] for f in found], pa.string())
+                numbers = [pa.array([f[i] for f in found], pa.int64()) for i in (1, 2, 3)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), text, pa.array([len(f[0]) for f in found], pa.int64()), *numbers],
+                    names=["page_id", "url", "text", "n_chars", "n_words_covered", "n_words_in_blocks", "n_blocks_taken"],
+                )
+        release()
+
+    return run
 
 
 def extract(
     pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html"
 ) -> DataFrame:
-    """Per page: page_id, url, text, n_chars, n_words_covered, n_words_in_blocks."""
+    """Per page: page_id, url, text, n_chars, n_words_covered, n_words_in_blocks, n_blocks_taken.
+
+    The last one counts blocks that structure alone would have kept.
+    """
     rows = pages.select(
         F.col(id_column).alias("page_id"),
         F.col(url_column).cast("string").alias("url"),
         F.col(html_column).cast("string").alias("html"),
     ).withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][\w+.-]*://([^/?#]+)", 1), F.lit(""))))
-    sizes = rows.groupBy("host").agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("bytes"))
-    # Only hosts of several groups are listed; the blocks' texts then move once, by host and group.
-    large = frozen(
-        sizes.filter(F.col("bytes") >= GROUP_BYTES).select(
-            "host", (F.floor(F.col("bytes") / GROUP_BYTES) + 1).alias("groups")
-        )
-    )
-    listed = F.broadcast(large) if large.count() <= BROADCAST_HOSTS else large
     kind = rows.schema["page_id"].dataType.simpleString()
+    numbered = rows.withColumn("uid", F.monotonically_increasing_id()).select("page_id", "url", "host", "uid", "html")
     parsed = frozen(
-        rows.select("page_id", "url", "host", "html").mapInArrow(
-            _parsed, f"page_id {kind}, url string, host string, content long, kinds array<int>, texts array<string>"
+        numbered.mapInArrow(
+            _parsed,
+            f"page_id {kind}, url string, host string, uid long, content long, words long, kinds array<int>, texts array<string>",
         )
     )
-    dealt = (
-        parsed.join(listed, "host", "left")
-        .withColumn("groups", F.coalesce("groups", F.lit(1).cast("long")))
-        .withColumn("group", F.pmod(F.xxhash64("content"), "groups"))
-    )
-    path = shared_folder(pages.sparkSession)
-    _templates(dealt).write.option("compression", "zstd").parquet(path)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = filesystem(path)
-        known = dataset.dataset(folder, filesystem=store, format="parquet")
-        for batch in batches:
-            hosts = batch.column("host").to_pylist()
-            runs = {}
-            for row in known.to_table(filter=dataset.field("host").isin(sorted(set(hosts)))).to_pylist():
-                runs.setdefault(row["host"], []).append(np.frombuffer(row["runs"], np.uint64))
-            sorted_runs = {host: np.sort(np.concatenate(found)) for host, found in runs.items()}
-            none = np.zeros(0, np.uint64)
-            templates = [sorted_runs.get(h, none) for h in hosts]
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
-                found = extract_pages(part.column("texts"), part.column("kinds").to_pylist(), templates[at : at + 100])
-                text = [f[0] for f in found]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("page_id"),
-                        part.column("url"),
-                        pa.array(text, pa.string()),
-                        pa.array([len(t) for t in text], pa.int64()),
-                        pa.array([f[1] for f in found], pa.int64()),
-                        pa.array([f[2] for f in found], pa.int64()),
-                    ],
-                    names=["page_id", "url", "text", "n_chars", "n_words_covered", "n_words_in_blocks"],
-                )
-
     return parsed.select("page_id", "url", "host", "kinds", "texts").mapInArrow(
-        work,
-        f"page_id {kind}, url string, text string, n_chars long, n_words_covered long, n_words_in_blocks long",
+        _extracted(host_templates(parsed)),
+        f"page_id {kind}, url string, text string, n_chars long, n_words_covered long, n_words_in_blocks long, n_blocks_taken long",
     )
