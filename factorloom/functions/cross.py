@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.blocks import join_stats
-from ..operators.ranks import attach_ranks, quantiles
+from ..operators.radix import quantiles
+from ..operators.ranks import attach_ranks
 from .guards import EPS, finite
 
 
@@ -46,9 +47,6 @@ def windowed(op: str, x: Column, params: tuple, time: str) -> Column:
     w = _window(time)
     if op == "cs_rank":
         return rank_column(x, time)
-    if op == "cs_winsorize":
-        ends = F.percentile(x, F.array(*[F.lit(float(q)) for q in params])).over(w)
-        return F.when(x.isNotNull(), F.least(F.greatest(x, ends[0]), ends[1]))
     mean, std, gross = (c.over(w) for c in _moments(x).values())
     return _from_moments(op, x, mean, std, gross)
 
@@ -65,7 +63,7 @@ def joined(
         ranked = attach_ranks(df, [time], x, "__rank", count="__n", split=True, groups=times)
         return ranked.withColumn(out, F.col("__rank") / F.col("__n")).drop("__rank", "__n")
     if op == "cs_winsorize":
-        ends = quantiles(df, [time], [x], params, split=True)
+        ends = quantiles(df, [time], [x], params)
         wide = ends.select(time, F.col(f"{x}_q").alias("__ends"))
         value = F.least(F.greatest(F.col(x), F.col("__ends")[0]), F.col("__ends")[1])
         return (

@@ -297,7 +297,7 @@ class _Stages:
                     x = self._column(node.args[0])
                     if spec.eligible:
                         x = F.when(flag(F.col(spec.eligible)), x)
-                    if split:
+                    if split or node.op == "cs_winsorize":
                         masked = f"{self.nodes[node]}_in"
                         df = cross.joined(
                             df.withColumn(masked, x),

@@ -1,4 +1,4 @@
-"""Exact tie-aware ranks and linear quantiles, per key or pooled, at any group size."""
+"""Exact tie-aware ranks, per key or pooled, at any group size."""
 
 from __future__ import annotations
 
@@ -6,11 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .blocks import join_stats, oversized, running
-
-
-# A `percentile` buffer entry costs several times a sorted row.
-HEAVY = 4
+from .blocks import join_stats, running
 
 
 def cumulative_counts(
@@ -61,54 +57,3 @@ def attach_ranks(
         totals = df.groupBy(*keys).agg(F.count(value).alias(count))
         ranked = join_stats(ranked, totals, keys, groups)
     return ranked
-
-
-def _split_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]
-) -> DataFrame:
-    """Order statistics read off the cumulative counts, interpolated linearly."""
-    counts = cumulative_counts(df, keys, value)
-    totals = counts.groupBy(*keys).agg(F.max("__upto").alias("__all"))
-    counts = counts.join(totals, list(keys))
-    below = F.col("__upto") - F.col("__n")
-    picks = []
-    for i, p in enumerate(probabilities):
-        at = (F.col("__all") - 1) * F.lit(float(p))
-        for side, order in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            inside = (below <= order) & (order < F.col("__upto"))
-            picks.append(F.max(F.when(inside, F.col(value))).alias(f"__{side}{i}"))
-        picks.append(F.max(at - F.floor(at)).alias(f"__f{i}"))
-    grouped = counts.groupBy(*keys).agg(*picks)
-    blend = [
-        F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * F.col(f"__f{i}")
-        for i in range(len(probabilities))
-    ]
-    return grouped.select(*keys, F.array(*blend).alias(f"{value}_q"))
-
-
-def quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    values: Sequence[str],
-    probabilities: Sequence[float],
-    split: bool | None = None,
-    bound: int | None = None,
-) -> DataFrame:
-    """One row per key with an array column `<value>_q` of exact linear quantiles per value.
-
-    `percentile` keeps the distinct values of a group in one buffer; groups beyond the limit use
-    cumulative counts instead.  Without keys the result has a single row.
-    """
-    if split is None:
-        split = oversized(df, keys, bound, share=HEAVY * len(values))
-    if not split:
-        points = F.array(*[F.lit(float(p)) for p in probabilities])
-        aggregates = [F.percentile(v, points).alias(f"{v}_q") for v in values]
-        return df.groupBy(*keys).agg(*aggregates)
-    pooled = not keys
-    if pooled:
-        df, keys = df.withColumn("__pool", F.lit(0)), ["__pool"]
-    result = df.select(*keys).distinct()
-    for v in values:
-        result = join_stats(result, _split_quantiles(df, keys, v, probabilities), keys)
-    return result.drop("__pool") if pooled else result

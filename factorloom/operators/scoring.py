@@ -14,10 +14,11 @@ from ..functions.guards import EPS, corr_agg, finite, flag, guarded_corr, is_fin
 from .blocks import DAY_ROWS, frozen, join_stats, oversized
 from .panel import Panel
 from .portfolio import clock
+from .radix import pooled_quantiles
 from .ranks import attach_ranks
-from .targets import DateRange, Fold, clip_bounds, clipped, split_rows
+from .targets import DateRange, Fold, clipped, split_rows
+from .wide import MIN_OBSERVATIONS, Clipping, measured, wide_ic
 
-MIN_OBSERVATIONS = 5
 # Columns that one plan can reasonably carry; bounds every frame keyed by factor.
 FACTOR_ROWS = 10_000
 CROSS_SECTIONAL = "cross_sectional_spearman"
@@ -173,10 +174,21 @@ def aggregate_ic(
 def fit_bounds(
     train: DataFrame, factors: Sequence[str], probabilities: Sequence[float], rows: int | None = None
 ) -> DataFrame:
-    """Per factor the clipping bounds of its training values (factor, lower, upper)."""
-    long = long_scores(train, factors, [])
-    bounds = clip_bounds(long, ["value"], probabilities, ["factor"], rows)
-    return bounds.withColumnsRenamed({"value_lower": "lower", "value_upper": "upper"})
+    """Per factor the clipping bounds of its training values (factor, lower, upper); all columns in the same passes.
+
+    `rows` is not needed and kept for callers.
+    """
+    ends = column_bounds(train, factors, probabilities)
+    found = [(f, *(ends[f] or (None, None))) for f in factors]
+    return train.sparkSession.createDataFrame(found, "factor string, lower double, upper double")
+
+
+def column_bounds(
+    train: DataFrame, columns: Sequence[str], probabilities: Sequence[float], written: bool = False
+) -> dict[str, list[float] | None]:
+    """Exact quantiles of the finite values of each column."""
+    clean = train.select(*[finite(F.col(c).cast("double")).alias(c) for c in columns])
+    return pooled_quantiles(clean, columns, probabilities, written=written)
 
 
 def label_splits(df: DataFrame, fold: Fold, splits: Sequence[str] = ("train", "val")) -> DataFrame:
@@ -228,27 +240,24 @@ def evaluate_factors(
     """
     group = metric_group(metric)
     weights = split_weights(df, fold, ("train", "val")) if metric in TIME_SERIES else None
-    keep = list(dict.fromkeys(["split", "target", "trading_day", group]))
-    # Bounds, coverage and ranks read the scoring rows in turn, so they are written once.
-    labelled = frozen(label_splits(df, fold).select(*keep, *factors))
-    train = labelled.where(F.col("split") == "train")
-    long = long_scores(labelled, factors, keep)
-    long = long.withColumn("__raw", F.col("value"))
+    # Bounds and correlations read the scoring rows in turn, so they are written once.
+    labelled = frozen(label_splits(df, fold).select("split", group, "target", *factors))
+    clipping = Clipping()
     if probabilities is not None:
-        # The target rides along as one more column, so all bounds come from one pass.
-        ends = fit_bounds(train, [*factors, "target"], probabilities, rows)
-        target = ends.where(F.col("factor") == "target").select(
-            F.col("lower").alias("target_lower"), F.col("upper").alias("target_upper")
-        )
-        long = clip_scores(long, ends, target)
-    seen = F.when(F.col("split") == "val", is_finite(F.col("__raw")).cast("double"))
-    clean = finite(F.col("value"))
-    shares = long.groupBy("factor").agg(
-        F.avg(seen).alias("coverage"), (F.min(clean) == F.max(clean)).alias("__constant")
+        # The target rides along as one more column.
+        train = labelled.where(F.col("split") == "train")
+        ends = column_bounds(train, [*factors, "target"], probabilities, written=True)
+        # Without training targets there is no training metric and so no direction.
+        clipping = Clipping(ends, ends["target"] or (0.0, 0.0))
+    # One row per group and factor.
+    found = frozen(wide_ic(labelled, factors, ["split", group], clipping, rows))
+    val = F.col("split") == "val"
+    shares = found.groupBy("factor").agg(
+        F.try_divide(F.sum(F.when(val, F.col("seen"))), F.sum(F.when(val, F.col("rows")))).alias("coverage"),
+        (F.min("low") == F.max("high")).alias("__constant"),
     )
-    groups = group_ic(long, ["factor", "split"], group, rows=rows)
-    measured = aggregate_ic(groups, ["factor", "split"], metric, weights)
-    return directed_metrics(measured, shares, metric, factors)
+    metrics = aggregate_ic(measured(found), ["factor", "split"], metric, weights)
+    return directed_metrics(metrics, shares, metric, factors)
 
 
 def directed_metrics(
@@ -627,18 +636,19 @@ def score_frozen(
     if target_bounds is not None:
         low, high = (F.lit(float(v)) for v in target_bounds)
         scored = scored.withColumn("target", clipped(F.col("target"), low, high))
-    by = ["factor"]
+    by = []
     if by_year:
-        by, keep = ["factor", "year"], [*keep, "year"]
-        scored = scored.withColumn("year", F.year("trading_day"))
-    long = join_stats(long_scores(frozen(scored), factors, keep), library, ["factor"], len(factors))
-    value = F.col("value")
-    coverage = long.groupBy(*by).agg(F.avg(is_finite(value).cast("double")).alias("coverage"))
+        by, scored = ["year"], scored.withColumn("year", F.year("trading_day"))
+    members = {r["factor"]: r for r in library.collect()}  # one row per factor column
+    scale = {f: float(members[f]["direction"]) if f in members else float("nan") for f in factors}
+    bounds = None
     if "lower" in library.columns:
-        value = clipped(value, F.col("lower"), F.col("upper"))
-    directed = long.withColumn("value", value * F.col("direction"))
-    measured = aggregate_ic(group_ic(directed, by, group, rows=rows), by, metric, weights)
-    return join_stats(measured, coverage, by)
+        bounds = {f: (m["lower"], m["upper"]) if m["lower"] is not None else None for f, m in members.items()}
+    scored = frozen(scored.select(*by, group, "target", *factors))
+    found = frozen(wide_ic(scored, factors, [*by, group], Clipping(bounds, scale=scale), rows))
+    by = ["factor", *by]
+    coverage = found.groupBy(*by).agg(F.try_divide(F.sum("seen"), F.sum("rows")).alias("coverage"))
+    return join_stats(aggregate_ic(measured(found), by, metric, weights), coverage, by)
 
 
 def library_summary(measured: DataFrame, by: Sequence[str] = ("metric",)) -> DataFrame:

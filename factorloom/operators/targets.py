@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.guards import finite, flag, is_finite
 from .panel import Panel
-from .ranks import quantiles
+from .radix import quantiles
 
 
 @dataclass(frozen=True)
@@ -96,12 +96,15 @@ def clip_bounds(
     keys: Sequence[str] = (),
     rows: int | None = None,
 ) -> DataFrame:
-    """Exact quantile bounds of each column over its own finite rows, pooled or per key."""
+    """Exact quantile bounds of each column over its own finite rows, pooled or per key.
+
+    `rows` is not needed and kept for callers.
+    """
     low, high = probabilities
     if not 0 <= low < high <= 1:
         raise ValueError("clip quantiles must satisfy 0 <= low < high <= 1")
     clean = df.select(*keys, *[finite(F.col(c)).alias(c) for c in columns])
-    ends = quantiles(clean, list(keys), list(columns), probabilities, bound=rows)
+    ends = quantiles(clean, list(keys), list(columns), probabilities)
     return ends.select(
         *keys,
         *[F.col(f"{c}_q")[i].alias(f"{c}_{side}") for c in columns for i, side in enumerate(("lower", "upper"))],

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.guards import is_finite
 from .blocks import join_stats, oversized, running
-from .ranks import quantiles
+from .radix import quantiles
 
 OUTCOMES = ("probing", "seabed", "saturated", "land")
 
@@ -59,7 +59,7 @@ def region_evidence(
         F.try_divide(positive, n).alias("positive_ratio"),
         label.alias("evidence"),
     )
-    ends = quantiles(marked, ["region"], [f"__{c}" for c in values], (0.25, 0.5, 0.75), bound=rows)
+    ends = quantiles(marked, ["region"], [f"__{c}" for c in values], (0.25, 0.5, 0.75))
     spread = ends.select(
         "region",
         *[

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from factorloom.functions import feature as fx
 from factorloom.operators import scoring, targets
+from factorloom.operators.blocks import frozen
 from factorloom.operators.panel import Panel
 from factorloom.operators.ranks import attach_ranks
+from factorloom.operators.wide import measured, wide_ic
 
 from .base import FOLD, HISTORY, KEY, q6, query, r6, rounded, rows_of, table, trade_panel, trade_sql
 
@@ -135,9 +137,8 @@ def ic_momentum(spark, sf):
 
 def _groups(spark, sf, group: str) -> DataFrame:
     panel = scored_panel(spark, sf)
-    keep = list(dict.fromkeys(["split", "target", group]))
-    long = scoring.long_scores(scoring.label_splits(panel.df, FOLD).select(*keep, *NAMES), NAMES, keep)
-    return scoring.group_ic(long, ["factor", "split"], group, rows=panel.rows)
+    labelled = scoring.label_splits(panel.df, FOLD).select("split", group, "target", *NAMES)
+    return measured(wide_ic(frozen(labelled), NAMES, ["split", group], rows=panel.rows))
 
 
 @query(
