@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from factorloom.operators import bootstrap, combine, scoring, targets
 
 from .base import FOLD, KEY, q6, query, r6, rounded
-from .scores import FUTURES, NAMES, SCORED, WEIGHTS, ranked_sql, scored_panel
+from .scores import FROZEN, FUTURES, NAMES, SCORED, WEIGHTS, frozen_members, ranked_sql, scored_panel
 
 TWO = ["momentum", "stretch"]
 
@@ -17,12 +17,12 @@ def _train(spark, sf):
     return targets.split_rows(panel.df, FOLD.train), panel
 
 
-def _prep_sql(names) -> str:
+def _prep_sql(names, source: str = "l") -> str:
     """Bounds, moments and standardised values (z_*) of the training rows."""
     ends = ", ".join(f"quantile_cont({n}, 0.01) AS lo_{n}, quantile_cont({n}, 0.99) AS hi_{n}" for n in names)
     clip = ", ".join(f"CASE WHEN {n} IS NOT NULL THEN least(greatest({n}, lo_{n}), hi_{n}) END AS c_{n}" for n in names)
     moments = ", ".join(f"avg(c_{n}) AS m_{n}, stddev_pop(c_{n}) AS s_{n}" for n in names)
-    return f"""tr AS (SELECT * FROM l WHERE split = 'train'),
+    return f"""tr AS (SELECT * FROM {source} WHERE split = 'train'),
 ends AS (SELECT {ends}, quantile_cont(target, 0.01) AS lo_t, quantile_cont(target, 0.99) AS hi_t FROM tr),
 cl AS (SELECT tr.*, {clip}, least(greatest(target, lo_t), hi_t) AS yc FROM tr, ends),
 mo AS (SELECT {moments} FROM cl),
@@ -78,14 +78,20 @@ ne AS (SELECT sum(a * a) AS aa, sum(b * b) AS bb, sum(a * b) AS ab, sum(a * t) A
 co AS (SELECT (ay * bb - bt * ab) / (aa * bb - ab * ab) AS b1, (bt * aa - ay * ab) / (aa * bb - ab * ab) AS b2 FROM ne)"""
 
 
+SIGNED = ", ".join(f"{direction} * {name} AS {name}" for name, direction, _, _ in FROZEN if name in TWO)
+
+
 @query(
     "linear_fit",
-    f"""WITH {SCORED}, {_prep_sql(TWO)}, {_normal_equations(False)}
+    f"""WITH {SCORED}, lx AS (SELECT * REPLACE ({SIGNED}) FROM l), {_prep_sql(TWO, "lx")}, {_normal_equations(False)}
 SELECT {q6("b1", "momentum", 7)}, {q6("b2", "stretch", 7)}, {q6("(SELECT avg(yc) - b1 * avg(z_momentum) - b2 * avg(z_stretch) FROM us)", "intercept", 7)},
   CAST(2 AS BIGINT) AS rank, (SELECT count(*) FROM us) AS training_rows FROM co""",
 )
 def linear_fit(spark, sf):
+    """Fit on the factors in the direction of the frozen library."""
     train, panel = _train(spark, sf)
+    members = frozen_members(spark).where(F.col("factor").isin(TWO))
+    train = combine.signed_panel(train, members)
     model = combine.fit_linear(train, TWO, rows=panel.rows)
     row = [(*model.coefficients, model.intercept, model.rank, model.training_rows)]
     fitted = spark.createDataFrame(row, "momentum double, stretch double, intercept double, rank long, training_rows long")
@@ -112,12 +118,65 @@ def linear_predictions(spark, sf):
 @query("tree_predictions")
 def tree_predictions(spark, sf):
     train, panel = _train(spark, sf)
-    settings = combine.TreeSettings(rounds=50, min_rows=50)
+    settings = combine.TreeSettings(min_rows=50)
     model = combine.fit_trees(train, TWO, product="product", settings=settings, rows=panel.rows)
     val = targets.split_rows(panel.df, FOLD.val)
     return rounded(model.predict(val), KEY, ["prediction"])
 
 
+# A few small trees, so that SQL can grow them step by step.
+SMALL = combine.TreeSettings(rounds=3, learning_rate=0.3, leaves=4, min_rows=8, l2=1.0, bins=12)
+
+
+def _boosted_sql() -> str:
+    """Every split as one step: sums per leaf, column and bin, the best cut of all, new leaf numbers."""
+    points = ", ".join(f"({i}::DOUBLE / {SMALL.bins})" for i in range(1, SMALL.bins))
+    steps = [
+        f"""te AS (SELECT l.*, {", ".join(f"coalesce((CASE WHEN l.{n} IS NOT NULL THEN least(greatest(l.{n}, lo_{n}), hi_{n}) END - m_{n}) / s_{n}, 0) AS z_{n}" for n in TWO)}
+  FROM l, ends, mo WHERE split = 'val' AND ({" OR ".join(f"{n} IS NOT NULL" for n in TWO)})),
+la AS (SELECT *, yc - avg(yc) OVER (PARTITION BY product) AS label FROM us),
+st AS (SELECT (SELECT avg(label) FROM la) AS score, * FROM (
+  SELECT true AS fitted, instrument_id, trading_day, {", ".join(f"z_{n} AS x{j}" for j, n in enumerate(TWO))}, label FROM la
+  UNION ALL SELECT false, instrument_id, trading_day, {", ".join(f"z_{n}" for n in TWO)}, NULL FROM te))"""
+    ]
+    for j in range(len(TWO)):
+        steps.append(f"c{j} AS (SELECT DISTINCT unnest(quantile_cont(x{j}, [{points}])) AS cut FROM st WHERE fitted)")
+    source = "st"
+    for r in range(SMALL.rounds):
+        bins = ", ".join(f"(SELECT count(*) FROM c{j} WHERE cut < x{j}) AS b{j}" for j in range(len(TWO))) if r == 0 else ", ".join(f"b{j}" for j in range(len(TWO)))
+        steps.append(f"t{r}_0 AS MATERIALIZED (SELECT fitted, instrument_id, trading_day, label, x0, x1, {bins}, score, 0 AS leaf FROM {source})")
+        for k in range(1, SMALL.leaves):
+            rows = f"t{r}_{k - 1}"
+            long = " UNION ALL ".join(
+                f"SELECT leaf, {j} AS col, b{j} AS bin, sum(score - label) AS g, count(*) AS n FROM {rows} WHERE fitted GROUP BY leaf, b{j}" for j in range(len(TWO))
+            )
+            last = " WHEN ".join(f"col = {j} THEN (SELECT count(*) FROM c{j})" for j in range(len(TWO)))
+            steps.append(
+                f"""h{r}_{k} AS (SELECT *, sum(g) OVER w AS gl, sum(n) OVER w AS nl, sum(g) OVER (PARTITION BY leaf, col) AS ga, sum(n) OVER (PARTITION BY leaf, col) AS na
+  FROM ({long}) WINDOW w AS (PARTITION BY leaf, col ORDER BY bin)),
+s{r}_{k} AS (SELECT leaf, col, bin, gl * gl / (nl + {SMALL.l2}) + (ga - gl) * (ga - gl) / (na - nl + {SMALL.l2}) - ga * ga / (na + {SMALL.l2}) AS gain FROM h{r}_{k}
+  WHERE nl >= {SMALL.min_rows} AND na - nl >= {SMALL.min_rows} AND bin < CASE WHEN {last} END),
+p{r}_{k} AS MATERIALIZED (SELECT * FROM s{r}_{k} WHERE gain > 0 ORDER BY gain DESC, leaf, col, bin LIMIT 1),
+t{r}_{k} AS MATERIALIZED (SELECT t.* REPLACE (CASE WHEN t.leaf = p.leaf AND CASE p.col WHEN 0 THEN b0 ELSE b1 END > p.bin THEN {k} ELSE t.leaf END AS leaf)
+  FROM {rows} t LEFT JOIN p{r}_{k} p ON true)"""
+            )
+        done = f"t{r}_{SMALL.leaves - 1}"
+        steps.append(f"v{r} AS MATERIALIZED (SELECT leaf, -{SMALL.learning_rate} * sum(score - label) / (count(*) + {SMALL.l2}) AS v FROM {done} WHERE fitted GROUP BY leaf)")
+        steps.append(f"e{r} AS MATERIALIZED (SELECT d.* REPLACE (d.score + v.v AS score) FROM {done} d JOIN v{r} v ON d.leaf = v.leaf)")
+        source = f"e{r}"
+    return f"""WITH {SCORED}, {_prep_sql(TWO)}, {", ".join(steps)}
+SELECT instrument_id, trading_day, {q6("score", "prediction", 7)} FROM {source} WHERE NOT fitted"""
+
+
+@query("boosted_rounds", _boosted_sql())
+def boosted_rounds(spark, sf):
+    """Validation predictions of a few small trees; rows without any factor have none."""
+    train, panel = _train(spark, sf)
+    model = combine.fit_trees(train, TWO, product="product", settings=SMALL, rows=panel.rows)
+    val = model.predict(targets.split_rows(panel.df, FOLD.val)).where("prediction IS NOT NULL")
+    return rounded(val, KEY, ["prediction"], 7)
+
+
 @query(
     "evaluate_predictions",
     f"""WITH {SCORED}, {WEIGHTS}, v AS (SELECT product, target, momentum / 10 + coalesce(stretch, 0) / 100 AS value FROM l WHERE split = 'val'),

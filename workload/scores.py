@@ -381,7 +381,7 @@ def pooled_ranks(spark, sf):
 FROZEN = [("momentum", 1, -0.4, 0.6), ("stretch", -1, -1.5, 1.5), ("size", 1, 0.05, 0.95)]
 
 
-def _frozen(spark) -> DataFrame:
+def frozen_members(spark) -> DataFrame:
     return spark.createDataFrame(FROZEN, "factor string, direction int, lower double, upper double")
 
 
@@ -413,7 +413,7 @@ SELECT factor, CAST(year AS BIGINT) AS year, metric, {q6("value", "value")}, n_o
 )
 def frozen_scores_by_year(spark, sf):
     panel = scored_panel(spark, sf)
-    scored = scoring.score_frozen(panel.df, _frozen(spark), NAMES, FOLD.test, FUTURES, by_year=True, rows=panel.rows)
+    scored = scoring.score_frozen(panel.df, frozen_members(spark), NAMES, FOLD.test, FUTURES, by_year=True, rows=panel.rows)
     return scored.select(
         "factor", F.col("year").cast("long").alias("year"), "metric", r6("value").alias("value"), "n_obs", "n_groups", r6("coverage").alias("coverage")
     )
@@ -427,7 +427,7 @@ SELECT metric, {q6("avg(value)", "mean")}, {q6("quantile_cont(value, 0.5)", "med
 )
 def frozen_library_summary(spark, sf):
     panel = scored_panel(spark, sf)
-    scored = scoring.score_frozen(panel.df, _frozen(spark), NAMES, FOLD.test, FUTURES, rows=panel.rows)
+    scored = scoring.score_frozen(panel.df, frozen_members(spark), NAMES, FOLD.test, FUTURES, rows=panel.rows)
     summary = scoring.library_summary(scored)
     values = ["mean", "median", "positive_share"]
     return summary.select("metric", *[r6(v).alias(v) for v in values], "positive", "defined", "factors")
