@@ -251,47 +251,32 @@ def ts_rank_correlation(spark, sf):
 
 
 def _residual_sql(n: int) -> str:
-    names = ("v", "a", "b", "c")
-    cov = ", ".join(
-        f"covar_pop({p}, {q}) OVER w AS s{p}{q}" for i, p in enumerate(names) for q in names[i:]
-    )
-    det = "(saa * (sbb * scc - sbc * sbc) - sab * (sab * scc - sbc * sac) + sac * (sab * sbc - sbb * sac))"
-    explained = f"""(
-      sva * (sva * (sbb * scc - sbc * sbc) - sab * (svb * scc - sbc * svc) + sac * (svb * sbc - sbb * svc))
-    + svb * (saa * (svb * scc - sbc * svc) - sva * (sab * scc - sbc * sac) + sac * (sab * svc - svb * sac))
-    + svc * (saa * (sbb * svc - svb * sbc) - sab * (sab * svc - svb * sac) + sva * (sab * sbc - sbb * sac))
-    ) / {det}"""
+    """Every window's rows joined to its last one, and each regressor made orthogonal to those before it."""
+    over = "OVER (PARTITION BY key)"
+
+    def without(names: tuple[str, ...], base: str) -> str:
+        """Take from each column its part along `base`."""
+        return ", ".join(f"{x} - {base} * sum({x} * {base}) {over} / nullif(sum({base} * {base}) {over}, 0) AS {x}" for x in names)
+
     return f"""WITH {trade_sql()},
-p AS (SELECT *, x AS v, y AS a, low / 1000 AS b, (high - low) / 1000 AS c FROM trade),
-s AS (SELECT instrument_id, trading_day, count(x) OVER w AS n, {cov} FROM p WINDOW w AS {_window(n)})
-SELECT instrument_id, trading_day,
-  {q6(f"CASE WHEN n = {n} AND {det} > 1e-4 THEN sqrt(greatest(svv - {explained}, 0) * {n} / {n - 1}) END", "resid_", 5)}
-FROM s"""
+p AS (SELECT *, row_number() OVER ({HISTORY}) AS i FROM trade),
+j AS (SELECT e.instrument_id, e.trading_day, e.exchange || '/' || e.instrument_id || '/' || e.i AS key, s.x AS v, s.y AS a, s.low / 1000 AS b, (s.high - s.low) / 1000 AS c
+  FROM p e JOIN p s ON e.exchange = s.exchange AND e.instrument_id = s.instrument_id AND s.i BETWEEN e.i - {n - 1} AND e.i),
+d AS (SELECT instrument_id, trading_day, key, count(v) {over} AS k, {", ".join(f"{x} - avg({x}) {over} AS {x}" for x in "vabc")} FROM j),
+q0 AS (SELECT *, sum(a * a) {over} AS ta, sum(b * b) {over} AS tb, sum(c * c) {over} AS tc FROM d WHERE k = {n}),
+q1 AS (SELECT * REPLACE ({without(("v", "b", "c"), "a")}) FROM q0),
+q2 AS (SELECT * REPLACE ({without(("v", "c"), "b")}) FROM q1),
+q3 AS (SELECT * REPLACE ({without(("v",), "c")}), sum(b * b) {over} AS rb, sum(c * c) {over} AS rc FROM q2),
+f AS (SELECT instrument_id, trading_day, sqrt(sum(v * v) / {n - 1}) AS resid FROM q3
+  WHERE ta > 0 AND rb > 1e-20 * tb AND rc > 1e-20 * tc GROUP BY instrument_id, trading_day)
+SELECT instrument_id, trading_day, {q6("resid", "resid_")} FROM trade LEFT JOIN f USING (instrument_id, trading_day)"""
 
 
 @query("ts_residual_std", _residual_sql(12))
 def ts_residual_std(spark, sf):
     spread = (fx.field("high") - fx.field("low")) / 1000
     low = fx.field("low") / 1000
-    feature = fx.ts_resid_std3(X, Y, low, spread, 12)
-    # Nearly collinear regressors lose digits in the closed form, so both engines skip them.
-    wide = trade_panel(spark, sf).with_features({"resid_": feature, **_determinant(12)})
-    safe = wide.withColumn("resid_", F.when(F.col("det") > 1e-4, F.col("resid_")))
-    return rounded(safe, KEY, ["resid_"], 5)
-
-
-def _determinant(n: int):
-    """Determinant of the regressors' population covariance over the window."""
-    a, b = Y, fx.field("low") / 1000
-    c = (fx.field("high") - fx.field("low")) / 1000
-    k = (n - 1) / n
-
-    def s(p, q):
-        return fx.ts_cov(p, q, n) * k
-
-    aa, bb, cc, ab, ac, bc = s(a, a), s(b, b), s(c, c), s(a, b), s(a, c), s(b, c)
-    det = aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac)
-    return {"det": det}
+    return _run(spark, sf, {"resid_": fx.ts_resid_std3(X, Y, low, spread, 12)})
 
 
 @query(
