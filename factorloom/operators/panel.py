@@ -77,15 +77,19 @@ class Panel:
 
     `rows` is a proven upper bound on the row count (for instance the footer count of the scanned
     table); without it the largest history and cross-section are measured once, when first needed.
+    `frames` is the longest window evaluated as a Spark frame, by default the session's; 0 runs all rolling
+    operators as passes, so that hundreds of features make one short plan.
     """
 
-    def __init__(self, df: DataFrame, spec: PanelSpec | None = None, rows: int | None = None):
-        self.df, self.spec, self.rows = df, spec or PanelSpec(), rows
+    def __init__(
+        self, df: DataFrame, spec: PanelSpec | None = None, rows: int | None = None, frames: int | None = None
+    ):
+        self.df, self.spec, self.rows, self.frames = df, spec or PanelSpec(), rows, frames
         self._measured: dict = {}
 
     def with_df(self, df: DataFrame) -> "Panel":
         """Same panel with extra columns or fewer rows."""
-        other = Panel(df, self.spec, self.rows)
+        other = Panel(df, self.spec, self.rows, self.frames)
         other._measured = self._measured
         return other
 
@@ -132,8 +136,9 @@ class Panel:
         """Append one column per feature; numeric results are finite or null."""
         names = list(features)
         df = self.df
-        for at in range(0, len(names), CHUNK):
-            part = {n: features[n] for n in names[at : at + CHUNK]}
+        size = max(1, len(names)) if self.frames == 0 else CHUNK
+        for at in range(0, len(names), size):
+            part = {n: features[n] for n in names[at : at + size]}
             df = _Stages(self.with_df(df), part).run()
         return df
 
@@ -220,30 +225,30 @@ class _Stages:
     def _history(self, df: DataFrame, frames: Frames, members: list[Feature]) -> DataFrame:
         """One phase of rolling operators.
 
-        Short windows become Spark window expressions.  A phase with a long window or an array
-        kernel runs all its rolling operators as Arrow passes instead: the rows are shuffled and
-        sorted once for their row numbers, and every pass keeps that order.
+        Short windows become Spark window expressions, long ones and array kernels Arrow passes over the
+        rows, which are shuffled and sorted once.  A pass keeps their order, but Spark no longer knows
+        it, so operators that read the result of a pass run as passes as well, however short.
         """
         rolling = [n for n in members if self._scope(n) in {"ts", "kernel"}]
-        limit = frame_rows(df.sparkSession)
+        limit = frame_rows(df.sparkSession) if self.panel.frames is None else self.panel.frames
 
         def long(node: Feature) -> bool:
-            if OPERATORS[node.op].history == "lag":
+            if limit and OPERATORS[node.op].history == "lag":
                 return False  # reads one earlier row, however far back
             share = COSTLY_SHARE if node.op in COSTLY else 1
             return self._scope(node) == "kernel" or self._reach_of(node) * share > limit
 
-        arrow = any(map(long, rolling))
         own = {n: self._frames(frames, n) for n in rolling}
         numbers = {f.row: f.number for f in own.values()}
         if numbers:
             df = df.withColumns(numbers)
+        passed = False
         for nodes in self._by_level(members):
             plain, passes = {}, {}
             for node in nodes:
                 if node not in own:
                     plain[self.nodes[node]] = self._scalar(node)
-                elif arrow:
+                elif passed or long(node):
                     passes.setdefault(own[node].row, []).append(self._job(node))
                 else:
                     plain[self.nodes[node]] = OPERATORS[node.op].function(
@@ -252,6 +257,7 @@ class _Stages:
             if plain:
                 df = df.withColumns(plain)
             for row, jobs in passes.items():
+                passed = True
                 types = [BooleanType() if j.condition else DoubleType() for j in jobs]
                 added = [StructField(j.out, t) for j, t in zip(jobs, types)]
                 df = df.mapInArrow(rolling_pass(jobs, row), StructType(df.schema.fields + added))

@@ -49,11 +49,12 @@ def grammar(
 
 
 def sweep(
-    panel: Panel, features: dict[str, Feature], fold: Fold, metric: str, chunk: int = 64
+    panel: Panel, features: dict[str, Feature], fold: Fold, metric: str, chunk: int = 150
 ) -> DataFrame:
-    """Evaluate all genomes; chunks of columns bound the plan, each chunk is one job."""
+    """Evaluate all genomes; a chunk's columns are computed in one pass over the sorted rows and scored together."""
     names, result = list(features), None
-    panel = panel.with_df(frozen(panel.df))  # the chunks read one written panel
+    # The chunks read one written panel.
+    panel = Panel(frozen(panel.df), panel.spec, panel.rows, frames=0)
     for at in range(0, len(names), chunk):
         part = names[at : at + chunk]
         wide = panel.with_features({n: features[n] for n in part})

@@ -313,33 +313,34 @@ def monthly_characteristics(spark, sf):
 
 # --- grammar sweep ----------------------------------------------------------------------------------
 
-# All operators and combinations of two fields; one window, as further ones repeat the same code.
-# Fields without equal values, as round-off would break ties of averages differently in two engines.
-SWEEP = sweep.grammar(("x", "high"), windows=(3,))
+# All operators, windows and combinations of two fields without equal values, as round-off would
+# break ties of averages differently in two engines.  The longest windows exceed every history.
+SWEEP = sweep.grammar(("x", "high"), "1d")
 
 
 def _genome_sql(name: str) -> str:
     """The SQL of one genome, read back from its parts."""
     op, rest = name.split("_", 1)
-    fields = rest.rsplit("_", 1)[0].split("_")
+    fields, n = rest.rsplit("_", 1)[0].split("_"), int(rest.rsplit("_", 1)[1])
     base = fields[0]
     if len(fields) == 3:
         a, b = fields[0], fields[2]
         base = f"({a} {dict(add='+', sub='-', mul='*').get(fields[1])} {b})"
         if fields[1] == "div":
             base = f"(CASE WHEN abs({b}) > 1e-12 THEN {a} / {b} END)"
-    w = "(PARTITION BY exchange, instrument_id ORDER BY trading_day ROWS BETWEEN {0} PRECEDING AND CURRENT ROW)"
-    w3, w4 = w.format(2), w.format(3)
+    order = "PARTITION BY exchange, instrument_id ORDER BY trading_day"
+    w = f"({order} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    longer = f"({order} ROWS BETWEEN {n} PRECEDING AND CURRENT ROW)"
     if op == "mean":
-        return f"CASE WHEN count({base}) OVER {w3} = 3 THEN avg({base}) OVER {w3} END"
+        return f"CASE WHEN count({base}) OVER {w} = {n} THEN avg({base}) OVER {w} END"
     if op in ("std", "zscore"):
-        std = f"stddev_samp({base}) OVER {w3}"
-        value = std if op == "std" else f"CASE WHEN {std} > 1e-12 THEN ({base} - avg({base}) OVER {w3}) / {std} END"
-        return f"CASE WHEN count({base}) OVER {w3} = 3 THEN {value} END"
-    past = f"lag({base}, 3) OVER (PARTITION BY exchange, instrument_id ORDER BY trading_day)"
+        std = f"stddev_samp({base}) OVER {w}"
+        value = std if op == "std" else f"CASE WHEN {std} > 1e-12 THEN ({base} - avg({base}) OVER {w}) / {std} END"
+        return f"CASE WHEN count({base}) OVER {w} = {n} THEN {value} END"
+    past = f"lag({base}, {n}) OVER ({order})"
     if op == "delta":
-        return f"CASE WHEN count({base}) OVER {w4} = 4 THEN {base} - {past} END"
-    return f"CASE WHEN count({base}) OVER {w4} = 4 AND abs({past}) > 1e-12 THEN {base} / {past} - 1 END"
+        return f"CASE WHEN count({base}) OVER {longer} = {n + 1} THEN {base} - {past} END"
+    return f"CASE WHEN count({base}) OVER {longer} = {n + 1} AND abs({past}) > 1e-12 THEN {base} / {past} - 1 END"
 
 
 def _sweep_sql() -> str:
@@ -356,12 +357,17 @@ def _sweep_sql() -> str:
     every = ", ".join(f"('{name}')" for name, _, _ in metrics)
     evaluated = evaluated.replace(
         "FROM wide JOIN dir USING (factor) JOIN cov",
-        f"FROM (SELECT factor, m.metric FROM cov, (VALUES {every}) m(metric)) LEFT JOIN wide USING (factor, metric) LEFT JOIN dir USING (factor) JOIN cov",
+        f"FROM (SELECT factor, m.metric FROM cov, (VALUES {every}) m(metric)) LEFT JOIN wide USING (factor, metric) LEFT JOIN dir USING (factor) "
+        "JOIN (SELECT factor, min(value) = max(value) AS flat FROM v GROUP BY 1) USING (factor) JOIN cov",
+    ).replace(
+        "'success' AS status",
+        """CASE WHEN flat THEN 'constant_factor' WHEN direction IS NULL THEN 'undefined_train_metric'
+  WHEN primary_val IS NULL THEN 'undefined_val_metric' ELSE 'success' END AS status""",
     )
     return f"""WITH {TARGETS}, sf AS (SELECT *, {columns} FROM tg), {split} long AS ({long}), {clip}, {evaluated}"""
 
 
-@query("grammar_sweep", f"SELECT factor, metric, train, val, coverage, CAST(direction AS DOUBLE) AS direction FROM ({_sweep_sql()})")
+@query("grammar_sweep", f"SELECT factor, metric, train, val, coverage, CAST(direction AS DOUBLE) AS direction, status FROM ({_sweep_sql()})")
 def grammar_sweep(spark, sf):
     """Every genome of the grammar, evaluated as columns of one panel."""
     result = sweep.sweep(target_panel(spark, sf), SWEEP, FOLD, CROSS_SECTIONAL)
@@ -370,4 +376,5 @@ def grammar_sweep(spark, sf):
         "metric",
         *[r6(c).alias(c) for c in ("train", "val", "coverage")],
         F.col("direction").cast("double").alias("direction"),
+        "status",
     )

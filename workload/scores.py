@@ -56,7 +56,7 @@ long AS ({" UNION ALL ".join(f"SELECT '{n}' AS factor, split, trading_day, produ
 bounds AS (SELECT factor, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM long WHERE split = 'train' GROUP BY 1),
 tb AS (SELECT quantile_cont(target, 0.01) AS lo, quantile_cont(target, 0.99) AS hi FROM l WHERE split = 'train'),
 clipped AS (SELECT factor, split, trading_day, product, instrument_id,
-    CASE WHEN value IS NOT NULL THEN least(greatest(value, b.lo), b.hi) END AS value, least(greatest(target, tb.lo), tb.hi) AS target
+    CASE WHEN value IS NOT NULL AND b.lo IS NOT NULL THEN least(greatest(value, b.lo), b.hi) END AS value, least(greatest(target, tb.lo), tb.hi) AS target
   FROM long JOIN bounds b USING (factor), tb)"""
 
 
@@ -180,7 +180,7 @@ agg AS ({" UNION ALL ".join(parts)}),
 wide AS (SELECT factor, metric, max(value) FILTER (WHERE split = 'train') AS train, max(value) FILTER (WHERE split = 'val') AS val_raw,
     max(n_obs) FILTER (WHERE split = 'train') AS train_n_obs, max(n_groups) FILTER (WHERE split = 'train') AS train_n_groups,
     max(n_obs) FILTER (WHERE split = 'val') AS val_n_obs, max(n_groups) FILTER (WHERE split = 'val') AS val_n_groups FROM agg GROUP BY 1, 2),
-dir AS (SELECT factor, CASE WHEN train < 0 THEN -1 ELSE 1 END AS direction FROM wide WHERE metric = '{metrics[0][0]}'),
+dir AS (SELECT factor, CASE WHEN train < 0 THEN -1 WHEN train IS NOT NULL THEN 1 END AS direction, val_raw AS primary_val FROM wide WHERE metric = '{metrics[0][0]}'),
 cov AS (SELECT factor, avg(CASE WHEN value IS NOT NULL THEN 1.0 ELSE 0.0 END) AS coverage FROM long WHERE split = 'val' GROUP BY 1)
 SELECT factor, metric, {q6("train", "train")}, {q6("val_raw", "val_raw")}, {q6("val_raw * direction", "val")}, {q6("coverage", "coverage")},
   CAST(direction AS BIGINT) AS direction, train_n_obs, train_n_groups, val_n_obs, val_n_groups, 'success' AS status
