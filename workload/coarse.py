@@ -11,7 +11,7 @@ from factorloom.operators import coarse, monthly
 from factorloom.operators.panel import Panel, PanelSpec
 from factorloom.sources.market import panel_spec, prepare_panel
 
-from .base import event_bars, event_bars_sql, q6, query, r6, rounded, rows_of, trade, trade_sql
+from .base import event_bars, event_bars_sql, q6, query, r6, rounded, rows_of, table, trade, trade_sql
 from .prepare import HOURLY, hourly_panel
 
 FIELDS = ["open", "high", "low", "close", "adj_vwap", "volume", "amount", "open_interest"]
@@ -227,3 +227,60 @@ def observed_day_returns(spark, sf):
     spec = PanelSpec(identity=("product",), time="trading_day", segment="segment")
     wide = Panel(marked, spec, rows).with_features({"step": fx.delta(fx.field("x"), 1)})
     return wide.select("product", "trading_day", "segment", r6("step").alias("step"))
+
+
+# --- input checks and spans -----------------------------------------------------------------------
+
+_BASE = """b AS (SELECT CASE WHEN event_id % 97 <> 3 THEN event_type END AS instrument_id, ts,
+    CAST(ts AS DATE) - CASE WHEN event_id % 50 = 0 THEN 2 ELSE 0 END AS trading_day FROM events
+  UNION ALL SELECT event_type, ts, CAST(ts AS DATE) FROM events WHERE event_id % 41 = 0)"""
+
+
+@query(
+    "base_checks",
+    f"""WITH {_BASE},
+m AS (SELECT trading_day < lag(trading_day) OVER (PARTITION BY instrument_id ORDER BY ts, trading_day) AS back FROM b)
+SELECT 'null_keys' AS "check", count(*) FILTER (WHERE instrument_id IS NULL OR ts IS NULL) AS violations FROM b
+UNION ALL SELECT 'repeated_keys', CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM b WHERE instrument_id IS NOT NULL AND ts IS NOT NULL GROUP BY instrument_id, ts)
+UNION ALL SELECT 'days_moving_back', count(*) FILTER (WHERE back) FROM m""",
+)
+def base_checks(spark, sf):
+    """Violations of the input rules: unknown and repeated keys, days that move back."""
+    events = table(spark, sf, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    day = F.col("ts").cast("date")
+    broken = events.select(
+        F.when(F.col("event_id") % 97 != 3, F.col("event_type")).alias("instrument_id"),
+        "ts",
+        F.date_sub(day, F.when(F.col("event_id") % 50 == 0, 2).otherwise(0)).alias("trading_day"),
+    )
+    twice = events.where("event_id % 41 = 0").select(F.col("event_type").alias("instrument_id"), "ts", day.alias("trading_day"))
+    spec = PanelSpec(identity=("instrument_id",), time="ts", ties=("trading_day",))
+    return coarse.base_report(broken.unionByName(twice), spec, 2 * rows_of(spark, sf, "events"))
+
+
+_DAY = 240
+_SPANS = {
+    "daily_mean": (fx.ts_mean(fx.field("price"), 20), "1d", 19 * _DAY),
+    "daily_change": (fx.change(fx.field("price"), 5), "1d", 5 * _DAY),
+    "nested": (fx.ts_std(fx.change(fx.field("price"), 3), 12), "60m", (3 + 11) * 60),
+    "short": (fx.ts_zscore(fx.field("price"), 6), "5m", 25),
+    "mixed": (fx.field("close") - coarse.at("30m", fx.ts_mean(fx.field("close"), 4)), "5m", 3 * 30 + 30 - 5),
+}
+
+
+@query(
+    "feature_spans",
+    f"""WITH {trade_sql()}, h AS (SELECT exchange, instrument_id, {_DAY} * (count(*) - 1) AS minutes FROM trade GROUP BY 1, 2)
+SELECT feature, CAST(span AS DOUBLE) AS span, CASE WHEN span <= 60 THEN 'up_to_1h' WHEN span <= {_DAY} THEN '1h_to_1d' ELSE 'over_1d' END AS band,
+  (SELECT count(*) FROM h WHERE minutes >= span) AS histories
+FROM (VALUES {", ".join(f"('{n}', {span})" for n, (_, _, span) in _SPANS.items())}) v(feature, span)""",
+)
+def feature_spans(spark, sf):
+    """How far each feature reaches back, its band, and how many daily histories are long enough for it."""
+    spans = [(n, float(coarse.feature_span_minutes(f, bar))) for n, (f, bar, _) in _SPANS.items()]
+    named = spark.createDataFrame([(n, s, coarse.scale_band(s)) for n, s in spans], "feature string, span double, band string")
+    lengths = trade(spark, sf).groupBy("exchange", "instrument_id").agg((_DAY * (F.count(F.lit(1)) - 1)).alias("minutes"))
+    # One row per feature meets the histories' lengths, counted by length first.
+    known = lengths.groupBy("minutes").agg(F.count(F.lit(1)).alias("n"))
+    found = named.join(known, F.col("minutes") >= F.col("span"), "left").groupBy("feature", "span", "band")
+    return found.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("histories"))

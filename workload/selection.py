@@ -127,6 +127,110 @@ def admission(spark, sf):
     return library.admission_frame(metrics, pairs, names, STOCKS, rules, study)
 
 
+# Candidates in trial order: copies, an opposite, a near copy and a constant beside the known factors.
+CANDIDATES = {
+    "momentum": "momentum",
+    "momentum_twin": "momentum * 2 + 1",
+    "flat": "momentum - momentum + 1",
+    "size": "size",
+    "stretch": "stretch",
+    "small": "0 - size",
+    "late": "stretch + momentum / 50",
+}
+GREEDY = library.AdmissionRules(min_corr_overlap=20, min_abs_val_ic=-1.0)
+
+
+def _candidate_sql() -> str:
+    """Metrics and rank correlations of the candidates, then one step per trial."""
+    names = list(CANDIDATES)
+    split = SCORED[SCORED.index("l AS (") : SCORED.index("long AS (")].replace("FROM f WHERE", "FROM sf WHERE")
+    columns = ", ".join(f"{sql} AS {n}" for n, sql in CANDIDATES.items() if n not in NAMES)
+    long = " UNION ALL ".join(
+        f"SELECT '{n}' AS factor, split, trading_day, product, instrument_id, {n} AS value, target FROM l" for n in names
+    )
+    first = scoring.metric_names(STOCKS)[0][1]
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    steps = [
+        f"""{SCORED[: SCORED.index("l AS (")]}sf AS (SELECT *, {columns} FROM f), {split} long AS ({long}), {SCORED[SCORED.index("bounds AS (") :]}""",
+        "mv AS (SELECT * FROM clipped WHERE split <> 'test')",
+        ranked_sql("mv", "factor, split, trading_day", "mg"),
+        f"""me AS (SELECT factor, avg({first}) FILTER (WHERE split = 'train') AS train, avg({first}) FILTER (WHERE split = 'val') AS val_raw FROM mg GROUP BY 1),
+co AS (SELECT factor, avg(CASE WHEN value IS NOT NULL THEN 1.0 ELSE 0.0 END) AS coverage FROM long WHERE split = 'val' GROUP BY 1),
+fl AS (SELECT factor, min(value) = max(value) AS flat FROM mv GROUP BY 1),
+ca AS (SELECT place, factor, coverage, train, CASE WHEN train < 0 THEN -val_raw ELSE val_raw END AS val,
+    CASE WHEN flat THEN 'constant_factor' WHEN train IS NULL THEN 'undefined_train_metric' WHEN val_raw IS NULL THEN 'undefined_val_metric' ELSE 'success' END AS status
+  FROM (VALUES {", ".join(f"({i}, '{n}')" for i, n in enumerate(names, 1))}) t(place, factor) LEFT JOIN me USING (factor) LEFT JOIN co USING (factor) LEFT JOIN fl USING (factor)),
+s AS (SELECT * FROM l WHERE split = 'val')""",
+        _pair_sql(pairs, "s"),
+        """sp AS (SELECT a AS mine, b AS other, n, least(abs(spearman), 1) AS r FROM g UNION ALL SELECT b, a, n, least(abs(spearman), 1) FROM g),
+m0 AS (SELECT 0 AS place, '' AS factor WHERE false)""",
+    ]
+    for k in range(1, len(names) + 1):
+        steps.append(
+            f"""x{k} AS (SELECT ca.*, count(m.factor) AS library, bool_or(m.factor IS NOT NULL AND coalesce(n, 0) < {GREEDY.min_corr_overlap}) AS few,
+    bool_or(n >= {GREEDY.min_corr_overlap} AND r IS NULL) AS unknown, bool_or(n >= {GREEDY.min_corr_overlap} AND r >= {GREEDY.max_abs_corr}) AS alike,
+    max(r) FILTER (WHERE n >= {GREEDY.min_corr_overlap}) AS largest, arg_max(m.factor, r) FILTER (WHERE n >= {GREEDY.min_corr_overlap}) AS nearest
+  FROM ca LEFT JOIN m{k - 1} m ON true LEFT JOIN sp ON sp.mine = ca.factor AND sp.other = m.factor WHERE ca.place = {k} GROUP BY ALL),
+y{k} AS (SELECT *, CASE WHEN status <> 'success' THEN status WHEN coverage < {GREEDY.min_coverage} THEN 'low_coverage'
+    WHEN val IS NULL OR val < {GREEDY.min_abs_val_ic} THEN 'quality_threshold' END AS own FROM x{k}),
+z{k} AS MATERIALIZED (SELECT *, CASE WHEN own IS NOT NULL THEN own WHEN few THEN 'insufficient_corr_overlap' WHEN unknown THEN 'undefined_correlation'
+    WHEN alike THEN 'behavior_duplicate' ELSE 'accepted' END AS reason FROM y{k}),
+m{k} AS MATERIALIZED (SELECT * FROM m{k - 1} UNION ALL SELECT place, factor FROM z{k} WHERE reason = 'accepted')"""
+        )
+    every = " UNION ALL ".join(f"SELECT z.*, (SELECT count(*) FROM m{k}) AS size FROM z{k} z" for k in range(1, len(names) + 1))
+    return f"""WITH {", ".join(steps)}
+SELECT CAST(place AS INTEGER) AS trial, factor, reason = 'accepted' AS accepted, reason, {q6("CASE WHEN own IS NULL THEN largest END", "max_abs_corr")},
+  CASE WHEN own IS NULL THEN nearest END AS nearest, own IS NOT NULL OR NOT (few OR coalesce(unknown, false)) AS complete, CAST(size AS INTEGER) AS library_size FROM ({every})"""
+
+
+@query("admission_greedy", _candidate_sql())
+def admission_greedy(spark, sf):
+    """Greedy library construction by metrics and rank correlations, without residuals."""
+    panel = scored_panel(spark, sf)
+    extra = {n: F.expr(sql) for n, sql in CANDIDATES.items() if n not in NAMES}
+    wide, names = panel.df.withColumns(extra), list(CANDIDATES)
+    metrics = scoring.evaluate_factors(wide, names, FOLD, STOCKS, rows=panel.rows)
+    rows = targets.split_rows(wide, FOLD.val).withColumn("row_id", F.xxhash64("exchange", "instrument_id", "trading_day"))
+    pairs = library.pairwise_spearman(frozen(rows.select("row_id", *names)), names, rows=panel.rows)
+    log = library.admission_frame(metrics, pairs, names, STOCKS, GREEDY)
+    return log.select("trial", "factor", "accepted", "reason", r6("max_abs_corr").alias("max_abs_corr"), "nearest", "complete", "library_size")
+
+
+# Factors without exact linear relations among each other.
+DIMENSIONS = ["momentum", "stretch", "size", "price", "volume", "high"]
+
+
+def _dimensions_sql(share: float = 0.9) -> str:
+    """Subsets of two and three factors, whose correlation matrices have eigenvalues in closed form."""
+    known = " AND ".join(f"{n} IS NOT NULL" for n in DIMENSIONS)
+    ends = ", ".join(f"quantile_cont({n}, 0.01) AS lo_{n}, quantile_cont({n}, 0.99) AS hi_{n}" for n in DIMENSIONS)
+    clip = ", ".join(f"least(greatest({n}, lo_{n}), hi_{n}) AS {n}" for n in DIMENSIONS)
+    pair_rows = " UNION ALL ".join(
+        f"SELECT {i} AS i, {j} AS j, corr({a}, {b}) AS r FROM cl" for i, a in enumerate(DIMENSIONS) for j, b in enumerate(DIMENSIONS) if i < j
+    )
+    report = lambda size, source: (
+        f"""SELECT {size} AS subset_size, count(*) AS subsets, {q6("avg(needed)", "effective_dimensions")}, {q6(f"avg(needed) / {size}", "effective_rate")}, false AS drawn FROM {source}"""
+    )
+    return f"""WITH {SCORED}, c AS (SELECT * FROM l WHERE split = 'val' AND {known}), e AS (SELECT {ends} FROM c),
+cl AS (SELECT {clip} FROM c, e), r AS MATERIALIZED ({pair_rows}),
+two AS (SELECT CASE WHEN (1 + abs(r)) / 2 >= {share} THEN 1 ELSE 2 END AS needed FROM r),
+tr AS (SELECT x.r AS a, y.r AS b, z.r AS c FROM r x JOIN r y ON x.i = y.i AND x.j < y.j JOIN r z ON z.i = x.j AND z.j = y.j),
+ph AS (SELECT *, sqrt((a * a + b * b + c * c) / 3) AS p FROM tr),
+ei AS (SELECT 1 + 2 * p * cos(acos(greatest(-1, least(1, a * b * c / (p * p * p)))) / 3) AS top,
+    1 + 2 * p * cos(acos(greatest(-1, least(1, a * b * c / (p * p * p)))) / 3 + 2 * pi() / 3) AS low FROM ph),
+three AS (SELECT CASE WHEN top / 3 >= {share} THEN 1 WHEN (3 - low) / 3 >= {share} THEN 2 ELSE 3 END AS needed FROM ei)
+{report(2, "two")} UNION ALL {report(3, "three")}"""
+
+
+@query("effective_dimensions_small", _dimensions_sql())
+def effective_dimensions_small(spark, sf):
+    """Components that subsets of two and of three factors need."""
+    rows, bound = val_rows(spark, sf)
+    reports = [library.effective_dimensions(rows, DIMENSIONS, size=k, rows=bound) for k in (2, 3)]
+    both = reports[0].unionByName(reports[1])
+    return both.select("subset_size", "subsets", *[r6(c).alias(c) for c in ("effective_dimensions", "effective_rate")], "drawn")
+
+
 @query("effective_dimensions")
 def effective_dimensions(spark, sf):
     rows, bound = val_rows(spark, sf)
