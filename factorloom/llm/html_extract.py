@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyarrow import dataset
 from pyspark.sql import DataFrame, functions as F
 
@@ -154,19 +154,31 @@ def counted_runs(words: Words, host: np.ndarray, speaks: np.ndarray) -> tuple[np
 
 
 class HostTable:
-    """Rows of a stored table, sorted by host, for some hosts."""
+    """Columns of a stored table, sorted by host, as arrays per host; a task keeps those of its last hosts."""
 
     def __init__(self, path: str, columns: list[str]):
         store, folder = filesystem(path)
         self.table, self.columns = dataset.dataset(folder, filesystem=store, format="parquet", partitioning=None), columns
+        self.held: dict[str, dict[str, np.ndarray]] = {}
+        self.size = 0
 
-    def rows(self, hosts: list[str | None]) -> dict[str, list[dict]]:
-        if "host" not in self.table.schema.names:
-            return {}  # an empty table
-        found: dict[str, list[dict]] = {}
-        for row in self.table.to_table(filter=dataset.field("host").isin(sorted(set(hosts))), columns=self.columns).to_pylist():
-            found.setdefault(row["host"], []).append(row)
-        return found
+    def rows(self, hosts: list[str]) -> dict[str, dict[str, np.ndarray]]:
+        """By host, its rows' columns; a host without rows is absent."""
+        missing = sorted(set(hosts) - self.held.keys())
+        if missing and "host" in self.table.schema.names:
+            if self.size > KEEP:
+                self.held, self.size = {}, 0
+                missing = sorted(set(hosts))
+            found = self.table.to_table(filter=dataset.field("host").isin(missing), columns=["host", *self.columns]).sort_by("host")
+            names = found["host"].to_pylist()
+            cuts = [i for i, name in enumerate(names) if i == 0 or name != names[i - 1]]
+            arrays = {c: found[c].to_numpy() for c in self.columns}
+            for i, j in zip(cuts, [*cuts[1:], len(names)]):
+                self.held[names[i]] = {c: x[i:j] for c, x in arrays.items()}
+            for host in missing:
+                self.held.setdefault(host, {})
+            self.size += len(names) + len(missing)
+        return {h: self.held[h] for h in set(hosts) if self.held.get(h)}
 
 
 def _stored(df: DataFrame, *order: str) -> str:
@@ -247,8 +259,9 @@ class _Sketch:
 def _pieces(batch: pa.RecordBatch, texts: str = "texts") -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about SORT_BYTES of block texts."""
     lists = batch.column(batch.schema.get_field_index(texts))
-    sizes = np.array([sum(map(len, x)) for x in lists.to_pylist()], np.int64)
-    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // SORT_BYTES)) + 1
+    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+    sizes = np.concatenate(([0], np.cumsum(pc.binary_length(lists.flatten()).to_numpy(zero_copy_only=False))))
+    cuts = np.flatnonzero(np.diff(sizes[ends] // SORT_BYTES)) + 1
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
         if b > a:
             yield batch.slice(a, b - a)
@@ -292,18 +305,14 @@ def _speaking(speakers: str):
     return of
 
 
-def _runs_of(batches: Iterator[pa.RecordBatch], speakers: str):
-    """Per slice of (host, uid, texts) rows: its host names, and the counted runs by number of the host."""
+def _by_host(batches: Iterator[pa.RecordBatch], speakers: str):
+    """Per slice of (host, uid, texts) rows: host names, each page's host, its words and whether it speaks."""
     speaks = _speaking(speakers)
     for batch in batches:
         for part in _pieces(batch):
             coded = part.column(0).dictionary_encode()
             host = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            hosts = coded.dictionary.to_pylist()
-            stable = np.array([xxhash.xxh64_intdigest(h.encode()) for h in hosts], np.uint64).view(np.int64)
-            owner, run, n = counted_runs(Words(part.column(2)), stable[host], speaks(part.column(1).to_numpy()))
-            number = {h: i for i, h in enumerate(stable.tolist())}
-            yield hosts, np.array([number[h] for h in owner.tolist()], np.int64), run, n
+            yield coded.dictionary.to_pylist(), host, Words(part.column(2)), speaks(part.column(1).to_numpy())
     release()
 
 
@@ -311,11 +320,12 @@ def _sketch(speakers: str, sizes: str):
     """Task function: counters of the runs of (host, uid, texts) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, counters = _Sketch(), HostTable(sizes, ["host", "words"])
-        for hosts, host, runs, n in _runs_of(batches, speakers):
+        sketch, counters = _Sketch(), HostTable(sizes, ["words"])
+        for hosts, host, words, speaks in _by_host(batches, speakers):
             found = counters.rows(hosts)
-            width = _counters([found[h][0]["words"] for h in hosts])
-            sketch.add(hosts, host, (runs % width[host].astype(np.uint64)).astype(np.int64), n)
+            width = _counters([found[h]["words"][0] for h in hosts])
+            owner, runs, n = counted_runs(words, host, speaks)
+            sketch.add(hosts, owner, (runs % width[owner].astype(np.uint64)).astype(np.int64), n)
             if sketch.size > KEEP:
                 yield from sketch.rows()
         yield from sketch.rows()
@@ -341,21 +351,36 @@ def _exact(speakers: str, sizes: str, hot: str):
     """Task function: (host, run, pages) of the runs whose counter reached the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, ranges = HostTable(sizes, ["host", "words"]), HostTable(hot, ["host", "range", "hot"])
-        for hosts, host, runs, n in _runs_of(batches, speakers):
-            found, width = ranges.rows(hosts), {h: r[0]["words"] for h, r in counters.rows(hosts).items()}
+        counters, ranges = HostTable(sizes, ["words"]), HostTable(hot, ["range", "hot"])
+        places: dict[str, np.ndarray] = {}
+        for hosts, host, words, speaks in _by_host(batches, speakers):
+            found, width = ranges.rows(hosts), counters.rows(hosts)
+            at = words.whole()
+            numbers, short = words.short()
+            page = np.concatenate((words.page[at], words.owner[numbers]))
+            runs = np.concatenate((words.runs(at), short))
             reached = np.zeros(len(runs), bool)
+            if sum(map(len, places.values())) > KEEP:
+                places.clear()
             for i, name in enumerate(hosts):
-                places = [r["range"] * RANGE + unpacked(r["hot"], b"")[0] for r in found.get(name, [])]
-                if places:
-                    mine = np.flatnonzero(host == i)
-                    place = (runs[mine] % np.uint64(_counters(width[name]))).astype(np.int64)
-                    reached[mine] = np.isin(place, np.concatenate(places))
-            if reached.any():
-                names = pa.array(hosts, pa.string()).take(pa.array(host[reached]))
-                yield pa.RecordBatch.from_arrays(
-                    [names, pa.array(runs[reached].view(np.int64)), pa.array(n[reached])], names=["host", "run", "n"]
-                )
+                if name in found:
+                    if name not in places:
+                        parts = [r * RANGE + unpacked(x, b"")[0] for r, x in zip(found[name]["range"], found[name]["hot"])]
+                        places[name] = np.sort(np.concatenate(parts))
+                    mine = np.flatnonzero((host[page] == i) & speaks[page])
+                    place = (runs[mine] % np.uint64(_counters(width[name]["words"][0]))).astype(np.int64)
+                    known = places[name]
+                    reached[mine] = known[np.minimum(np.searchsorted(known, place), len(known) - 1)] == place
+            page, runs = page[reached], runs[reached]
+            if not len(runs):
+                continue
+            order = np.lexsort((page, runs, host[page]))
+            page, runs = page[order], runs[order]
+            new_run = np.concatenate(([True], (runs[1:] != runs[:-1]) | (host[page[1:]] != host[page[:-1]])))
+            new_page = new_run | np.concatenate(([True], page[1:] != page[:-1]))
+            n = np.add.reduceat(new_page.astype(np.int64), np.flatnonzero(new_run))
+            names = pa.array(hosts, pa.string()).take(pa.array(host[page[new_run]]))
+            yield pa.RecordBatch.from_arrays([names, pa.array(runs[new_run].view(np.int64)), pa.array(n)], names=["host", "run", "n"])
 
     return run
 
@@ -439,15 +464,15 @@ def _extracted(templates: str):
     """Task function: the main text of (page_id, url, host, kinds, texts) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = HostTable(templates, ["host", "run", "universal"])
+        known = HostTable(templates, ["run", "universal"])
         none = np.zeros(0, np.uint64)
         for batch in batches:
             for part in _pieces(batch):
                 hosts = part.column(2).to_pylist()
                 every, most = {}, {}
                 for host, rows in known.rows(hosts).items():
-                    every[host] = np.sort(np.array([r["run"] for r in rows], np.int64).view(np.uint64))
-                    most[host] = np.sort(np.array([r["run"] for r in rows if r["universal"]], np.int64).view(np.uint64))
+                    runs = rows["run"].view(np.uint64)
+                    every[host], most[host] = np.sort(runs), np.sort(runs[rows["universal"]])
                 found = extract_pages(
                     part.column(4), part.column(3).to_pylist(), [every.get(h, none) for h in hosts], [most.get(h, none) for h in hosts]
                 )
