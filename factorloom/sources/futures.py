@@ -24,20 +24,17 @@ def keep_latest(df: DataFrame, keys: Sequence[str], newest: Sequence[str]) -> Da
 
 
 def session_bars(minutes: DataFrame, size: int = 5) -> DataFrame:
-    """Bars of `size` consecutive minutes, restarting after every gap; partial tails are kept.
+    """Bars of `size` consecutive whole minutes, restarting after every gap; partial tails are kept.
 
     One instrument-day holds at most 1440 unique minutes, which bounds each window.
     """
     day = ("exchange", "product", "instrument_id", "trading_day")
-    order = Window.partitionBy(*day).orderBy("bar_time")
-    gap = F.unix_micros("bar_time") - F.unix_micros(F.lag("bar_time").over(order))
-    starts = F.when(gap == 60_000_000, 0).otherwise(1)
-    session = (
-        minutes.withColumn("__new", starts)
-        .withColumn("__session", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    )
-    inside = Window.partitionBy(*day, "__session").orderBy("bar_time")
-    bucket = session.withColumn("__bucket", F.floor((F.row_number().over(inside) - 1) / size))
+    # Minutes without a gap keep their distance to their row numbers.
+    minute = F.floor(F.unix_micros("bar_time") / F.lit(60_000_000).cast("long"))
+    run = F.col("__minute") - F.row_number().over(Window.partitionBy(*day).orderBy("bar_time"))
+    first = F.min("__minute").over(Window.partitionBy(*day, "__run"))
+    numbered = minutes.withColumn("__minute", minute).withColumn("__run", run)
+    bucket = numbered.withColumn("__part", F.floor((F.col("__minute") - first) / size))
     usable = is_finite(F.col("adj_vwap")) & (F.col("volume") > 0)
     weight = F.sum(F.when(usable, F.col("volume")))
 
@@ -49,7 +46,7 @@ def session_bars(minutes: DataFrame, size: int = 5) -> DataFrame:
         return F.count_if(F.col("vwap_flag") == kind).alias(f"vwap_{kind}_bars")
 
     return (
-        bucket.groupBy(*day, "__session", "__bucket")
+        bucket.groupBy(*day, "__run", "__part")
         .agg(
             F.max("bar_time").alias("timestamp"),
             F.min_by("adj_open", "bar_time").alias("adj_open"),
@@ -68,7 +65,7 @@ def session_bars(minutes: DataFrame, size: int = 5) -> DataFrame:
             flagged("clamped"),
             flagged("no_trade"),
         )
-        .drop("__session", "__bucket")
+        .drop("__run", "__part")
     )
 
 

@@ -317,21 +317,17 @@ def minute_bars(spark, sf) -> DataFrame:
 
 @query(
     "session_bars",
-    f"""WITH m AS (SELECT CAST(ts AS DATE) AS trading_day, date_trunc('minute', ts) AS bar_time, * FROM events
-  WHERE event_type <> 'error' AND user_id % 10 <> 3
-  QUALIFY row_number() OVER (PARTITION BY date_trunc('minute', ts) ORDER BY ts DESC, event_id DESC) = 1),
-s AS (SELECT *, sum(CASE WHEN bar_time - prev = INTERVAL 1 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY trading_day ORDER BY bar_time) AS session
-  FROM (SELECT *, lag(bar_time) OVER (PARTITION BY trading_day ORDER BY bar_time) AS prev FROM m)),
-k AS (SELECT *, (row_number() OVER (PARTITION BY trading_day, session ORDER BY bar_time) - 1) // 3 AS bucket,
-  user_id % 7 <> 0 AND user_id % 5 > 0 AS usable FROM s)
-SELECT trading_day, max(bar_time) AS timestamp, {q6("first(value ORDER BY bar_time)", "adj_open")},
-  {q6("CASE WHEN bool_and(user_id % 9 <> 0) THEN max(value + 1) END", "adj_high")}, {q6("min(value - 1)", "adj_low")},
-  {q6("last(value + 0.5 ORDER BY bar_time)", "adj_close")},
-  {q6("ln(sum(value * (user_id % 5)) FILTER (WHERE usable) / nullif(sum(user_id % 5) FILTER (WHERE usable), 0))", "adj_vwap")},
-  CAST(sum(user_id % 5) AS BIGINT) AS volume, {q6("sum(value)", "amount")}, {q6("last(user_id ORDER BY bar_time)", "open_interest")},
-  count(*) AS source_bars, count(*) FILTER (WHERE user_id % 3 = 0) AS vwap_proxy_bars,
-  count(*) FILTER (WHERE user_id % 3 = 1) AS vwap_clamped_bars, count(*) FILTER (WHERE user_id % 3 = 2) AS vwap_no_trade_bars
-FROM k GROUP BY trading_day, session, bucket""",
+    f"""WITH newest AS (SELECT epoch_us(ts) // 60000000 AS minute, arg_max({{'value': value, 'user': user_id, 'day': CAST(ts AS DATE)}}, (ts, event_id)) AS e
+  FROM events WHERE event_type <> 'error' AND user_id % 10 <> 3 GROUP BY 1),
+island AS (SELECT e.value AS v, e.user AS u, e.day AS trading_day, minute, minute - row_number() OVER (PARTITION BY e.day ORDER BY minute) AS run FROM newest),
+placed AS (SELECT *, (minute - min(minute) OVER (PARTITION BY trading_day, run)) // 3 AS part, u % 5 AS q,
+  CASE WHEN u % 7 <> 0 AND u % 5 > 0 THEN u % 5 END AS weight FROM island)
+SELECT trading_day, make_timestamp(max(minute) * 60000000) AS timestamp, {q6("arg_min(v, minute)", "adj_open")},
+  {q6("CASE WHEN min(u % 9) > 0 THEN max(v) + 1 END", "adj_high")}, {q6("min(v) - 1", "adj_low")}, {q6("arg_max(v, minute) + 0.5", "adj_close")},
+  {q6("ln(sum(v * weight) / sum(weight))", "adj_vwap")}, CAST(sum(q) AS BIGINT) AS volume, {q6("sum(v)", "amount")},
+  {q6("arg_max(u, minute)", "open_interest")}, count(*) AS source_bars, count_if(u % 3 = 0) AS vwap_proxy_bars,
+  count_if(u % 3 = 1) AS vwap_clamped_bars, count_if(u % 3 = 2) AS vwap_no_trade_bars
+FROM placed GROUP BY trading_day, run, part""",
 )
 def session_bars(spark, sf):
     bars = futures.export_bars(minute_bars(spark, sf), "main", size=3)
