@@ -10,13 +10,14 @@ their ids are kept in a cache of at most CACHE_BYTES per worker, which has no in
 from __future__ import annotations
 
 import os
+from itertools import accumulate, chain
 
 import numpy as np
 
 from .common import Texts, span_hashes, spread
 
 #: Bytes of cached parts and ids, dictionary entries included; a longer part is not kept.
-CACHE_BYTES, ENTRY_BYTES, LONGEST = 32 << 20, 200, 256
+CACHE_BYTES, ENTRY_BYTES, LONGEST = 64 << 20, 200, 256
 _loaded: dict[tuple[str, bool], "PartEncoder"] = {}
 
 
@@ -56,29 +57,28 @@ class PartEncoder:
         self.older: dict[bytes, bytes] = {}
         self.size = 0
 
-    def _keep(self, part: bytes, ids: bytes) -> None:
-        if len(part) > LONGEST:
-            return
-        self.size += len(part) + len(ids) + ENTRY_BYTES
-        if self.size > CACHE_BYTES // 2:
-            self.recent, self.older, self.size = {}, self.recent, len(part) + len(ids) + ENTRY_BYTES
-        self.recent[part] = ids
-
     def _ids(self, parts: list[bytes]) -> list[bytes]:
         """Ids of every part as little-endian uint32."""
-        found = [self.recent.get(p) for p in parts]
-        missing = []
-        for i, ids in enumerate(found):
-            if ids is None:
-                found[i] = ids = self.older.get(parts[i])
-                if ids is None:
-                    missing.append(i)
-                else:
-                    self._keep(parts[i], ids)
-        encoded = self.tokenizer.encode_batch_fast([parts[i].decode() for i in missing], add_special_tokens=False)
-        for i, e in zip(missing, encoded):
-            found[i] = np.array(e.ids, "<u4").tobytes()
-            self._keep(parts[i], found[i])
+        found = list(map(self.recent.get, parts))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if not missing:
+            return found
+        for i in missing:
+            found[i] = self.older.get(parts[i])
+        unknown = [i for i in missing if found[i] is None]
+        encoded = self.tokenizer.encode_batch_fast([parts[i].decode() for i in unknown], add_special_tokens=False)
+        lists = [e.ids for e in encoded]
+        ends = list(accumulate(map(len, lists)))
+        flat = np.fromiter(chain.from_iterable(lists), "<u4", ends[-1] if ends else 0).tobytes()
+        for i, begin, end in zip(unknown, [0, *ends], ends):
+            found[i] = flat[4 * begin : 4 * end]
+        kept = {parts[i]: found[i] for i in missing if len(parts[i]) <= LONGEST}
+        size = sum(map(len, kept)) + sum(map(len, kept.values())) + ENTRY_BYTES * len(kept)
+        if size <= CACHE_BYTES // 2:
+            if self.size + size > CACHE_BYTES // 2:
+                self.recent, self.older, self.size = {}, self.recent, 0
+            self.recent.update(kept)
+            self.size += size
         return found
 
     def encode(self, texts: Texts, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
