@@ -11,11 +11,15 @@ A list that holds links alone is saturated: it may miss some.  Components with s
 by balls; balls of different components that are near enough to hold a link are compared member by
 member, so that no link between two of these components is lost.  The list is then enlarged to its
 whole component, whose members are compared with each other in tiles; only numbers of links leave a tile.
-An audit compares samples of the vectors with few, with many and with no known links with all rows, in
-blocks, and counts the vectors whose links are all known, each vector once.  Of those without a known
-link it draws as many as the bound asks for, all of them where hardly any links are known.  While fewer
-than RECALL are whole, further rounds from other sorted orders follow; after MOST_REPEATS of them every
-vector is compared with all of its label.  Links that an audit finds are kept.
+Two audits say how much the search found.  About PLANTED vectors, drawn by a hash of their node, get a
+partner just above the threshold, in a random direction, that takes part in the search alone: the share of
+partners that it finds is the recall of the hardest pairs, without a comparison with all rows, also where
+hardly any vector has a link.  SURE / PLANTED is the share that may be missing, with 95 % confidence,
+where every partner is found.  Samples of at most AUDIT vectors with few, with many and with no known
+links are compared with all rows, in blocks, and the vectors whose links are all known counted, each
+vector once.  While fewer than RECALL of either are found, further rounds from other sorted orders
+follow.  Only if MOST_REPEATS of them do not reach it, every vector is compared with all of its
+label.  Links that an audit finds are kept; the recall before that is returned in each row.
 
 Vectors that are null, empty, zero or hold null or non-finite components, rows without a label and
 rows without an id link with nothing.  Equal vectors of a label are compared once and count as often
@@ -31,7 +35,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyarrow import dataset
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import filesystem, frozen, shared_folder, spread
 from .graph import components, forest
@@ -45,11 +49,15 @@ MOST_REPEATS = 4
 AUDIT = 512
 RECALL = 0.99
 TILE = 256
-#: A sample in which no link is missing shows a share below 1 - RECALL if it would hold this many of it.
+#: A sample that would hold this many of a kind on average holds none of it in 5 % of all cases.
 SURE = 3
+#: Vectors that get a planted partner, and how far above the threshold it is, as a share of what is left to 1.
+PLANTED, ABOVE = 600, 0.02
 #: Members of a component that one task covers with balls; rows of a block of an exact comparison.
 CHUNK = 256
 BLOCK = 2048
+#: Rows of a part that one task of a grouped comparison holds.
+PART_ROWS = 50_000
 SALTS = 32
 BITS = 62
 
@@ -172,7 +180,8 @@ def _local_join(table: pa.Table, threshold: float) -> pa.Table:
             vs.append(member[at[g, j]])
             sims.append(s[g, i, j])
             g, i, j = np.nonzero((s >= threshold) & (member[at][:, :, None] < member[at][:, None, :]))
-            linked.append(np.stack(forest(member[at[g, i]], member[at[g, j]])))
+            real = (member[at[g, i]] >= 0) & (member[at[g, j]] >= 0)
+            linked.append(np.stack(forest(member[at[g, i]][real], member[at[g, j]][real])))
     empty = [np.zeros(0, np.int64)]
     a, b = forest(*np.concatenate(linked or [np.zeros((2, 0), np.int64)], axis=1))
     return pa.table(
@@ -187,7 +196,13 @@ def _local_join(table: pa.Table, threshold: float) -> pa.Table:
     )
 
 
-def _descend(nodes: DataFrame, lists: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+def _parts(spark: SparkSession, rows: int) -> int:
+    """Parts of a grouped comparison: some for every task, and more where the rows of a part would pass PART_ROWS."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(8 * tasks, -(-rows // PART_ROWS))
+
+
+def _descend(nodes: DataFrame, lists: DataFrame, threshold: float, size: int) -> tuple[DataFrame, DataFrame]:
     """One round of neighbours-of-neighbours: the improved lists, and a forest (a, b) of the links seen."""
     salted = lists.select(F.col("v").alias("centre"), F.col("u").alias("member")).withColumn(
         "salt", F.pmod(F.xxhash64("member"), F.lit(SALTS))
@@ -214,8 +229,8 @@ def _descend(nodes: DataFrame, lists: DataFrame, threshold: float) -> tuple[Data
         .join(least.withColumnRenamed("u", "member"), "member", "left")
         .withColumn("least", F.coalesce("least", F.lit(-2.0)))
     )
-    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = members.withColumn("part", F.pmod(F.xxhash64("centre"), F.lit(8 * tasks)))
+    parts = _parts(nodes.sparkSession, size * (2 * LIST + 1))
+    grouped = members.withColumn("part", F.pmod(F.xxhash64("centre"), F.lit(parts)))
     found = frozen(
         grouped.select("part", "dim", "centre", "member", "least", "vector")
         .groupBy("part", "dim")
@@ -276,14 +291,24 @@ def _cover(table: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"node": node, "ball": ball, "angle": angle})
 
 
+def _with_sizes(members: DataFrame) -> DataFrame:
+    """Members (node, root) with the number `m` of their component.
+
+    A component with a third of all members is spread: every size is known in SALTS places.
+    """
+    places = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("m")).select("root", "m", places)
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    return salted.join(frozen(sizes), ["root", "salt"]).drop("salt")
+
+
 def _across(nodes: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     """A forest (a, b) of all links between members (node, root) of different components."""
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = _parts(nodes.sparkSession, members.count())
     chunked = (
-        members.join(sizes, "root")
+        _with_sizes(members)
         .withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / CHUNK).cast("long")))
-        .withColumn("part", F.pmod(F.xxhash64("root", "chunk"), F.lit(8 * tasks)))
+        .withColumn("part", F.pmod(F.xxhash64("root", "chunk"), F.lit(parts)))
         .join(nodes.select("node", "dim", "vector"), "node")
     )
     held = frozen(
@@ -347,10 +372,9 @@ def _across(nodes: DataFrame, members: DataFrame, threshold: float) -> DataFrame
 
 def _tile_counts(nodes: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     """(node, links): linked rows of other nodes, for members (node, root) of enlarged components."""
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
     tiles = F.ceil(F.col("m") / TILE).cast("long")
     dealt = (
-        members.join(sizes, "root")
+        _with_sizes(members)
         .withColumn("tile", F.pmod(F.xxhash64("node"), tiles))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
         .select(
@@ -392,12 +416,14 @@ def _links(nodes: DataFrame, lists: DataFrame, spare: DataFrame, threshold: floa
 
     `spare` holds links (a, b) beside those of the lists.
     """
-    near = frozen(lists.filter(F.col("sim") >= threshold).select("u", "v"))
+    listed = frozen(lists.filter(F.col("sim") >= threshold).select("u", "v"))
+    near = listed.filter((F.col("u") >= 0) & (F.col("v") >= 0))
     both = near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     listed_links = near.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(spare)
     roots = frozen(components(listed_links))
     saturated = frozen(
-        near.groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LIST).select("node")
+        # A planted partner may take a place in a list.
+        listed.groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LIST).select("node")
     )
     enlarged = frozen(roots.join(saturated, "node").select("root").distinct())
     if enlarged.count() > 1:
@@ -405,12 +431,12 @@ def _links(nodes: DataFrame, lists: DataFrame, spare: DataFrame, threshold: floa
         roots = frozen(components(listed_links.unionByName(across)))
         enlarged = frozen(roots.join(saturated, "node").select("root").distinct())
     tiled = frozen(_tile_counts(nodes, roots.join(enlarged, "root"), threshold))
-    listed = (
+    known = (
         both.join(nodes.select(F.col("node").alias("v"), "copies"), "v")
         .groupBy(F.col("u").alias("node"))
         .agg(F.sum("copies").alias("links"))
     )
-    counts = tiled.unionByName(listed.join(tiled.select("node"), "node", "left_anti"))
+    counts = tiled.unionByName(known.join(tiled.select("node"), "node", "left_anti"))
     return roots, frozen(counts)
 
 
@@ -464,9 +490,7 @@ def _audited(nodes: DataFrame, counts: DataFrame, threshold: float, most: int) -
         )
     )
     sizes = {r.stratum: r["count"] for r in strata.groupBy("stratum").count().collect()}
-    # A lone vector with a link weighs against the vectors of small groups: draw until that share is bounded.
-    lone = SURE * sizes.get(0, 0) / ((1 - RECALL) * max(sizes.get(1, 0), 1))
-    wanted = {0: max(most, lone), 1: most, 2: most}
+    wanted = dict.fromkeys((0, 1, 2), most)
     steps = 1 << 30
     drawn = F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(steps))
     share = {k: steps * min(1.0, wanted[k] / n) for k, n in sizes.items()}
@@ -489,6 +513,7 @@ def _audited(nodes: DataFrame, counts: DataFrame, threshold: float, most: int) -
     }
     shares = [seen[k].whole / seen[k].linked for k in (1, 2) if k in seen and seen[k].linked]
     if 0 in seen and seen[0].linked:
+        # A lone vector that has a link weighs against the vectors of small groups.
         missed = sizes[0] * seen[0].linked / seen[0].asked
         shares.append(sizes.get(1, 0) / (sizes.get(1, 0) + missed))
     return min(shares, default=1.0), found
@@ -499,6 +524,38 @@ def audit(nodes: DataFrame, counts: DataFrame, threshold: float, most: int = AUD
     return _audited(nodes, counts, threshold, most)[0]
 
 
+def planted(nodes: DataFrame, threshold: float, most: int = PLANTED) -> DataFrame:
+    """Partners (node below 0) of about `most` nodes of two or more dimensions, a little above the threshold."""
+    steps, size = 1 << 30, nodes.count()
+    drawn = F.pmod(F.xxhash64(F.lit("planted"), "node"), F.lit(steps)) < int(steps * min(1.0, most / max(size, 1)))
+    near = threshold + ABOVE * (1 - threshold)
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = []
+            for node, vector in zip(batch.column(0).to_pylist(), batch.column(3)):
+                x = unit(pa.array([vector.as_py()], batch.schema.field(3).type))[0]
+                side = np.random.default_rng(node).standard_normal(len(x))
+                side -= x * (side @ x)
+                vectors.append(near * x + np.sqrt(1 - near * near) * side / np.sqrt(side @ side))
+            node = pa.array(-batch.column(0).to_numpy() - 1)
+            yield pa.RecordBatch.from_arrays([node, batch.column(1), batch.column(2), pa.array(vectors, batch.schema.field(3).type)], names=batch.schema.names)
+
+    rows = nodes.filter(drawn & (F.col("dim") > 1)).select("node", "label", "dim", "vector")
+    return rows.mapInArrow(turn, rows.schema)
+
+
+def planted_recall(partners: DataFrame, lists: DataFrame, threshold: float) -> float:
+    """Share of the planted partners whose list holds the vector they belong to, or is full of links."""
+    near = lists.filter((F.col("u") < 0) & (F.col("sim") >= threshold))
+    by_partner = near.groupBy(F.col("u").alias("node")).agg(
+        F.max((F.col("v") == -F.col("u") - 1).cast("int")).alias("own"), F.count(F.lit(1)).alias("n")
+    )
+    met = (F.col("own") == 1) | (F.col("n") >= LIST)
+    asked, found = partners.join(by_partner, "node", "left").agg(F.count(F.lit(1)), F.count(F.when(met, 1))).first()
+    return found / asked if asked else 1.0
+
+
 def near_duplicates(
     vectors: DataFrame,
     threshold: float = THRESHOLD,
@@ -506,7 +563,7 @@ def near_duplicates(
     vector_column: str = "embedding",
     label_column: str = "label",
 ) -> DataFrame:
-    """Per row: vec_id, n_links, component_id (smallest id of the component), kept."""
+    """Per row: vec_id, n_links, component_id (smallest id of the component), kept, and the audited recall of the search."""
     rows = frozen(
         vectors.select(
             F.col(id_column).cast("long").alias("vec_id"),
@@ -521,9 +578,12 @@ def near_duplicates(
         .agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least_id"))
         .withColumns({"node": F.monotonically_increasing_id(), "dim": F.size("vector")})
     )
+    partners = frozen(planted(nodes, threshold))
+    searched = frozen(nodes.select("node", "label", "dim", "vector").unionByName(partners))
+    size = searched.count()
     lists, counts, roots, spare = None, None, None, []
     for repeat in range(MOST_REPEATS):
-        keyed = frozen(_order_keys(nodes, repeat * ORDERS))
+        keyed = frozen(_order_keys(searched, repeat * ORDERS))
         pairs = None if lists is None else lists.select("u", "v", "sim")
         for order in range(ORDERS):
             by = ["label", "dim", "key", "node"]
@@ -537,26 +597,27 @@ def near_duplicates(
             found = in_order.mapInArrow(_adjacent, "u long, v long, sim double")
             pairs = found if pairs is None else pairs.unionByName(found)
         pairs = frozen(pairs)
-        linked = pairs.filter((F.col("sim") >= threshold) & (F.col("u") < F.col("v"))).select("u", "v")
+        linked = pairs.filter((F.col("sim") >= threshold) & (F.col("u") >= 0) & (F.col("u") < F.col("v"))).select("u", "v")
         spare.append(linked.mapInArrow(_forest, "a long, b long"))
         lists = frozen(_best(pairs))
         for _ in range(ROUNDS):
-            improved, links = _descend(nodes, lists, threshold)
+            improved, links = _descend(searched, lists, threshold, size)
             lists = frozen(improved)
             spare.append(links)
         spare = [frozen(reduce(DataFrame.unionByName, spare).distinct())]
         roots, counts = _links(nodes, lists, spare[0], threshold)
         recall, found = _audited(nodes, counts, threshold, AUDIT)
-        if recall < RECALL and repeat == MOST_REPEATS - 1:
+        reached = min(recall, planted_recall(partners, lists, threshold))
+        if reached < RECALL and repeat == MOST_REPEATS - 1:
             found = _all_links(nodes, nodes, threshold)
-        if recall < 1:
+        if recall < 1 or (reached < RECALL and repeat == MOST_REPEATS - 1):
             pairs = lists.select("u", "v", "sim").unionByName(found.filter("sim IS NOT NULL").select("u", "v", "sim"))
             lists = frozen(_best(pairs))
             more = found.filter("v IS NOT NULL").select(F.col("u").alias("a"), F.col("v").alias("b"))
             spare = [frozen(spare[0].unionByName(more).distinct())]
-        if recall >= RECALL or repeat == MOST_REPEATS - 1:
+        if reached >= RECALL or repeat == MOST_REPEATS - 1:
             break
-    if recall < 1:
+    if recall < 1 or reached < RECALL:
         roots, counts = _links(nodes, lists, spare[0], threshold)
     smallest = (
         nodes.join(roots, "node", "left")
@@ -580,6 +641,5 @@ def near_duplicates(
     alone = rows.filter(~fit).select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
     )
-    return linked.unionByName(alone).withColumn(
-        "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))
-    )
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))
+    return linked.unionByName(alone).withColumns({"kept": kept, "recall": F.lit(float(reached))})

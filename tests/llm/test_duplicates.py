@@ -285,3 +285,39 @@ def test_no_vectors(spark, vectors):
     assert nn_descent.near_duplicates(df.limit(0)).count() == 0
     alone = nn_descent.near_duplicates(df.filter("label IS NULL"))
     assert alone.count() == 2 and alone.filter("n_links <> 0 OR NOT kept").count() == 0
+
+
+def test_rare_pairs_are_found_without_comparing_all(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    base = np.float32(rng.standard_normal((1500, 32)))
+    rows = [(i, [float(v) for v in x], 0) for i, x in enumerate(base)]
+    rows += [(2000 + i, [float(v) for v in np.float32(x + 0.19 * rng.standard_normal(32))], 0) for i, x in enumerate(base[:60])]
+    usable, links = expected_links(rows)
+    assert len(links) > 20
+    asked, plain = [], nn_descent._all_links
+    monkeypatch.setattr(nn_descent, "AUDIT", 100)
+
+    def counted(nodes, some, threshold):
+        asked.append(some.count())
+        return plain(nodes, some, threshold)
+
+    monkeypatch.setattr(nn_descent, "_all_links", counted)
+    got = {r.vec_id: r for r in nn_descent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    degree = Counter(n for x in links for n in x)
+    for i, root in smallest(usable, links).items():
+        assert (got[i].component_id, got[i].n_links) == (root, degree[i])
+    assert got[0].recall >= nn_descent.RECALL and max(asked) < 400
+
+
+def test_planted_partners_are_just_above_the_threshold(spark):
+    rng = np.random.default_rng(22)
+    rows = [(i, [float(v) for v in rng.standard_normal(12)], i % 3) for i in range(50)] + [(60, [2.0], 0)]
+    nodes = spark.createDataFrame(rows, "node long, vector array<double>, label int").withColumn("dim", F.size("vector"))
+    partners = {r.node: r for r in nn_descent.planted(nodes, 0.98).collect()}
+    assert set(partners) == {-i - 1 for i in range(50)}
+    for i, vector, label in rows[:50]:
+        x, y = np.array(vector), np.array(partners[-i - 1].vector)
+        assert 0.98 < x @ y / np.sqrt((x @ x) * (y @ y)) < 0.981 and partners[-i - 1].label == label
+    lists = spark.createDataFrame([(-1, 0, 0.98, 0.0), (-2, 5, 0.99, 0.0)], "u long, v long, sim double, least double")
+    known = nodes.filter("node < 2").select((-F.col("node") - 1).alias("node"))
+    assert nn_descent.planted_recall(known, lists, 0.98) == 0.5
