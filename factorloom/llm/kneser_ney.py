@@ -17,7 +17,8 @@ down to the uniform 1 / (V + 1) over the training words and one unknown word.
 
 Tokens are the words with A-Z lowered and one end per text.  A null or empty text is its end alone.
 Repeated rows count as often as they occur; a null id is in the training part; other columns are not
-read.  Without training rows every token has probability 1 / (V + 1) = 1.
+read.  A very long text is taken alone and scored whole.  Without training rows every token has
+probability 1 / (V + 1) = 1.
 """
 
 from __future__ import annotations

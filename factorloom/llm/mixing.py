@@ -9,7 +9,8 @@ permutation say how often each block is taken.
 
 Only hashes of row contents and indexes decide, so reruns agree.  A null source is a source of its
 own and comes last.  A null text has no words.  Rows without words are kept with `taken` 0.  Repeated
-rows count as often as they occur.  Other columns are not read.
+rows count as often as they occur.  A very long text is as many blocks as its words fill.  Other columns
+are not read.
 """
 
 from __future__ import annotations

@@ -23,7 +23,7 @@ label.  Links that an audit finds are kept; the recall before that is returned i
 
 Vectors that are null, empty, zero or hold null or non-finite components, rows without a label and
 rows without an id link with nothing.  Equal vectors of a label are compared once and count as often
-as they occur.  Other columns are not read.
+as they occur.  Very long vectors only make the rows of a block larger.  Other columns are not read.
 """
 
 from __future__ import annotations

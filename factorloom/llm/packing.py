@@ -6,7 +6,8 @@ is the record of the part of a document that lies in one window, so a window tha
 share needs no exchange of tokens.
 
 Null or empty texts hold the end id alone.  Repeated rows are packed as often as they occur.  Other
-columns are not read.  The order of documents is that of the partitions that Spark reads.
+columns are not read.  A very long text is encoded alone, whole, and spans as many windows as it needs.
+The order of documents is that of the partitions that Spark reads.
 """
 
 from __future__ import annotations

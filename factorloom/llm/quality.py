@@ -6,7 +6,7 @@ sum over its words and pairs, divided by its number of words.  It is kept at THR
 
 A null or empty text has no words and fails the base rules.  Without a trusted document there is no
 ratio: the score is null and the base rules alone decide.  Labels are matched on the id; repeated
-rows count as often as they occur; other columns pass through.
+rows count as often as they occur; a very long text is judged whole, as one row; other columns pass through.
 """
 
 from __future__ import annotations

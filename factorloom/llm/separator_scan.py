@@ -3,6 +3,11 @@
 Files are cut into fixed blocks, whatever lies at the cuts.  One task per block compares the whole
 block with the end id at once; a prefix scan over the blocks' counts and last separators then gives
 each document its number and stitches the ones that cross blocks.
+
+Texts are written with special strings as ordinary text, so that only the end of a document gives an end
+id.  A null or empty text is its end id alone; a null id stays null; repeated rows are documents of their
+own; a very long text is encoded alone and its ids span as many blocks as they need; an empty table
+writes no file.  Other columns are not read.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ MOST_POSITIVE and MOST_UNLABELLED texts, taken by a hash of the id; every text i
 
 A null or empty text has no features and gets the score of the intercept.  Without a confirmed toxic
 text every score is 0.  A null id is never held out nor labelled.  Repeated rows count once in the
-sample and are scored each.  Other columns pass through.
+sample and are scored each.  A very long text is taken alone and scored whole.  Other columns pass through.
 """
 
 from __future__ import annotations
@@ -106,7 +106,8 @@ def sample(
     toxic, labelled = usable.agg(F.sum((F.col("toxic") == 1).cast("long")), F.count(F.lit(1))).first()
     toxic = toxic or 0
     prior = toxic / labelled if labelled else 0.0
-    steps = 1 << 20
+    # So fine that no number of documents rounds a share to nothing.
+    steps = 1 << 62
     dealt = lambda c: F.pmod(F.xxhash64(F.lit("toxicity sample"), c), F.lit(steps))
     positive = (
         usable.filter("toxic = 1")
