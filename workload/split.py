@@ -28,6 +28,11 @@ OPERATORS = (
     "rank_turnover",
     "pairwise_spearman",
     "ic_by_month",
+    "lag_diagnostics",
+    "daily_ic",
+    "paired_products",
+    "discovery_curve",
+    "band_status",
 )
 
 
