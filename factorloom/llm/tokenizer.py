@@ -2,7 +2,7 @@
 
 Neither public vocabulary lets a token cross the place before a single space or line feed between
 two visible characters, nor the place between a letter and ASCII punctuation, so a text may be cut
-there and its parts encoded apart.  A special string of the vocabulary is one token wherever it stands
+there and its parts encoded apart.  Parts are told apart by 64-bit hashes.  A special string of the vocabulary is one token wherever it stands
 in a text, as the library has it by default; no cut is made in or beside it.  Parts repeat a lot;
 their ids are kept in a cache of at most CACHE_BYTES per worker, which has no influence on the result.
 """
@@ -10,14 +10,14 @@ their ids are kept in a cache of at most CACHE_BYTES per worker, which has no in
 from __future__ import annotations
 
 import os
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 
 from .common import Texts, span_hashes, spread
 
-#: Bytes of cached parts and ids, dictionary entries included; a longer part is not kept.
-CACHE_BYTES, ENTRY_BYTES, LONGEST = 64 << 20, 200, 256
+#: Bytes of the cache; beyond them only the last batch's parts of up to LONGEST bytes stay.
+CACHE_BYTES, LONGEST = 48 << 20, 256
 _loaded: dict[tuple[str, bool], "PartEncoder"] = {}
 
 
@@ -52,34 +52,35 @@ class PartEncoder:
         self.clear()
 
     def clear(self) -> None:
-        # Parts seen lately, and those of the time before.
-        self.recent: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.size = 0
-
-    def _ids(self, parts: list[bytes]) -> list[bytes]:
-        """Ids of every part as little-endian uint32."""
-        found = list(map(self.recent.get, parts))
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        if not missing:
-            return found
-        for i in missing:
-            found[i] = self.older.get(parts[i])
-        unknown = [i for i in missing if found[i] is None]
-        encoded = self.tokenizer.encode_batch_fast([parts[i].decode() for i in unknown], add_special_tokens=False)
+        # Hashes of the parts in order; where each one's ids begin, and how many they are.
+        self.keys = np.zeros(0, np.uint64)
+        self.starts = np.zeros(0, np.int64)
+        self.lengths = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    @property
+    def nbytes(self) -> int:
+        return self.keys.nbytes + self.starts.nbytes + self.lengths.nbytes + self.ids.nbytes
+
+    def _learn(self, keys: np.ndarray, parts: list[str]) -> None:
+        encoded = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
         lists = [e.ids for e in encoded]
-        ends = list(accumulate(map(len, lists)))
-        flat = np.fromiter(chain.from_iterable(lists), "<u4", ends[-1] if ends else 0).tobytes()
-        for i, begin, end in zip(unknown, [0, *ends], ends):
-            found[i] = flat[4 * begin : 4 * end]
-        kept = {parts[i]: found[i] for i in missing if len(parts[i]) <= LONGEST}
-        size = sum(map(len, kept)) + sum(map(len, kept.values())) + ENTRY_BYTES * len(kept)
-        if size <= CACHE_BYTES // 2:
-            if self.size + size > CACHE_BYTES // 2:
-                self.recent, self.older, self.size = {}, self.recent, 0
-            self.recent.update(kept)
-            self.size += size
-        return found
+        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum()))
+        begin = len(self.ids) + np.cumsum(lengths) - lengths
+        # Two sorted lists, which the stable sort merges.
+        keys = np.concatenate((self.keys, keys))
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.starts = np.concatenate((self.starts, begin))[order]
+        self.lengths = np.concatenate((self.lengths, lengths))[order]
+        self.ids = np.concatenate((self.ids, flat))
+
+    def _keep(self, at: np.ndarray) -> None:
+        """Forget all parts but those at these places."""
+        lengths = self.lengths[at]
+        self.ids = self.ids[spread(self.starts[at], lengths)]
+        self.keys, self.lengths, self.starts = self.keys[at], lengths, np.cumsum(lengths) - lengths
 
     def encode(self, texts: Texts, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row and the n + 1 borders between texts; `end` closes each text."""
@@ -88,12 +89,22 @@ class PartEncoder:
         starts = _cuts(buf, offsets, _places(whole, self.special))
         ends = np.append(starts[1:], len(buf))
         owner = np.searchsorted(offsets, starts, "right") - 1
-        _, first, which = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        found = self._ids([whole[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())])
-        own = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        flat = np.frombuffer(b"".join(found), "<u4")
-        lengths = own[which]
-        ids = flat[spread((np.cumsum(own) - own)[which], lengths)]
+        keys, first, which = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        if len(self.keys):
+            known = self.keys[np.minimum(at, len(self.keys) - 1)] == keys
+        new = np.flatnonzero(~known)
+        if len(new):
+            own = first[new]
+            self._learn(keys[new], [whole[s:e].decode() for s, e in zip(starts[own].tolist(), ends[own].tolist())])
+            at = np.searchsorted(self.keys, keys)
+        lengths = self.lengths[at][which]
+        ids = self.ids[spread(self.starts[at][which], lengths)]
+        if self.nbytes > CACHE_BYTES:
+            self._keep(at[(ends - starts)[first] <= LONGEST])
+            if self.nbytes > CACHE_BYTES:
+                self.clear()
         count = np.bincount(owner, weights=lengths, minlength=len(texts)).astype(np.int64)
         borders = np.concatenate(([0], np.cumsum(count)))
         if end is None:
