@@ -4,7 +4,8 @@ Level 1 lists the 64-bit hashes of the training words in order; a word's place i
 lists the k-grams as numbers `(place of the first k - 1 words in level k - 1) << 32 | id of the last
 word`, again in order.  A level is cut by key range into shards, each an array file in the shared
 folder next to the k-grams' counts and their contexts' totals and back-off weights; workers map the
-files into memory and look up the sorted queries of a batch by binary search.
+files into memory and look up the sorted queries of a batch by binary search.  Counts take a byte each, and
+those of 255 and more are listed whole beside them.
 
 Counting merges sorted runs: a task sends each shard one compressed run per few million tokens.
 Counts of level k < order are the numbers of different words seen before the k-gram (the plain
@@ -35,11 +36,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import Texts, filesystem, frozen, lowered, shared_folder, span_hashes, spread, text_batches
 
-ORDER = 2
+ORDER = 3
 #: Hashes that stand for the start and the end of a text.
 START, END = np.uint64(0), np.uint64(1)
 RUN_TOKENS = 4_000_000
 LOW = np.uint64(0xFFFFFFFF)
+ESCAPE = 255
+#: Stands for the type of a file of `save_counts`.
+COUNTS = "counts"
 SHIFT = np.uint64(32)
 
 
@@ -68,6 +72,24 @@ def mapped(uri: str, dtype: str) -> np.ndarray:
         return np.memmap(local.name, dtype, "r")
 
 
+def save_counts(uri: str, counts: np.ndarray) -> None:
+    """One byte a count; those of ESCAPE and more lie whole in a second file, with their places."""
+    save(uri, np.minimum(counts, ESCAPE).astype(np.uint8))
+    large = np.flatnonzero(counts >= ESCAPE)
+    save(uri + ".large", np.stack((large.astype("<u8"), counts[large].astype("<u8"))))
+
+
+def counts_of(uri: str, places: np.ndarray | slice) -> np.ndarray:
+    """The counts at some places of a file of `save_counts`, as 64-bit numbers."""
+    out = np.asarray(_array(uri, "u1")[places]).astype(np.uint64)
+    large = np.flatnonzero(out == ESCAPE)
+    if len(large):
+        at, values = _array(uri + ".large", "<u8").reshape(2, -1)
+        own = large + (places.start or 0) if isinstance(places, slice) else places[large]
+        out[large] = values[np.searchsorted(at, own.astype(np.uint64))]
+    return out
+
+
 _mapped: dict[tuple[str, str], np.ndarray] = {}
 
 
@@ -111,15 +133,14 @@ class Level:
 
     def values(self, files: list[str], dtype: str, places: np.ndarray) -> np.ndarray:
         """Entries of an array that runs along the level, 0 for place -1."""
-        out = np.zeros(len(places), dtype)
         distinct, which = np.unique(places, return_inverse=True)
-        got = np.zeros(len(distinct), dtype)
+        got = np.zeros(len(distinct), np.uint64 if dtype == COUNTS else dtype)
         shard = np.searchsorted(self.first_places, distinct, "right") - 1
         for s in np.unique(shard[distinct >= 0]).tolist():
             own = (shard == s) & (distinct >= 0)
-            got[own] = _array(files[s], dtype)[distinct[own] - self.first_places[s]]
-        out[:] = got[which]
-        return out
+            at = distinct[own] - self.first_places[s]
+            got[own] = counts_of(files[s], at) if dtype == COUNTS else _array(files[s], dtype)[at]
+        return got[which]
 
 
 # --- sorted runs ------------------------------------------------------------------------------
@@ -274,7 +295,7 @@ def _merged(runs: DataFrame, folder: str, top: bool) -> list:
         keys, counts = merge_runs(table["run"].to_pylist())
         stem = f"{folder}/{uuid.uuid4().hex}"
         save(stem + ".keys", keys)
-        save(stem + ".counts", np.minimum(counts, LOW).astype("<u4"))
+        save_counts(stem + ".counts", counts)
         if top and keys[0] == START:  # the start mark is no token
             keep = keys != START
             return _stats(shard, stem, len(keys), keys[0], counts[keep])
@@ -319,20 +340,20 @@ class Model:
         begins[borders[:-1]] = True
         places = chain(self.levels, hashes, borders, len(self.levels))
         first = self.levels[0]
-        plain = first.values([s + ".counts" for s in first.stems], "<u4", places[0])
+        plain = first.values([s + ".counts" for s in first.stems], COUNTS, places[0])
         p = np.full(len(hashes), self.weight / (self.types + 1))
         if self.total:
-            adjusted = first.values(first.adjusted, "<u4", places[0]).astype(float)
+            adjusted = first.values(first.adjusted, COUNTS, places[0]).astype(float)
             p += (adjusted - _discount(adjusted, first.discounts)) / self.total
         for k, level in enumerate(self.levels[1:], 1):
             context = np.concatenate(([-1], places[k - 1][:-1]))
             context[begins] = -1
             known = context >= 0
             below = self.levels[k - 1]
-            total = below.values([c + ".total" for c in level.contexts], "<f8", np.where(known, context, -1))
+            total = below.values([c + ".total" for c in level.contexts], COUNTS, np.where(known, context, -1)).astype(float)
             known &= total > 0
             weight = below.values([c + ".weight" for c in level.contexts], "<f4", np.where(known, context, -1))
-            counts = level.values(level.adjusted, "<u4", places[k]).astype(float)
+            counts = level.values(level.adjusted, COUNTS, places[k]).astype(float)
             own = (counts - _discount(counts, level.discounts)) / np.where(known, total, 1)
             p = np.where(known, own + weight * p, p)
         token = ~begins
@@ -418,12 +439,12 @@ def _continuations(spark, levels: list[Level], k: int, folder: str) -> list:
         dense = np.zeros(int(sizes[shard]), np.uint64)
         dense[places.astype(np.int64) - lower.first_places[shard]] = counts
         # A gram that starts a text has nothing before it: its plain count.
-        counted = np.asarray(_array(plain[shard], "<u4"))
+        counted = counts_of(plain[shard], slice(None))
         dense = np.where(dense > 0, dense, counted)
         if k == 1:
             dense[np.asarray(_array(lower.stems[shard] + ".keys", "<u8")) == START] = 0
         stem = f"{folder}/{uuid.uuid4().hex}"
-        save(stem + ".adjusted", dense.astype("<u4"))
+        save_counts(stem + ".adjusted", dense)
         return _stats(shard, stem, len(dense), 0, dense)
 
     runs = _each_shard(spark, upper, work, "shard int, run binary")
@@ -446,13 +467,13 @@ def _weights(spark, levels: list[Level], k: int, folder: str) -> None:
         while s < len(upper.stems) and upper.first_keys[s] < last:
             keys = _array(upper.stems[s] + ".keys", "<u8")
             a, b = np.searchsorted(keys, [first, last])
-            counts = np.asarray(_array(upper.adjusted[s], "<u4")[a:b]).astype(float)
+            counts = counts_of(upper.adjusted[s], slice(int(a), int(b))).astype(float)
             context = (np.asarray(keys[a:b]) >> SHIFT).astype(np.int64) - lo
             total += np.bincount(context, weights=counts, minlength=hi - lo)
             weight += np.bincount(context, weights=_discount(counts, upper.discounts), minlength=hi - lo)
             s += 1
         stem = f"{folder}/{uuid.uuid4().hex}"
-        save(stem + ".total", total.astype("<f8"))
+        save_counts(stem + ".total", total.astype(np.uint64))
         save(stem + ".weight", np.divide(weight, total, out=np.zeros_like(weight), where=total > 0).astype("<f4"))
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "stem": [stem]})
 
