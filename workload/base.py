@@ -45,6 +45,11 @@ def r6(c: Column | str, digits: int = 6) -> Column:
     return F.when(rounded == 0, F.lit(0.0)).otherwise(rounded)
 
 
+def ln(c: Column) -> Column:
+    """SQL's ln: minus infinity at 0 and NaN below it, where Spark's is null."""
+    return F.when(c > 0, F.ln(c)).when(c == 0, F.lit(float("-inf"))).when(c < 0, F.lit(float("nan")))
+
+
 def q6(expr: str, name: str | None = None, digits: int = 6) -> str:
     rounded = f"round(CAST({expr} AS DOUBLE), {digits})"
     out = f"CASE WHEN {rounded} = 0 THEN CAST(0 AS DOUBLE) ELSE {rounded} END"
