@@ -1,12 +1,15 @@
 """Gradient-boosted regression trees, grown leaf by leaf from gradient histograms.
 
-Columns are binned once at exact quantiles, and the rows stored as blocks of bin numbers.  A pass over
-the blocks sums, for some leaves, the gradients and rows of every (column, bin): per task first, then per
-cell over the tasks, so only leaves x columns x bins sums move, whatever the number of rows.  The driver
+Columns are binned once at exact quantiles.  Rows with the same bins share every leaf and so every score;
+of their gradients only the sum counts, which their number and the sum of their labels give exactly.  So
+the rows are stored as blocks of distinct bin numbers with these two sums: with few columns a bounded
+number of them, and never more than rows.  A pass over the blocks sums, for some leaves, the gradients
+and rows of every (column, bin): per task first, then per cell over the tasks, so only leaves x columns x
+bins sums move, whatever the number of rows.  The driver
 holds nothing else than these sums and the trees.  A tree always splits its leaf of largest gain next;
 one pass serves all open leaves at once (the children of each leaf's best split), so a tree takes about
-as many passes as it is deep, not as it has leaves.  Gradients are rounded to whole numbers of a fixed step before they are
-summed, so that the trees do not depend on partitions, task order or repeated tasks.
+as many passes as it is deep, not as it has leaves.  Labels and scores are rounded to whole numbers of a fixed step before they
+are summed, so that the trees do not depend on partitions, task order or repeated tasks.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .blocks import frozen
 from .radix import pooled_quantiles
 
-#: Rows of a block; gradients as whole numbers up to 2^GRAIN, so that a block's sums are exact doubles.
+#: Rows of a block; labels as whole numbers up to 2^GRAIN, so that a block's sums are exact doubles.
 BLOCK, GRAIN = 1 << 16, 36
 #: Rounds after which the blocks are written again with the trees so far added up.
 REFRESH = 10
@@ -127,48 +130,90 @@ def _unpacked(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, n
         yield np.frombuffer(bins, np.uint8).reshape(-1, width), np.frombuffer(label), np.frombuffer(score)
 
 
+def _combined(width: int, low: float, step: float):
+    """Task function: blocks of rows to distinct bin numbers, their rows and their labels' sum in steps above `low`, in two parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bins, label, _ in _unpacked(batch, width):
+                known, code = np.unique(bins.view(np.dtype((np.void, width))).ravel(), return_inverse=True)
+                steps = np.rint((label - low) / step).astype(np.int64)
+                high, rest = (np.bincount(code, part, len(known)).astype(np.int64) for part in (steps >> 30, steps & _LOW))
+                columns = [pa.array([k.tobytes() for k in known], pa.binary()), np.bincount(code, minlength=len(known)), high, rest]
+                yield pa.RecordBatch.from_arrays([columns[0], *[pa.array(c, pa.int64()) for c in columns[1:]]], names=["bins", "n", "high", "low"])
+
+    return run
+
+
+def _stacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task function: rows (bins, n, high, low) as blocks with a score of 0."""
+    held, rows = [], 0
+
+    def block() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        cells = [b"".join(table["bins"].to_pylist()), *[table[c].to_numpy().astype(np.int64).tobytes() for c in ("n", "high", "low")], np.zeros(rows).tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names=["bins", "n", "high", "low", "score"])
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(at, BLOCK)
+            if rows and rows + part.num_rows > BLOCK:
+                yield block()
+                held, rows = [], 0
+            held.append(part)
+            rows += part.num_rows
+    if rows:
+        yield block()
+
+
+def _cells(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    for bins, *sums, score in zip(*[c.to_pylist() for c in batch.columns]):
+        yield np.frombuffer(bins, np.uint8).reshape(-1, width), *[np.frombuffer(x, np.int64) for x in sums], np.frombuffer(score)
+
+
 def _added(trees: Sequence[Tree], width: int):
     """Task function: blocks with the trees' values added to the scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bins, label, score in _unpacked(batch, width):
+            for bins, *sums, score in _cells(batch, width):
                 for tree in trees:
                     score = score + np.array(tree.values)[tree.leaves(bins)]
-                cells = [bins.tobytes(), label.tobytes(), score.tobytes()]
+                cells = [bins.tobytes(), *[x.tobytes() for x in sums], score.tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names=batch.schema.names)
 
     return run
 
 
-def _sums(trees: Sequence[Tree], open_: Tree, wanted: Sequence[tuple[int, int, int]], width: int, bins_: int, initial: float, step: float):
-    """Task function: gradient and row sums of (wanted set, column, bin).
+def _sums(trees: Sequence[Tree], open_: Tree, wanted: Sequence[tuple[int, int, int]], width: int, bins_: int, base: float, step: float):
+    """Task function: gradient and row sums of (wanted set, column, bin); `base` is the first score above the lowest label.
 
     A wanted set is (leaf, column, bin): the rows of a leaf of the open tree up to a bin; column -1: all.
     """
     shape = (len(wanted), width, bins_)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gradient, rows = np.zeros(shape, np.int64), np.zeros(shape, np.int64)
+        # In two parts, whose sums stay exact up to 2^33 rows.
+        high, low, rows = (np.zeros(shape, np.int64) for _ in range(3))
         for batch in batches:
-            for bins, label, score in _unpacked(batch, width):
+            for bins, n, label_high, label_low, score in _cells(batch, width):
                 for tree in trees:
                     score = score + np.array(tree.values)[tree.leaves(bins)]
-                g = np.rint((initial + score - label) / step)
+                steps = np.rint((base + score) / step).astype(np.int64)
+                g_high, g_low = n * (steps >> 30) - label_high, n * (steps & _LOW) - label_low
                 leaf = open_.leaves(bins)
                 for k, (own, column, at) in enumerate(wanted):
                     inside = leaf == own
                     if column >= 0:
                         inside &= bins[:, column] <= at
-                    part, weight = bins[inside], g[inside]
+                    inside = np.flatnonzero(inside)
                     for j in range(width):
-                        gradient[k, j] += np.bincount(part[:, j], weight, bins_).astype(np.int64)
-                        rows[k, j] += np.bincount(part[:, j], minlength=bins_)
+                        at_bin = bins[inside, j]
+                        for total, part in ((high, g_high), (low, g_low), (rows, n)):
+                            np.add.at(total[k, j], at_bin, part[inside])
         cells = np.flatnonzero(rows)
         if len(cells):
-            g = gradient.ravel()[cells]
-            # In two parts, whose sums stay exact over any number of tasks.
-            columns = [cells, g >> 30, g & _LOW, rows.ravel()[cells]]
+            columns = [cells, *[x.ravel()[cells] for x in (high, low, rows)]]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["cell", "high", "low", "n"])
 
     return run
@@ -210,18 +255,22 @@ def fit(data: DataFrame, columns: Sequence[str], label: str, settings: TreeSetti
     size, initial, low, high = stored.agg(F.count(F.lit(1)), F.avg("__label"), F.min("__label"), F.max("__label")).first()
     if not size:
         raise ValueError("no rows to fit")
+    initial = min(max(initial, low), high)  # the mean of equal labels may miss them by rounding
     points = [i / settings.bins for i in range(1, settings.bins)]
     ends = pooled_quantiles(stored.select(*columns), columns, points, written=True)
     cuts = [np.unique(ends[c]) for c in columns]
-    # Scores stay within the labels' range, so gradients stay within it as well.
+    # Labels are whole numbers of steps above the lowest; scores stay within the labels' range.
     step = max(high - low, 1e-300) / float(1 << GRAIN)
-    blocks = frozen(stored.mapInArrow(_pack(cuts), "bins binary, label binary, score binary"))
+    packed = stored.mapInArrow(_pack(cuts), "bins binary, label binary, score binary")
+    distinct = packed.mapInArrow(_combined(width, low, step), "bins binary, n long, high long, low long")
+    distinct = distinct.groupBy("bins").agg(*[F.sum(c).alias(c) for c in ("n", "high", "low")])
+    blocks = frozen(distinct.mapInArrow(_stacked, "bins binary, n binary, high binary, low binary, score binary"))
     done: list[Tree] = []
     fresh: list[Tree] = []
 
     def summed(open_: Tree, wanted: Sequence[tuple[int, int, int]]) -> list[_Leaf]:
         shape = (len(wanted), width, settings.bins)
-        task = _sums(tuple(fresh), open_, wanted, width, settings.bins, initial, step)
+        task = _sums(tuple(fresh), open_, wanted, width, settings.bins, initial - low, step)
         cells = blocks.mapInArrow(task, "cell long, high long, low long, n long")
         table = cells.groupBy("cell").agg(F.sum("high").alias("high"), F.sum("low").alias("low"), F.sum("n").alias("n")).toArrow()
         cell, upper, lower, n = (table[c].to_numpy() for c in ("cell", "high", "low", "n"))

@@ -89,6 +89,24 @@ def test_blocks_of_several_batches(rows, monkeypatch):
     assert np.concatenate([label for _, label, _ in blocks]).tolist() == pdf["y"].tolist()
 
 
+def test_rows_with_the_same_bins_are_stored_once(rows, spark, monkeypatch):
+    """What a pass reads is bounded by the bins, not by the rows."""
+    _, df = rows
+    kept, written = [], boosting.frozen
+    monkeypatch.setattr(boosting, "frozen", lambda d: kept.append(written(d)) or kept[-1])
+    settings = TreeSettings(2, 0.3, 6, 12, 1.0, 4)
+    few = df.crossJoin(spark.range(20)).repartition(5)
+    model = fit(few, ["a", "c"], "y", settings)
+    blocks = [d for d in kept if "bins" in d.columns][-1].collect()
+    n = np.concatenate([np.frombuffer(b.n, np.int64) for b in blocks])
+    assert len(n) <= 4 * 4 and n.sum() == 500 * 20
+    x = few.select("a", "c", "y").toPandas()
+    want, sizes = direct(x[["a", "c"]].to_numpy(), x["y"].to_numpy(), settings, x[["a", "c"]].to_numpy())
+    assert [len(t.values) for t in model.trees] == sizes
+    got = spark.createDataFrame(x).select(model.expression([F.col("a"), F.col("c")]).alias("p")).toPandas()["p"]
+    np.testing.assert_allclose(got, want, atol=1e-8)
+
+
 def test_constant_labels_and_no_rows(rows):
     _, df = rows
     flat = fit(df.withColumn("y", F.lit(2.5)), ["a"], "y", TreeSettings(2))
