@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 LIMIT_CONF = "spark.factorloom.groupRows"
 DEFAULT_LIMIT = 4_000_000
+PART_CONF = "spark.factorloom.partRows"
+DEFAULT_PART = 1_000_000
 BROADCAST_CONF = "spark.factorloom.broadcastRows"
 DEFAULT_BROADCAST = 1_000_000
 
@@ -32,6 +34,23 @@ def group_limit(spark: SparkSession) -> int:
     return int(spark.conf.get(LIMIT_CONF, str(DEFAULT_LIMIT)))
 
 
+def parts_of(spark: SparkSession, rows: int) -> int:
+    """Partitions of a shuffle of so many rows, so that a task's memory does not follow the input."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-rows // int(spark.conf.get(PART_CONF, str(DEFAULT_PART)))))
+
+
+def dealt(df: DataFrame, rows: int, keys: Sequence[str]) -> DataFrame:
+    """Rows shuffled by `keys` into `parts_of` tasks, where the session's number of them would be too few.
+
+    An aggregation by the same keys then needs no shuffle of its own.  Small tables stay as they are, so
+    that they combine before the shuffle.
+    """
+    parts, spark = parts_of(df.sparkSession, rows), df.sparkSession
+    few = parts <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df if few else df.repartition(parts, *keys)
+
+
 def broadcast_limit(spark: SparkSession) -> int:
     return int(spark.conf.get(BROADCAST_CONF, str(DEFAULT_BROADCAST)))
 

@@ -256,3 +256,20 @@ def test_months_keep_gaps_and_coverage(spark):
     assert [r["sum"] for r in aligned] == [None] * 5  # February is empty, nothing is carried on
     with pytest.raises(ValueError):
         monthly.Reduction("x", "v", "median")
+
+
+def test_compaction_and_bars_take_as_many_tasks_as_rows_need(spark, configured, tmp_path):
+    from factorloom.sources import scan
+    from oracle import compare, connect
+    from workload import ORACLE, QUERIES
+    from workload.base import trade
+
+    folder = "/root/testdata/sf0.001"
+    configured(**{"spark.factorloom.partRows": 300})
+    assert trade(spark, folder).rdd.getNumPartitions() == 20
+    path = str(tmp_path / "bars")
+    scan.compact(spark.range(3000).repartition(3), path, ["id"])
+    files = spark.read.parquet(path).select("_metadata.file_path").distinct().count()
+    assert files == 10 and spark.read.parquet(path).count() == 3000
+    ok, text = compare(QUERIES["compact_round_trip"](spark, folder), connect(folder), ORACLE["compact_round_trip"])
+    assert ok, text
