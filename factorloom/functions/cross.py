@@ -52,18 +52,27 @@ def windowed(op: str, x: Column, params: tuple, time: str) -> Column:
 
 
 def joined(
-    df: DataFrame, op: str, x: str, params: tuple, time: str, out: str, times: int | None = None
+    df: DataFrame,
+    op: str,
+    x: str,
+    params: tuple,
+    time: str,
+    out: str,
+    times: int | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """The same values without a per-time window.
 
     `x` is an already masked column; `times` is the number of observation times, which bounds the
-    per-time statistics.
+    per-time statistics.  `source` holds the same rows, with `x` and the times, where statistics may be
+    read at a lower cost.
     """
+    source = df if source is None else source
     if op == "cs_rank":
-        ranked = attach_ranks(df, [time], x, "__rank", count="__n", split=True, groups=times)
+        ranked = attach_ranks(df, [time], x, "__rank", count="__n", split=True, groups=times, source=source)
         return ranked.withColumn(out, F.col("__rank") / F.col("__n")).drop("__rank", "__n")
     if op == "cs_winsorize":
-        ends = quantiles(df, [time], [x], params)
+        ends = quantiles(source, [time], [x], params)
         wide = ends.select(time, F.col(f"{x}_q").alias("__ends"))
         value = F.least(F.greatest(F.col(x), F.col("__ends")[0]), F.col("__ends")[1])
         return (
@@ -71,6 +80,6 @@ def joined(
             .withColumn(out, F.when(F.col(x).isNotNull(), value))
             .drop("__ends")
         )
-    stats = df.groupBy(time).agg(*[c.alias(f"__{k}") for k, c in _moments(F.col(x)).items()])
+    stats = source.groupBy(time).agg(*[c.alias(f"__{k}") for k, c in _moments(F.col(x)).items()])
     value = _from_moments(op, F.col(x), F.col("__mean"), F.col("__std"), F.col("__gross"))
     return join_stats(df, stats, [time], times).withColumn(out, value).drop("__mean", "__std", "__gross")

@@ -104,14 +104,24 @@ class Panel:
 
     @property
     def wide_times(self) -> bool:
-        return self._oversized((self.spec.time,))
+        key, limit = (self.spec.time,), group_limit(self.df.sparkSession)
+        if key not in self._measured:
+            within = self.rows is not None and self.rows <= limit
+            self._measured[key] = not within and self._times()[0] > limit
+        return self._measured[key]
+
+    def _times(self) -> tuple[int, int]:
+        """Rows of the largest time and number of times, from one pass."""
+        if "times" not in self._measured:
+            counts = self.df.groupBy(self.spec.time).count()
+            largest, times = counts.agg(F.max("count"), F.count(F.lit(1))).first()
+            self._measured["times"] = largest or 0, times
+        return self._measured["times"]
 
     @property
     def time_count(self) -> int:
         """Distinct observation times; only measured when cross-sections are oversized."""
-        if "times" not in self._measured:
-            self._measured["times"] = self.df.select(self.spec.time).distinct().count()
-        return self._measured["times"]
+        return self._times()[1]
 
     def over_history(
         self, back: int, ahead: int, compute: Callable[[DataFrame, Frames], DataFrame]
@@ -201,12 +211,15 @@ class _Stages:
             members = [n for n in self.nodes if self.phase[n] == phase]
             if not members:
                 continue
-            if phase % 2 == 0:
+            if phase % 2:
+                df = self._cross_section(df, members)
+            elif any(self._scope(n) in {"ts", "kernel"} for n in members):
                 df = self.panel.with_df(df).over_history(
                     self._reach(phase), 0, lambda d, f, m=members: self._history(d, f, m)
                 )
             else:
-                df = self._cross_section(df, members)
+                # No operator of the phase looks at other rows, so histories need neither size nor blocks.
+                df = self._history(df, Frames(self.spec.group, self.spec.order), members)
         results = {n: self._column(f).alias(n) for n, f in self.wanted.items()}
         kept = [c for c in kept if c not in results and c != "__pos"]
         return df.select(*kept, *results.values())
@@ -295,27 +308,30 @@ class _Stages:
             lagged = [n for n in nodes if self._scope(n) == "lagged"]
             if lagged:
                 df = self._lagged(df, lagged, split)
+            source = None
+            masked = {f"{self.nodes[n]}_in": self._eligible(n) for n in nodes if self._scope(n) == "cs"}
+            if split and masked:
+                # Counts, totals and the joins of a level read its rows in turn, so they are written once.
+                df = source = frozen(df.withColumns(masked))
             for node in nodes:
                 scope = self._scope(node)
                 if scope == "lagged":
                     continue
                 if scope == "cs":
-                    x = self._column(node.args[0])
-                    if spec.eligible:
-                        x = F.when(flag(F.col(spec.eligible)), x)
+                    own = f"{self.nodes[node]}_in"
                     if split or node.op == "cs_winsorize":
-                        masked = f"{self.nodes[node]}_in"
                         df = cross.joined(
-                            df.withColumn(masked, x),
+                            df if split else df.withColumn(own, masked[own]),
                             node.op,
-                            masked,
+                            own,
                             node.params,
                             spec.time,
                             self.nodes[node],
                             self.panel.time_count,
+                            source,
                         )
                     else:
-                        plain[self.nodes[node]] = cross.windowed(node.op, x, node.params, spec.time)
+                        plain[self.nodes[node]] = cross.windowed(node.op, masked[own], node.params, spec.time)
                 elif scope == "cs_kernel":
                     df = self._cross_kernel(df, node)
                 elif scope == "cs_reduction":
@@ -326,6 +342,11 @@ class _Stages:
                 df = df.withColumns(plain)
         return df
 
+    def _eligible(self, node: Feature) -> Column:
+        """The argument of a cross-sectional operator, for eligible rows."""
+        x = self._column(node.args[0])
+        return F.when(flag(F.col(self.spec.eligible)), x) if self.spec.eligible else x
+
     def _lagged(self, df: DataFrame, nodes: list[Feature], split: bool) -> DataFrame:
         """Portfolio returns per time.  Each reads the panel several times, so it is materialised."""
         source, spec = frozen(df), self.spec

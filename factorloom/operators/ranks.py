@@ -31,11 +31,14 @@ def attach_ranks(
     count: str | None = None,
     split: bool = False,
     groups: int | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Append the average rank of `value` inside `keys` (null for null) and optionally its count.
 
-    `groups` is the number of distinct keys, when known.
+    `groups` is the number of distinct keys, when known.  The split form counts in `source`, the same
+    rows where they cost less to read.
     """
+    source = df if source is None else source
     x = F.col(value)
     if not split:
         w = Window.partitionBy(*keys).orderBy(x.asc_nulls_last())
@@ -48,12 +51,12 @@ def attach_ranks(
     if not keys:
         pooled = df.withColumn("__pool", F.lit(0))
         return attach_ranks(pooled, ["__pool"], value, out, count, True, 1).drop("__pool")
-    counts = cumulative_counts(df, keys, value)
+    counts = cumulative_counts(source, keys, value)
     table = counts.select(
         *keys, value, (F.col("__upto") - (F.col("__n") - 1) / 2).alias(out)
     )
     ranked = join_stats(df, table, [*keys, value])
     if count:
-        totals = df.groupBy(*keys).agg(F.count(value).alias(count))
+        totals = source.groupBy(*keys).agg(F.count(value).alias(count))
         ranked = join_stats(ranked, totals, keys, groups)
     return ranked

@@ -130,3 +130,22 @@ def test_alternating_phases_on_a_hot_group(spark, configured, group):
     merged = out.merge(pdf, on=["instrument_id", "timestamp"], suffixes=("", "_want"))
     np.testing.assert_allclose(merged["v"].astype(float), merged["v_want"], atol=1e-10, equal_nan=True)
     assert len(out) == len(rows)
+
+
+def test_split_ranks_need_no_histories(spark, configured, monkeypatch):
+    """A rank of a field reads no other row of its history, and its level's rows are written once."""
+    import factorloom.operators.panel as module
+    from workload import ORACLE, QUERIES
+
+    from oracle import compare, connect
+
+    folder = "/root/testdata/sf0.001"
+    configured(group=5)
+    calls, write = [], module.frozen
+    monkeypatch.setattr(module, "positions", lambda *a: pytest.fail("row positions of whole histories"))
+    monkeypatch.setattr(module, "frozen", lambda d: calls.append(d.columns) or write(d))
+    for name in ("cs_rank", "cs_scaling"):
+        got = QUERIES[name](spark, folder)
+        assert len(calls) == 1 and "amount" not in calls.pop()
+        ok, text = compare(got, connect(folder), ORACLE[name])
+        assert ok, text

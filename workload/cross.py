@@ -17,7 +17,11 @@ MASKED = "m AS (SELECT *, CASE WHEN eligible THEN x END AS e FROM trade)"
 
 
 def _run(spark, sf, features, unit="day"):
-    return rounded(trade_panel(spark, sf, unit).with_features(features), KEY, list(features))
+    panel = trade_panel(spark, sf, unit)
+    # Large cross-sections are written on the way, so only what the features read goes along.
+    read = sorted(frozenset().union(*(f.fields() for f in features.values())))
+    panel = panel.with_df(panel.df.select("exchange", *KEY, "eligible", *read))
+    return rounded(panel.with_features(features), KEY, list(features))
 
 
 @query(
