@@ -1,10 +1,11 @@
 """Correlations of many factor columns with one target, per group, without rows per factor.
 
 Rows are shuffled once, wide, so that a group (a day, a product) lies in one task; one Arrow pass then
-ranks every factor column of the group at once.  Factors with the same rows missing form a mask class,
+ranks the group's factor columns, some at a time.  Factors with the same rows missing form a mask class,
 and the target is ranked once per class.  What leaves the pass is one row per (group, factor).
-Groups with more values than a task should hold are counted beforehand and take rows per factor instead,
-ranked through distinct values that combine on the map side.
+Groups with more values than a task should hold are counted beforehand.  Their columns are dealt in slices,
+each with the target, to tasks of their own.  Only groups of which not even a slice of one column fits take rows
+per factor instead, ranked through distinct values that combine on the map side.
 """
 
 from __future__ import annotations
@@ -21,8 +22,11 @@ from ..functions.guards import corr_agg, finite, is_finite
 from .blocks import group_limit
 from .ranks import attach_ranks
 
-#: Values (rows x columns) of one group that a task may hold.
-CELLS = 32 << 20
+#: Values (rows x columns) of one group that a task may hold, and of those that are ranked at a time.
+CELLS = 8 << 20
+STEP_CELLS = 1 << 19
+#: Column with the number of a slice of the factors.
+SLICE = "__slice"
 MIN_OBSERVATIONS = 5
 #: Result columns next to the keys: rows of the group, rows with a finite raw value, extremes of the
 #: clipped values, rows with value and target, and their correlations (null unless both vary on enough rows).
@@ -105,15 +109,27 @@ def correlations(x: np.ndarray, y: np.ndarray, spearman: bool = True) -> tuple[n
     return n, pearson, ranked
 
 
-def _task(keys: int, factors: Sequence[str], clipping: Clipping, spearman: bool):
-    """Task function over rows sorted by key: (keys..., target, factors...) to one row per group and factor."""
+def _task(keys: int, factors: Sequence[str], clipping: Clipping, spearman: bool, width: int | None = None):
+    """Task function over rows sorted by key: (keys..., target, factors...) to one row per group and factor.
 
-    def result(group: pa.Table) -> pa.RecordBatch:
-        columns = [c.to_numpy().astype(np.float64) for c in group.columns[keys:]]
-        y = np.where(np.isfinite(columns[0]), columns[0], np.nan)
+    With a width the last key is the number of a slice of so many factors, which the result leaves out.
+    """
+
+    def results(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        own, heads = factors, keys
+        if width is not None:
+            at, heads = group.column(keys - 1)[0].as_py() * width, keys - 1
+            own = factors[at : at + width]
+        y = group.column(keys).to_numpy().astype(np.float64)
+        y = np.where(np.isfinite(y), y, np.nan)
         if clipping.target is not None:
             y = np.clip(y, *clipping.target)
-        raw = columns[1:]
+        step = max(1, STEP_CELLS // len(group))
+        for at in range(0, len(own), step):
+            yield result(group, own[at : at + step], y, keys + 1 + at, heads)
+
+    def result(group: pa.Table, factors: Sequence[str], y: np.ndarray, first: int, keys: int) -> pa.RecordBatch:
+        raw = [group.column(first + i).to_numpy().astype(np.float64) for i in range(len(factors))]
         seen = [int(np.isfinite(c).sum()) for c in raw]
         x = np.stack([clipping.apply(f, c) for f, c in zip(factors, raw)], axis=1)
         known = ~np.isnan(x)
@@ -144,16 +160,27 @@ def _task(keys: int, factors: Sequence[str], clipping: Clipping, spearman: bool)
             for a, b in zip(cuts[:-1], cuts[1:]):
                 own = tuple(batch.column(i)[a].as_py() for i in range(keys))
                 if held and own != key:
-                    yield result(pa.Table.from_batches(held))
+                    yield from results(pa.Table.from_batches(held))
                     held = []
                 key = own
                 held.append(batch.slice(a, b - a))
         if held:
-            yield result(pa.Table.from_batches(held))
+            yield from results(pa.Table.from_batches(held))
 
     return run
 
 
+def _sliced(df: DataFrame, keys: Sequence[str], factors: Sequence[str], width: int) -> DataFrame:
+    """A row per slice of `width` factors: (keys..., slice, target, v0, v1, ...); the last slice is filled up with nulls."""
+    slices = []
+    for number, at in enumerate(range(0, len(factors), width)):
+        own = [F.col(f) for f in factors[at : at + width]]
+        own += [F.lit(None).cast("double")] * (width - len(own))
+        slices.append(F.struct(F.lit(number).alias(SLICE), *[c.alias(f"v{i}") for i, c in enumerate(own)]))
+    rows = df.select(*keys, "target", F.inline(F.array(*slices)))
+    return rows.select(*keys, SLICE, "target", *[f"v{i}" for i in range(width)])
+
+
 def _per_factor(df: DataFrame, keys: Sequence[str], factors: Sequence[str], clipping: Clipping, spearman: bool) -> DataFrame:
     """The same rows for groups beyond a task, from rows per factor."""
     long = df.unpivot([*keys, "target"], list(factors), "factor", "raw")
@@ -211,19 +238,33 @@ def wide_ic(
     """
     factors, keys = list(factors), list(keys)
     frame = df.select(*keys, F.col("target").cast("double"), *[F.col(f).cast("double").alias(f) for f in factors])
-    limit = min(group_limit(df.sparkSession), max(1, cells // (len(factors) + 1)))
-    large = None
-    if rows is None or rows > limit:
-        sizes = df.groupBy(*keys).count().where(F.col("count") > limit).drop("count")
-        if not sizes.isEmpty():
-            large = F.broadcast(sizes)  # at most one row for every `limit` rows of the table
     schema = StructType([*[frame.schema[k] for k in keys], *RESULT])
-    fitting = frame if large is None else frame.join(large, keys, "left_anti")
-    ordered = fitting.repartition(*keys).sortWithinPartitions(*keys)
-    found = ordered.mapInArrow(_task(len(keys), factors, clipping, spearman), schema)
-    if large is None:
-        return found
-    return found.unionByName(_per_factor(frame.join(large, keys, "left_semi"), keys, factors, clipping, spearman))
+    # Rows of a group that fit a task with all factors, and with a slice of one.
+    most = group_limit(df.sparkSession)
+    limit, beyond = min(most, max(1, cells // (len(factors) + 1))), min(most, max(1, cells // 2))
+
+    def in_tasks(part: DataFrame, width: int | None = None) -> DataFrame:
+        own = keys if width is None else [*keys, SLICE]
+        ordered = part.repartition(*own).sortWithinPartitions(*own)
+        return ordered.mapInArrow(_task(len(own), factors, clipping, spearman, width), schema)
+
+    if rows is not None and rows <= limit:
+        return in_tasks(frame)
+    counts = df.groupBy(*keys).count().where(F.col("count") > limit)
+    fits = F.col("count") <= beyond
+    largest, others = counts.agg(F.max(F.when(fits, F.col("count"))), F.count_if(~fits)).first()
+    if largest is None and not others:
+        return in_tasks(frame)
+    # At most one row for every `limit` rows of the table.
+    found = in_tasks(frame.join(F.broadcast(counts), keys, "left_anti"))
+    if largest is not None:
+        width = max(1, min(len(factors), cells // largest - 1))
+        sliced = frame.join(F.broadcast(counts.where(fits)), keys, "left_semi")
+        found = found.unionByName(in_tasks(_sliced(sliced, keys, factors, width), width))
+    if others:
+        large = frame.join(F.broadcast(counts.where(~fits)), keys, "left_semi")
+        found = found.unionByName(_per_factor(large, keys, factors, clipping, spearman))
+    return found
 
 
 def measured(found: DataFrame) -> DataFrame:

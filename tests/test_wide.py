@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from factorloom.operators import wide
 from factorloom.operators.wide import Clipping, average_ranks, correlations, measured, wide_ic
 
 FACTORS = ["f", "g", "ragged", "flat", "few"]
@@ -60,6 +61,34 @@ def test_equals_pandas(panel, cells, clip):
     assert measured(wide_ic(df, FACTORS, ["split", "day"], Clipping(*args), cells=cells)).count() == defined
 
 
+@pytest.mark.parametrize("cells", [1 << 20, 1200, 1100])
+def test_groups_take_slices_of_bounded_size(panel, monkeypatch, cells):
+    """Large groups take slices of their factors to tasks, which rank a few columns at a time."""
+    pdf, df = panel
+    monkeypatch.setattr(wide, "STEP_CELLS", 400)
+    monkeypatch.setattr(wide, "_per_factor", lambda *a: pytest.fail("rows per factor"))
+    want = expected(pdf)
+    rows = wide.wide_ic(df, FACTORS, ["split", "day"], cells=cells).collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        numbers = [np.nan if r[c] is None else r[c] for c in ("rows", "seen", "low", "high", "n", "pearson", "spearman")]
+        np.testing.assert_allclose(numbers, np.array(want[r.split, r.day, r.factor], float), atol=1e-12, err_msg=str(r))
+
+
+def test_a_task_ranks_few_values_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    shapes, own = [], wide.correlations
+    monkeypatch.setattr(wide, "STEP_CELLS", 4000)
+    monkeypatch.setattr(wide, "correlations", lambda x, y, s: shapes.append(x.shape) or own(x, y, s))
+    names = [f"f{i}" for i in range(30)]
+    values = np.random.default_rng(1).normal(size=(1000, 31))
+    table = pa.table({"day": ["a"] * 1000, "target": values[:, 0], **{f: values[:, i + 1] for i, f in enumerate(names)}})
+    rows = list(wide._task(1, names, Clipping(), True)(iter(table.to_batches(max_chunksize=300))))
+    assert [f for r in rows for f in r.column("factor").to_pylist()] == names
+    assert max(a * b for a, b in shapes) <= 4000
+
+
 def test_ranks_and_classes():
     x = np.array([[1.0, 5.0], [1.0, np.nan], [3.0, 5.0], [2.0, 1.0]])
     assert average_ranks(x)[:, 0].tolist() == [1.5, 1.5, 4.0, 3.0]
