@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from factorloom.functions import feature as fx
 from factorloom.operators import scoring, targets
-from factorloom.operators.blocks import frozen
+from factorloom.operators.blocks import frozen, group_limit
 from factorloom.operators.panel import Panel
 from factorloom.operators.ranks import attach_ranks
 from factorloom.operators.wide import measured, wide_ic
@@ -25,6 +25,9 @@ STOCKS, FUTURES = scoring.CROSS_SECTIONAL, "time_series_weighted_pearson_ic"
 def target_panel(spark, sf) -> Panel:
     """The monthly panel with one-month forward targets."""
     panel = trade_panel(spark, sf, "month")
+    if panel.rows > group_limit(spark):
+        # Sizes are measured then, and every reader would sum the lines again: the months are written once.
+        panel = panel.with_df(frozen(panel.df))
     usable = F.col("volume").cast("long") % 17 != 0
     panel = panel.with_df(panel.df.withColumn("target_eligible", usable))
     return panel.with_df(targets.build_targets(panel, "price", 1))
