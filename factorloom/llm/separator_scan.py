@@ -39,7 +39,8 @@ def write_flat_files(
     """Write each partition's ids, with an end id after each document, as one flat file.
 
     Returns the files (path, n_bytes) and the order of documents in them (path, ordinal, doc_id).
-    A null or empty text is its end id alone.
+    A null or empty text is its end id alone.  The order has a row per document, yet its file takes few bytes
+    a row, by which Spark would take it for a table to send through the driver: joins with it are merge joins.
     """
     folder = shared_folder(docs.sparkSession)
     top = np.iinfo(np.dtype(dtype)).max
@@ -70,7 +71,7 @@ def write_flat_files(
     kind = rows.schema["doc_id"].dataType.simpleString()
     order = frozen(rows.mapInArrow(write, f"path string, ordinal long, doc_id {kind}, bytes_so_far long"))
     files = order.groupBy("path").agg(F.max("bytes_so_far").alias("n_bytes"))
-    return files, order.drop("bytes_so_far")
+    return files, order.drop("bytes_so_far").hint("merge")
 
 
 def scan(files: DataFrame, end_id: int, dtype: str = "<u2", block_ids: int = BLOCK_IDS) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from factorloom.llm import common, packing, separator_scan, token_files, tokenizer
+from factorloom.llm import common, packing, queries, separator_scan, token_files, tokenizer
 from factorloom.llm.common import Texts
 from factorloom.llm.tokenizer import encoder, vocabulary
 
@@ -165,6 +165,20 @@ def test_separator_scan_finds_every_document(docs):
     assert all(r.closed for r in rows)
 
 
+def test_documents_of_flat_files_are_never_broadcast(spark, docs, tmp_path):
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    counts = queries.op10_token_counts(spark, str(tmp_path))
+    files, order = separator_scan.write_flat_files(docs, WORD, 49407)
+    own = separator_scan.scan(files, 49407).join(order, ["path", "ordinal"])
+    for found in (counts, own, own.select("ordinal", "path", "n_tokens").join(order, ["path", "ordinal"])):
+        rows = found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        # One row per file and group of blocks may be sent to all; rows of documents may not.
+        joins = [line for line in plan.splitlines() if "Join" in line and "ordinal#" in line]
+        assert joins and all("SortMergeJoin" in line for line in joins), plan
+        assert sorted(r.n_tokens for r in rows) == sorted(len(plain_ids(WORD, t)) for _, t, _ in ROWS)
+
+
 def test_separator_scan_stitches_blocks_and_groups(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(separator_scan, "GROUP_BLOCKS", 3)
     rng = np.random.default_rng(1)
